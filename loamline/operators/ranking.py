@@ -87,7 +87,7 @@ def exact_quantiles(
     names, levels = list(probabilities), list(probabilities.values())
     if not _ranked(clean, keys, value, group_rows, limit, strategy):
         packed = clean.groupBy(*keys).agg(
-            F.count(value).alias(count_as), F.percentile(value, [F.lit(p) for p in levels]).alias("q")
+            F.count(value).alias(count_as), F.percentile(value, levels).alias("q")
         )
         return packed.select(
             *keys, count_as, *[F.try_element_at("q", F.lit(i)).alias(name) for i, name in enumerate(names, start=1)]
