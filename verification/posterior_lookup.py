@@ -122,17 +122,17 @@ def _(spark, sf):
     ("draws",),
     "SELECT chain, iter, "
     + ", ".join(
-        f"{R(f'exp(ln({p}))')} AS e_{p}, {R(f'abs(0.05 - {p})')} AS sig_{p}, {R(f'log10(pow(abs(0.05 - {p}), -2))')} AS tau_log_{p}" for p in ("alpha_cm", "n")
+        f"{R(f'exp(ln({p}))')} AS e_{p}, {R(f'abs(0.05003 - {p})')} AS sig_{p}, {R(f'log10(pow(abs(0.05003 - {p}), -2))')} AS tau_log_{p}" for p in ("alpha_cm", "n")
     )
-    + f", {R('exp(ln(theta_r))')} AS e_theta_r, {R('abs(0.00501 - theta_r)')} AS sig_theta_r, {R('log10(pow(abs(0.00501 - theta_r), -2))')} AS tau_log_theta_r, {R('sigma')} AS sigma FROM draws WHERE grp = 'site' AND alpha_cm <> 0.05",
+    + f", {R('exp(ln(theta_r))')} AS e_theta_r, {R('abs(0.00501 - theta_r)')} AS sig_theta_r, {R('log10(pow(abs(0.00501 - theta_r), -2))')} AS tau_log_theta_r, {R('sigma')} AS sigma FROM draws WHERE grp = 'site'",
 )
 def _(spark, sf):
-    d = S.draws(spark, sf).where((F.col("grp") == "site") & (F.col("alpha_cm") != 0.05))
+    d = S.draws(spark, sf).where(F.col("grp") == "site")
     logs = d.select(
         "chain",
         "iter",
         *[F.log(p).alias(f"mu_log_{p}") for p in _P],
-        *[(F.lit(0.00501 if p == "theta_r" else 0.05) - F.col(p)).alias(f"eps_{p}") for p in _P],
+        *[(F.lit(0.00501 if p == "theta_r" else 0.05003) - F.col(p)).alias(f"eps_{p}") for p in _P],
         F.pow(F.col("sigma"), F.lit(-2.0)).alias("tau"),
     )
     out = posterior.natural_scale(logs)

@@ -77,11 +77,13 @@ def bucketed(df: DataFrame, minutes: int) -> DataFrame:
     )
 
 
+def wide_soil_names(variables: tuple[str, ...]) -> list[str]:
+    return [f"{v}_P{p}_{d}_H{h}" for v in variables for h in range(1, 6) for p in range(1, 13) for d in range(1, 4)]
+
+
 def wide_soil(spark: SparkSession, sf_dir: str, variables: tuple[str, ...] = ("VWC", "SWP")) -> DataFrame:
     """Six-hourly means, one column per sensor of the 5 x 12 x 3 layout."""
-    names = [
-        f"{v}_P{p}_{d}_H{h}" for v in variables for h in range(1, 6) for p in range(1, 13) for d in range(1, 4)
-    ]
+    names = wide_soil_names(variables)
     long = bucketed(readings(spark, sf_dir).where(F.col("variable").isin(*variables)), 360)
     place = labels.sensor_id(F.col("plot"), F.col("depth"), F.col("house"), F.col("variable"))
     return long.withColumn("name", place).groupBy("dt", "date").pivot("name", names).agg(F.avg("value"))
@@ -261,3 +263,13 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(0.01) + (F.sum("q") % 400) / 10000.0).alias("theta_r"),
         (F.lit(0.005) + (F.count(F.lit(1)) % 50) / 1000.0).alias("sigma"),
     )
+
+
+def wide_logger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six-hourly soil and air columns in one file, as the loggers write them."""
+    air = ("T_inside", "T_outside", "RH_inside", "RH_outside")
+    names = [*air, *wide_soil_names(("VWC", "SWP"))]
+    long = bucketed(readings(spark, sf_dir).where(F.col("variable") != "TS"), 360)
+    place = labels.sensor_id(F.col("plot"), F.col("depth"), F.col("house"), F.col("variable"))
+    name = F.when(F.col("variable").isin("T", "RH"), F.concat_ws("_", "variable", "location")).otherwise(place)
+    return long.withColumn("name", name).groupBy("dt", "date").pivot("name", names).agg(F.avg("value"))
