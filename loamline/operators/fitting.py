@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.curves import THETA_S, saturation
+from loamline.session import cut_lineage, task_width
 
 
 @dataclass(frozen=True)
@@ -53,14 +54,15 @@ def _sse_over_theta_r(
     s = saturation(F.col("h_cm"), F.col("alpha_cm"), F.col("n"))
     rest = F.col("theta") - F.lit(theta_s) * F.col("s")
     open_ = F.lit(1.0) - F.col("s")
+    w = F.col("copies")
     sums = (
         points.withColumn("s", s)
         .groupBy(*keys, "alpha_cm", "n")
         .agg(
-            F.count(F.lit(1)).alias("n_obs"),
-            F.sum(rest * rest).alias("rr"),
-            F.sum(rest * open_).alias("ro"),
-            F.sum(open_ * open_).alias("oo"),
+            F.sum("copies").alias("n_obs"),
+            F.sum(w * rest * rest).alias("rr"),
+            F.sum(w * rest * open_).alias("ro"),
+            F.sum(w * open_ * open_).alias("oo"),
         )
     )
     step = F.explode(F.sequence(F.lit(0), F.lit(theta_r[2] - 1)))
@@ -84,8 +86,16 @@ def _fixed(axis: Axis) -> tuple[Column, Column, int]:
     return F.lit(axis.low), F.lit(axis.step), axis.count
 
 
-def usable(obs: DataFrame) -> DataFrame:
-    return obs.where(F.col("theta").isNotNull() & (F.col("h_cm") > 0))
+def distinct_points(obs: DataFrame, group: str = "grp") -> DataFrame:
+    """Usable (group, theta, h_cm) points with the number of observations at each.
+
+    Repeated sensor readings collapse map-side before they meet the grid.  Every point then
+    costs a whole grid of curve values, so spreading the points evenly pays for itself.
+    """
+    usable = obs.where(F.col("theta").isNotNull() & (F.col("h_cm") > 0))
+    keys = [group, "theta", "h_cm"]
+    counted = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
+    return counted.repartition(task_width(obs.sparkSession), *keys)
 
 
 def grid_sse(obs: DataFrame, alpha: Axis, n: Axis, theta_r: Axis, group: str = "grp", theta_s: float = THETA_S) -> DataFrame:
@@ -94,7 +104,7 @@ def grid_sse(obs: DataFrame, alpha: Axis, n: Axis, theta_r: Axis, group: str = "
     The grid is a literal expanded in place, and sums combine map-side: the shuffle carries
     groups x grid points per task whatever the number of observations.
     """
-    points = _grid_points(usable(obs), _fixed(alpha), _fixed(n))
+    points = _grid_points(distinct_points(obs, group), _fixed(alpha), _fixed(n))
     return _sse_over_theta_r(points, [group], _fixed(theta_r), theta_s)
 
 
@@ -169,11 +179,12 @@ def zoomed_fit(
     """Fit on a grid, then on ever finer grids around the best point of each group.
 
     Every round spans one step to either side of the last optimum with as many points as
-    before.  A round hands one row per group to the next; observations are scanned once a
-    round.
+    before.  The distinct points are written once and scanned once a round; a round hands
+    one row per group to the next.
     """
-    obs = usable(obs)
-    best = best_fit(grid_sse(obs, alpha, n, theta_r, group, theta_s), group)
+    points = cut_lineage(distinct_points(obs, group))
+    first = _grid_points(points, _fixed(alpha), _fixed(n))
+    best = best_fit(_sse_over_theta_r(first, [group], _fixed(theta_r), theta_s), group)
     steps = {"alpha_cm": alpha.step, "n": n.step, "theta_r": theta_r.step}
     counts = {"alpha_cm": alpha.count, "n": n.count, "theta_r": theta_r.count}
     for _ in range(rounds):
@@ -181,10 +192,10 @@ def zoomed_fit(
         lows = {p: F.col(f"mid_{p}") - F.lit(steps[p]) for p in steps}
         finer = {p: 2.0 * steps[p] / (counts[p] - 1) for p in steps}
         axes = {p: (lows[p], F.lit(finer[p]), counts[p]) for p in steps}
-        points = _grid_points(obs.join(centre, group), axes["alpha_cm"], axes["n"]).where(
+        around = _grid_points(points.join(centre, group), axes["alpha_cm"], axes["n"]).where(
             (F.col("alpha_cm") > 0) & (F.col("n") > 0)
         )
-        sse = _sse_over_theta_r(points, [group, "mid_theta_r"], axes["theta_r"], theta_s)
+        sse = _sse_over_theta_r(around, [group, "mid_theta_r"], axes["theta_r"], theta_s)
         best = best_fit(sse, group)
         steps = finer
     return best

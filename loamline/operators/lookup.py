@@ -11,6 +11,7 @@ from loamline.functions import curves
 from loamline.operators.nearest import GRID_FIRST, GRID_LAST, GRID_PER_UNIT, grid_index
 from loamline.operators.pairing import BROADCAST_ROWS, bounded_count
 from loamline.operators.ranking import exact_quantiles
+from loamline.session import task_width
 
 # Quantiles kept, draws a grid point needs, and the calibrated range.
 QUANTILES = {"q50": 0.5, "q25": 0.25, "q75": 0.75}
@@ -39,7 +40,7 @@ def inverse_curves(
     wanted = draws.select("grp", "alpha_cm", "n", "theta_r")
     known = bounded_count(wanted, limit)
     if known <= limit:
-        points = swc_grid(draws.sparkSession, first, last).repartition("swc_idx")
+        points = swc_grid(draws.sparkSession, first, last).repartition(task_width(draws.sparkSession), "swc_idx")
         return points.join(F.broadcast(wanted)).select("swc_idx", "swc", "grp", suction), known
     index = F.explode(F.sequence(F.lit(first), F.lit(last)))
     expanded = wanted.withColumn("swc_idx", index).withColumn("swc", F.col("swc_idx") / F.lit(float(GRID_PER_UNIT)))

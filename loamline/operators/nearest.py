@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.operators.pairing import BROADCAST_ROWS, fits
+from loamline.operators.ranking import value_ranks
+
 # The water-content grid, as integer steps of 0.0001.
 GRID_PER_UNIT = 10_000
 GRID_FIRST = 200
@@ -25,32 +28,38 @@ def nearest_join(
     """Nearest ``grid`` value for each ``value``; ties go to the lower grid value.
 
     A grid value owns the stretch between the midpoints to its neighbours.  Stretches are
-    entered in cells of width ``cell``, and the join is an equi join on cells.  The cells
-    outside the grid's span fold into the end cells, so far-off values stay cheap.
+    entered in cells of width ``cell``, and the join is an equi join on cells.  Values outside
+    the grid's span are looked up in its end cells.  Neighbours come from one window while
+    the lookup is small, else from ranks counted over the cluster.
     """
-    order = Window.orderBy(grid)
-    owned = (
-        lookup.withColumn("below_", F.lag(grid).over(order))
-        .withColumn("above_", F.lead(grid).over(order))
-        .withColumn("from_", (F.col("below_") + F.col(grid)) / 2)
-        .withColumn("to_", (F.col(grid) + F.col("above_")) / 2)
+    owned = _with_neighbours(lookup, grid).select(
+        *lookup.columns,
+        ((F.col("below_") + F.col(grid)) / 2).alias("from_"),
+        ((F.col(grid) + F.col("above_")) / 2).alias("to_"),
     )
 
     def cell_of(c: Column) -> Column:
         return F.floor(c / F.lit(cell))
 
-    spread = owned.withColumn(
-        "cell_",
-        F.explode(
-            F.sequence(cell_of(F.coalesce(F.col("from_"), F.col(grid))), cell_of(F.coalesce(F.col("to_"), F.col(grid))))
-        ),
-    ).drop("below_", "above_")
+    span = F.sequence(cell_of(F.coalesce("from_", grid)), cell_of(F.coalesce("to_", grid)))
+    spread = owned.withColumn("cell_", F.explode(span))
     ends = lookup.agg(F.min(grid).alias("lo"), F.max(grid).alias("hi")).first()
     held = F.greatest(F.lit(ends["lo"]), F.least(F.lit(ends["hi"]), F.col(value)))
-    left = df.withColumn("cell_", cell_of(held))
+    left = df.withColumn("cell_", F.when(F.col(value).isNotNull(), cell_of(held)))
     here = (
         (left["cell_"] == spread["cell_"])
         & (spread["from_"].isNull() | (left[value] > spread["from_"]))
         & (spread["to_"].isNull() | (left[value] <= spread["to_"]))
     )
     return left.join(spread, here, "left").drop("cell_", "from_", "to_")
+
+
+def _with_neighbours(lookup: DataFrame, grid: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    if fits(lookup, limit):
+        order = Window.orderBy(grid)
+        return lookup.withColumn("below_", F.lag(grid).over(order)).withColumn("above_", F.lead(grid).over(order))
+    ranks = value_ranks(lookup.select(F.lit(0).alias("all_"), grid), ["all_"], grid)
+    below = ranks.select(F.col("past").alias("first"), F.col(grid).alias("below_"))
+    above = ranks.select(F.col("first").alias("past"), F.col(grid).alias("above_"))
+    beside = ranks.join(below, "first", "left").join(above, "past", "left").select(grid, "below_", "above_")
+    return lookup.join(beside, grid)

@@ -12,6 +12,7 @@ from loamline.functions.curves import water_content
 from loamline.operators.pairing import BROADCAST_ROWS, pair_rows
 from loamline.operators.quality import metrics_table
 from loamline.operators.ranking import exact_quantiles, shortest_intervals
+from loamline.session import task_width
 
 # Sampler bookkeeping.
 BURN_IN = 1000
@@ -31,22 +32,16 @@ def terms_long(draws: DataFrame, ids: Sequence[str] = ("chain", "iter", "grp"),
     return draws.unpivot(list(ids), list(names), "parameter", "x")
 
 
-def _moments(long: DataFrame, keys: list[str]) -> DataFrame:
-    return long.groupBy(*keys).agg(F.avg("x").alias("estimate"), F.stddev_samp("x").alias("std_error"))
-
-
 def quantile_summary(long: DataFrame, keys: Sequence[str], level: float = 0.95, **options) -> DataFrame:
     """Mean, sd and central interval per term."""
-    keys = list(keys)
     tail = (1.0 - level) / 2.0
-    ends = exact_quantiles(long, keys, "x", {"conf_low": tail, "conf_high": 1.0 - tail}, **options)
-    return _moments(long, keys).join(ends.drop("n_ok"), keys)
+    ends = {"conf_low": tail, "conf_high": 1.0 - tail}
+    return exact_quantiles(long, keys, "x", ends, moments=True, **options).drop("n_ok")
 
 
 def hdi_summary(long: DataFrame, keys: Sequence[str], level: float = 0.95, **options) -> DataFrame:
     """Mean, sd and shortest interval per term."""
-    keys = list(keys)
-    return _moments(long, keys).join(shortest_intervals(long, keys, "x", level, **options), keys)
+    return shortest_intervals(long, keys, "x", level, moments=True, **options)
 
 
 def convergence(
@@ -119,9 +114,14 @@ def draw_key() -> Column:
 
 
 def replicates(obs: DataFrame, draws: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Per observation and draw of its group: curve value ``mu`` and replicate ``rep``."""
+    """Per observation and draw of its group: curve value ``mu`` and replicate ``rep``.
+
+    Observations are spread by ``obs_id`` first: each becomes one row per draw, and a later
+    summary per observation finds its rows in place.
+    """
+    spread = obs.select("obs_id", "grp", "theta", "h_cm").repartition(task_width(obs.sparkSession), "obs_id")
     side = draws.select("grp", "chain", "iter", "alpha_cm", "n", "theta_r", "sigma")
-    pairs = pair_rows(obs.select("obs_id", "grp", "theta", "h_cm"), side, ["grp"], limit)
+    pairs = pair_rows(spread, side, ["grp"], limit)
     mu = water_content(F.col("h_cm"), F.col("alpha_cm"), F.col("n"), F.col("theta_r"))
     return pairs.withColumn("mu", mu).withColumn(
         "rep", F.col("mu") + F.col("sigma") * standard_normal(F.col("obs_id"), draw_key())

@@ -67,12 +67,28 @@ def _between(lower: Column, upper: Column, fraction: Column) -> Column:
     return F.when(fraction == 0, lower).otherwise(lower + (upper - lower) * fraction)
 
 
+def _moments(value: str) -> list[Column]:
+    return [F.avg(value).alias("estimate"), F.stddev_samp(value).alias("std_error")]
+
+
+def _packed(clean: DataFrame, keys: list[str], value: str, moments: bool) -> DataFrame:
+    """Sorted values ``v`` of each group and their number ``n``; one pass, one shuffle."""
+    also = _moments(value) if moments else []
+    packed = clean.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("v"), *also)
+    return packed.withColumn("n", F.size("v").cast("long"))
+
+
+def _with_moments(found: DataFrame, clean: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return clean.groupBy(*keys).agg(*_moments(value)).join(found, keys)
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probabilities: dict[str, float],
     count_as: str = "n_ok",
+    moments: bool = False,
     group_rows: int | None = None,
     limit: int = GROUP_ROWS,
     strategy: str = "auto",
@@ -80,35 +96,43 @@ def exact_quantiles(
     """Linearly interpolated quantiles of the non-missing values.
 
     ``group_rows`` is a known bound on values per group; without it the bound is measured.
-    Groups without any value keep a row with count 0 and NULL quantiles.
+    Groups without any value keep a row with count 0 and NULL quantiles.  ``moments`` adds
+    mean and standard deviation.
     """
     keys = list(keys)
     clean = df.select(*keys, finite(F.col(value)).alias(value))
-    names, levels = list(probabilities), list(probabilities.values())
     if not _ranked(clean, keys, value, group_rows, limit, strategy):
-        packed = clean.groupBy(*keys).agg(
-            F.count(value).alias(count_as), F.percentile(value, levels).alias("q")
-        )
-        return packed.select(
-            *keys, count_as, *[F.try_element_at("q", F.lit(i)).alias(name) for i, name in enumerate(names, start=1)]
-        )
+        packed = _packed(clean, keys, value, moments)
+        picks = []
+        for name, p in probabilities.items():
+            place = F.lit(p) * (F.col("n") - 1)
+            low = F.floor(place)
+            at = [F.get("v", c.cast("int")) for c in (low, F.ceil(place))]
+            picks.append(F.when(F.col("n") > 0, _between(*at, place - low)).alias(name))
+        also = ["estimate", "std_error"] if moments else []
+        return packed.select(*keys, F.col("n").alias(count_as), *also, *picks)
+    found = _quantiles_by_rank(clean, keys, value, probabilities, count_as)
+    return _with_moments(found, clean, keys, value) if moments else found
+
+
+def _quantiles_by_rank(
+    clean: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], count_as: str
+) -> DataFrame:
     ranks = value_ranks(clean, keys, value)
     picks, finals = [], []
     for name, p in probabilities.items():
         place = F.lit(p) * (F.col("total") - 1)
-        low = F.floor(place)
-        for tag, at in (("lo", low), ("hi", F.ceil(place))):
-            picks.append(F.max(F.when((F.col("first") <= at) & (at < F.col("past")), F.col(value))).alias(f"{name}_{tag}"))
+        for tag, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            holds = (F.col("first") <= at) & (at < F.col("past"))
+            picks.append(F.max(F.when(holds, F.col(value))).alias(f"{name}_{tag}"))
         spot = F.lit(p) * (F.col(count_as) - 1)
-        finals.append(
-            _between(F.col(f"{name}_lo"), F.col(f"{name}_hi"), spot - F.floor(spot)).alias(name)
-        )
+        finals.append(_between(F.col(f"{name}_lo"), F.col(f"{name}_hi"), spot - F.floor(spot)).alias(name))
     found = ranks.groupBy(*keys).agg(F.max("total").alias(count_as), *picks).select(*keys, count_as, *finals)
     empty = (
         clean.groupBy(*keys)
         .agg(F.count(value).alias(count_as))
         .where(F.col(count_as) == 0)
-        .select(*keys, count_as, *[F.lit(None).cast("double").alias(n) for n in names])
+        .select(*keys, count_as, *[F.lit(None).cast("double").alias(n) for n in probabilities])
     )
     return found.unionByName(empty)
 
@@ -118,6 +142,7 @@ def shortest_intervals(
     keys: Sequence[str],
     value: str,
     mass: float = 0.95,
+    moments: bool = False,
     group_rows: int | None = None,
     limit: int = GROUP_ROWS,
     strategy: str = "auto",
@@ -129,33 +154,32 @@ def shortest_intervals(
     keys = list(keys)
     clean = df.select(*keys, finite(F.col(value)).alias(value)).where(F.col(value).isNotNull())
     if not _ranked(clean, keys, value, group_rows, limit, strategy):
-        return _shortest_in_array(clean, keys, value, mass)
-    return _shortest_by_rank(clean, keys, value, mass)
+        return _shortest_in_array(clean, keys, value, mass, moments)
+    found = _shortest_by_rank(clean, keys, value, mass)
+    return _with_moments(found, clean, keys, value) if moments else found
 
 
 def _gap(n: Column, mass: float) -> Column:
     return F.greatest(F.lit(1), F.least(n - 1, F.round(n * F.lit(mass)).cast("long")))
 
 
-def _shortest_in_array(clean: DataFrame, keys: list[str], value: str, mass: float) -> DataFrame:
-    packed = clean.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("v"))
-    packed = packed.withColumn("n", F.size("v").cast("long")).withColumn("gap", _gap(F.col("n"), mass).cast("int"))
-    ends = F.slice(F.col("v"), F.col("gap") + 1, F.greatest(F.lit(1), F.col("n").cast("int") - F.col("gap")))
+def _shortest_in_array(clean: DataFrame, keys: list[str], value: str, mass: float, moments: bool) -> DataFrame:
+    packed = _packed(clean, keys, value, moments).withColumn("gap", _gap(F.col("n"), mass).cast("int"))
+    uppers = F.slice(F.col("v"), F.col("gap") + 1, F.greatest(F.lit(1), F.col("n").cast("int") - F.col("gap")))
     spans = F.transform(
-        ends,
-        lambda hi, i: F.struct(
-            (hi - F.element_at("v", i.cast("int") + 1)).alias("width"),
-            F.element_at("v", i.cast("int") + 1).alias("conf_low"),
-            hi.alias("conf_high"),
+        uppers,
+        lambda upper, i: F.struct(
+            (upper - F.get("v", i.cast("int"))).alias("width"),
+            F.get("v", i.cast("int")).alias("conf_low"),
+            upper.alias("conf_high"),
         ),
     )
-    best = packed.select(
-        *keys,
-        F.when(F.col("n") > 1, F.array_min(spans)).alias("best"),
-        F.element_at("v", 1).alias("only"),
-    )
+    only = F.get("v", F.lit(0))
+    also = ["estimate", "std_error"] if moments else []
+    best = packed.select(*keys, *also, F.when(F.col("n") > 1, F.array_min(spans)).alias("best"), only.alias("only"))
     return best.select(
         *keys,
+        *also,
         F.coalesce(F.col("best.conf_low"), F.col("only")).alias("conf_low"),
         F.coalesce(F.col("best.conf_high"), F.col("only")).alias("conf_high"),
     )

@@ -23,18 +23,21 @@ def unpivot_by_name(
 ) -> DataFrame:
     """Columns whose name matches ``pattern`` become rows; capture groups become key columns.
 
-    Names are taken apart once when the plan is built, so rows carry literal keys and no
-    regular expression runs per reading.  A narrow step without shuffle; NULLs are kept.
+    Names are taken apart once when the plan is built.  A row carries its position among the
+    matched columns and reads its keys from constant arrays, so no regular expression runs
+    per reading.  A narrow step without shuffle; NULLs are kept.
     """
-    cells = []
-    for name in df.columns:
-        hit = re.fullmatch(pattern, name)
-        if hit and name not in ids:
-            parts = [F.lit(cast(text)).alias(key) for (key, cast), text in zip(keys.items(), hit.groups())]
-            cells.append(F.struct(*parts, F.col(f"`{name}`").cast("double").alias(value)))
-    if not cells:
+    hits = [(c, re.fullmatch(pattern, c)) for c in df.columns if c not in ids]
+    hits = [(c, hit.groups()) for c, hit in hits if hit]
+    if not hits:
         raise ValueError(f"no column matches {pattern}")
-    return df.select(*ids, F.inline(F.array(*cells)))
+    cells = F.array(*[F.col(f"`{c}`").cast("double") for c, _ in hits])
+    long = df.select(*ids, F.posexplode(cells).alias("pos_", value))
+    parts = [
+        F.get(F.array(*[F.lit(cast(groups[i])) for _, groups in hits]), F.col("pos_")).alias(key)
+        for i, (key, cast) in enumerate(keys.items())
+    ]
+    return long.select(*ids, *parts, value)
 
 
 def soil_temperature_long(wide: DataFrame) -> DataFrame:

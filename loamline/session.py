@@ -18,6 +18,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        # Keep per-group arrays in the hash aggregate instead of re-sorting its input.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "20000")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -59,3 +61,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def task_width(spark: SparkSession) -> int:
+    """Tasks for a step whose work grows far beyond its input.
+
+    Given as a number, so that adaptive execution does not merge small inputs into one task.
+    """
+    return max(shuffle_width(spark), spark.sparkContext.defaultParallelism)
