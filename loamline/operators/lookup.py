@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import curves
@@ -70,12 +70,13 @@ def masked_lookup(
     """Negate suction to potential, blank where too few draws are defined.
 
     ``mask="site"`` applies the site's count to all groups; ``"group"`` each group's own.
+    The window holds one row per group of a grid point.
     """
     if mask == "group":
         judged = quantiles.withColumn("n_mask", F.col("n_ok"))
     elif mask == "site":
-        site_n = quantiles.where(F.col("grp") == site).select("swc_idx", F.col("n_ok").alias("n_mask"))
-        judged = quantiles.join(site_n, "swc_idx", "left")
+        site_n = F.max(F.when(F.col("grp") == site, F.col("n_ok")))
+        judged = quantiles.withColumn("n_mask", site_n.over(Window.partitionBy("swc_idx")))
     else:
         raise ValueError(f"unknown mask {mask!r}")
     keep = F.col("n_mask") >= min_draws

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 from loamline.functions import labels, nulls, units
 from loamline.operators.calendar import FIRST_YEAR, LAST_YEAR, with_season
 
-SENSOR_DAY = ("id", "house", "plot", "depth", "date")
+# A sensor of one variable on one day; also the key on which daily tables are paired, so the
+# partitioning of the aggregate serves the join.
+SENSOR_DAY = ("house", "plot", "depth", "date")
+# Column prefix and divisor of each soil variable.
+SOIL_VARIABLES = {"TS": ("ts", 1.0), "VWC": ("wc", 1.0), "SWP": ("wp", units.KPA_PER_MPA)}
 
 
 def clean_air(wide: DataFrame, floor: float = -10.0) -> DataFrame:
@@ -48,39 +52,58 @@ def with_design(df: DataFrame, design: DataFrame) -> DataFrame:
     return df.join(design.select("house", "plot", "summer", "winter"), ["house", "plot"], "left")
 
 
-def daily_soil(
-    readings: DataFrame,
+def sensor_days(readings: DataFrame) -> DataFrame:
+    """Daily statistics of all soil variables in one pass over the readings."""
+    divisor = F.lit(1.0)
+    for variable, (_, scale) in SOIL_VARIABLES.items():
+        if scale != 1.0:
+            divisor = F.when(F.col("variable") == variable, F.lit(scale)).otherwise(divisor)
+    soil = readings.where(F.col("variable").isin(list(SOIL_VARIABLES)))
+    return daily(soil, ("variable", *SENSOR_DAY), F.col("value") / divisor)
+
+
+def soil_table(
+    days: DataFrame,
     design: DataFrame,
     variable: str,
-    prefix: str,
-    scale: float = 1.0,
     drop_empty: bool = False,
     first_year: int = FIRST_YEAR,
     last_year: int = LAST_YEAR,
 ) -> DataFrame:
-    """Daily table of one soil variable.
+    """Daily table of one variable from (house, plot, depth, date, mean, min, max).
 
-    The design and the season are constant per sensor-day, so they are attached after the
-    aggregate, to one row per day instead of 48.
+    Sensor name, design and season are constant per sensor-day, so they are attached to one
+    row per day instead of 48.
     """
-    value = F.col("value") / F.lit(scale) if scale != 1.0 else F.col("value")
-    table = daily(readings.where(F.col("variable") == variable), SENSOR_DAY, value, f"{prefix}_")
-    if drop_empty:
-        table = table.where(F.col(f"{prefix}_mean").isNotNull())
-    table = with_design(table, design).withColumn("plot_id", labels.plot_id(F.col("house"), F.col("plot")))
+    prefix = SOIL_VARIABLES[variable][0]
+    c = F.col
+    table = days.where(c("mean").isNotNull()) if drop_empty else days
+    name = labels.sensor_id(c("plot"), c("depth"), c("house"), None if variable == "TS" else F.lit(variable))
+    table = table.select(
+        name.alias("id"), *SENSOR_DAY, *[c(s).alias(f"{prefix}_{s}") for s in ("mean", "min", "max")]
+    )
+    table = with_design(table, design).withColumn("plot_id", labels.plot_id(c("house"), c("plot")))
     return with_season(table, "date", first_year, last_year)
 
 
+def daily_soil(readings: DataFrame, design: DataFrame, variable: str, drop_empty: bool = False, **years) -> DataFrame:
+    """Daily table of one soil variable from the readings."""
+    scale = SOIL_VARIABLES[variable][1]
+    value = F.col("value") / F.lit(scale) if scale != 1.0 else F.col("value")
+    days = daily(readings.where(F.col("variable") == variable), SENSOR_DAY, value)
+    return soil_table(days, design, variable, drop_empty, **years)
+
+
 def daily_temperature(readings: DataFrame, design: DataFrame, **years) -> DataFrame:
-    return daily_soil(readings, design, "TS", "ts", drop_empty=True, **years)
+    return daily_soil(readings, design, "TS", drop_empty=True, **years)
 
 
 def daily_water_content(readings: DataFrame, design: DataFrame, **years) -> DataFrame:
-    return daily_soil(readings, design, "VWC", "wc", **years)
+    return daily_soil(readings, design, "VWC", **years)
 
 
 def daily_water_potential(readings: DataFrame, design: DataFrame, **years) -> DataFrame:
-    return daily_soil(readings, design, "SWP", "wp", scale=units.KPA_PER_MPA, **years)
+    return daily_soil(readings, design, "SWP", **years)
 
 
 def daily_air(air: DataFrame, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:

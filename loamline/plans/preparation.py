@@ -25,7 +25,7 @@ class DailyTables:
 
 
 def daily_tables(
-    soil: DataFrame,
+    days: DataFrame,
     air_wide: DataFrame,
     design: DataFrame,
     irrigation_wide: DataFrame,
@@ -34,18 +34,21 @@ def daily_tables(
     last_year: int = calendar.LAST_YEAR,
     roof_day: dt.date = watering.ROOF_DAY,
 ) -> DailyTables:
-    """The prepared tables from long soil readings and the other raw frames."""
+    """The prepared tables from the sensor-days of all variables and the other raw frames."""
     years = {"first_year": first_year, "last_year": last_year}
-    wc = rollup.daily_water_content(soil, design, **years)
-    wp = rollup.daily_water_potential(soil, design, **years)
+
+    def table(variable: str, drop_empty: bool = False) -> DataFrame:
+        return rollup.soil_table(days.where(F.col("variable") == variable), design, variable, drop_empty, **years)
+
+    wc, wp = table("VWC"), table("SWP")
     rain = watering.rain_before_roof(gauge, roof_day)
     return DailyTables(
-        temperature=rollup.daily_temperature(soil, design, **years),
+        temperature=table("TS", drop_empty=True),
         water_content=wc,
         water_potential=wp,
         air=rollup.daily_air(reshape.air_long(rollup.clean_air(air_wide)), **years),
         watering=watering.watering_table(reshape.treatments_long(irrigation_wide), rain),
-        seasons=calendar.season_calendar(soil.sparkSession, **years),
+        seasons=calendar.season_calendar(days.sparkSession, **years),
         paired=rollup.paired_days(wp, wc),
     )
 
@@ -62,25 +65,29 @@ def prepare(
 ) -> dict[str, str]:
     """CSV files in, Parquet tables below ``out``; returns the path of each table.
 
-    Daily tables are partitioned by hydrologic year and sorted by date, so that a date range
-    reaches few files and few row groups.
+    The half-hourly text is parsed once for the soil columns and once for the few air
+    columns.  Sensor-days of all variables come out of one aggregate and are written first;
+    every daily table is cut from them.  Daily tables are partitioned by hydrologic year and
+    sorted by date, so that a date range reaches few files and few row groups.
     """
     soil_wide = readers.read_wide_sensors(spark, soil_path)
     air_names = [c for c in soil_wide.columns if c.endswith(("_inside", "_outside"))]
     soil = reshape.soil_sensors_long(soil_wide.drop(*air_names)).unionByName(
         reshape.soil_temperature_long(readers.read_wide_sensors(spark, temperature_path))
     )
+    root = out.rstrip("/")
+    paths = {"sensor_days": f"{root}/sensor_days"}
+    tables.save_table(rollup.sensor_days(soil), paths["sensor_days"], ("variable",), ("date",))
     made = daily_tables(
-        soil,
+        tables.load_table(spark, paths["sensor_days"]),
         soil_wide.select("dt", "date", *air_names),
         readers.read_design(spark, design_path),
         readers.read_irrigation(spark, irrigation_path),
         readers.read_gauge(spark, gauge_path),
         **years,
     )
-    paths = {}
     for field in fields(made):
-        table, path = getattr(made, field.name), f"{out.rstrip('/')}/{field.name}"
+        table, path = getattr(made, field.name), f"{root}/{field.name}"
         yearly = field.name not in ("watering", "seasons")
         tables.save_table(table, path, ("year",) if yearly else (), ("date",) if "date" in table.columns else ())
         paths[field.name] = path
@@ -110,7 +117,7 @@ def daily_converted(
 ) -> DataFrame:
     """Daily statistics of the converted potential."""
     converted = half_hourly_potential(soil, design, table, stat, param)
-    keys = (*rollup.SENSOR_DAY, "summer", "winter")
+    keys = ("id", *rollup.SENSOR_DAY, "summer", "winter")
     out = rollup.daily(converted, keys, F.col(f"swp_{stat}"), "swp_")
     out = out.withColumn("plot_id", labels.plot_id(F.col("house"), F.col("plot")))
     return calendar.with_season(out, "date", first_year, last_year)

@@ -275,7 +275,7 @@ def _(spark, sf):
         last_year=2024,
         roof_day=dt.date(1998, 6, 30),
     )
-    made = {name: tables.load_table(spark, path) for name, path in paths.items()}
+    made = {name: tables.load_table(spark, path) for name, path in paths.items() if name != "sensor_days"}
 
     def line(name, df, value):
         return df.agg(F.count(value).alias("n_days"), snap(F.avg(value)).alias("level")).select(F.lit(name).alias("name"), "n_days", "level")
