@@ -9,6 +9,8 @@ from loamline.functions.units import cm_to_m, cm_water_to_mpa, mpa_to_cm_water
 
 # Fixed value: saturated water content of the loamy sand.
 THETA_S = 0.44
+# Largest exponent whose exponential is a finite double.
+MAX_EXPONENT = 709.0
 
 
 def suction_cm(potential_mpa: Column) -> Column:
@@ -31,10 +33,12 @@ def water_content(h_cm: Column, alpha: Column, n: Column, theta_r: Column, theta
 
 
 def suction_mpa(theta: Column, alpha: Column, n: Column, theta_r: Column, theta_s: float = THETA_S) -> Column:
-    """Inverse curve as suction in MPa; NULL outside theta_r < theta <= theta_s, n > 1, alpha > 0."""
+    """Inverse curve as suction in MPa; NULL outside theta_r < theta <= theta_s, n > 1, alpha > 0.
+
+    The guard bounds the exponent, so the curve is evaluated once and never overflows.
+    """
     one = F.lit(1.0)
     valid = (theta > theta_r) & (theta <= F.lit(theta_s)) & (n > one) & (alpha > F.lit(0.0))
-    ratio = F.try_divide(F.lit(theta_s) - theta_r, theta - theta_r)
-    inner = F.pow(ratio, F.try_divide(n, n - one)) - one
-    head = F.try_divide(F.pow(inner, F.try_divide(one, n)), alpha)
-    return F.when(valid & (head < F.lit(float("inf"))), cm_water_to_mpa(head))
+    power = F.log(F.try_divide(F.lit(theta_s) - theta_r, theta - theta_r)) * F.try_divide(n, n - one)
+    head = F.try_divide(F.pow(F.exp(power) - one, F.try_divide(one, n)), alpha)
+    return F.when(valid & (power < F.lit(MAX_EXPONENT)), cm_water_to_mpa(head))
