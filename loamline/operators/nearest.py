@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.functions.nulls import finite
 from loamline.operators.pairing import BROADCAST_ROWS, fits
 from loamline.operators.ranking import value_ranks
 
@@ -17,9 +18,13 @@ GRID_LAST = 4_399
 def grid_index(
     x: Column, per_unit: int = GRID_PER_UNIT, first: int = GRID_FIRST, last: int = GRID_LAST
 ) -> Column:
-    """Index of the nearest grid point; a tie goes to the lower one, ends are clamped."""
+    """Index of the nearest grid point; a tie goes to the lower one, ends are clamped.
+
+    A missing value has no index (``least`` and ``greatest`` alone would pass over it).
+    """
     near = F.ceil(F.round(x * F.lit(float(per_unit)) - F.lit(0.5), 6))
-    return F.greatest(F.lit(first), F.least(F.lit(last), near)).cast("int")
+    clamped = F.greatest(F.lit(first), F.least(F.lit(last), near)).cast("int")
+    return F.when(finite(x).isNotNull(), clamped)
 
 
 def nearest_join(

@@ -274,7 +274,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 def grid_index_sql(x: str) -> str:
-    return f"CAST(GREATEST(200, LEAST(4399, CEIL(ROUND({x} * 10000.0 - 0.5, 6)))) AS INTEGER)"
+    return f"CASE WHEN {x} IS NOT NULL THEN CAST(GREATEST(200, LEAST(4399, CEIL(ROUND({x} * 10000.0 - 0.5, 6)))) AS INTEGER) END"
 
 
 def sql(needs: tuple[str, ...], body: str) -> str:
