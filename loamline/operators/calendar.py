@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.functions.timekeys import STUDY_PERIODS
+from loamline.operators.pairing import broadcast_if_small
 
 # Season, first month, last month, last day; Winter starts in the year before.
 SEASON_BOUNDS = (
@@ -95,11 +96,11 @@ def label_by_interval(
 ) -> DataFrame:
     """Closed-interval join as an equi join on days.
 
-    The interval side grows with calendar days, not with readings, and Spark broadcasts it
-    when its size allows; otherwise the join shuffles on (keys, day).
+    The interval side grows with calendar days, not with readings.  It is broadcast once its
+    rows were counted to be few; otherwise the join shuffles on (keys, day).
     """
     days = interval_days(intervals, st, en, date).drop(st, en)
-    return df.join(days, [*keys, date], how)
+    return df.join(broadcast_if_small(days), [*keys, date], how)
 
 
 def label_by_range(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.curves import THETA_S, saturation
+from loamline.operators.pairing import settled_small
 from loamline.session import cut_lineage, task_width
 
 
@@ -188,7 +189,7 @@ def zoomed_fit(
     steps = {"alpha_cm": alpha.step, "n": n.step, "theta_r": theta_r.step}
     counts = {"alpha_cm": alpha.count, "n": n.count, "theta_r": theta_r.count}
     for _ in range(rounds):
-        centre = best.select(group, *[F.col(p).alias(f"mid_{p}") for p in steps])
+        centre = settled_small(best.select(group, *[F.col(p).alias(f"mid_{p}") for p in steps]))
         lows = {p: F.col(f"mid_{p}") - F.lit(steps[p]) for p in steps}
         finer = {p: 2.0 * steps[p] / (counts[p] - 1) for p in steps}
         axes = {p: (lows[p], F.lit(finer[p]), counts[p]) for p in steps}

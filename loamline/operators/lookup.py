@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import curves
 from loamline.operators.nearest import GRID_FIRST, GRID_LAST, GRID_PER_UNIT, grid_index
-from loamline.operators.pairing import BROADCAST_ROWS, bounded_count
+from loamline.operators.pairing import BROADCAST_ROWS, bounded_count, settled_small
 from loamline.operators.ranking import exact_quantiles
 from loamline.session import task_width
 
@@ -109,9 +109,10 @@ def convert(
     """Add ``swp_<stat>`` (MPa) for each statistic, and ``out_of_range``.
 
     ``param`` is a group name, or a column naming the group of each row.  The lookup holds
-    one row per grid point and group; the join is an equi join on (index, group).  "lower"
-    is the 25th percentile of suction, hence the less negative potential.  NULL content
-    gives NULL; ``strict`` also blanks content above the calibrated range.
+    one row per grid point and group; it is settled and, within the row limit, broadcast, so
+    the readings stay where they are in an equi join on (index, group).  "lower" is the 25th
+    percentile of suction, hence the less negative potential.  NULL content gives NULL;
+    ``strict`` also blanks content above the calibrated range.
     """
     group = F.lit(param) if isinstance(param, str) else param
     keyed = df.withColumn("swc_idx_", grid_index(F.col(swc))).withColumn("grp_", group)
@@ -122,7 +123,7 @@ def convert(
     )
     if isinstance(param, str):
         side = side.where(F.col("grp_") == param)
-    out = keyed.join(side, ["swc_idx_", "grp_"], "left").drop("swc_idx_", "grp_")
+    out = keyed.join(settled_small(side), ["swc_idx_", "grp_"], "left").drop("swc_idx_", "grp_")
     out = out.withColumn("out_of_range", out_of_range(F.col(swc)))
     if strict:
         for s in stats:

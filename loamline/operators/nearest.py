@@ -48,7 +48,10 @@ def nearest_join(
 
     span = F.sequence(cell_of(F.coalesce("from_", grid)), cell_of(F.coalesce("to_", grid)))
     spread = owned.withColumn("cell_", F.explode(span))
-    ends = lookup.agg(F.min(grid).alias("lo"), F.max(grid).alias("hi")).first()
+    ends = lookup.agg(F.min(grid).alias("lo"), F.max(grid).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    # Each lookup row enters the cells of its stretch: at most two more than the stretch spans.
+    if ends["n"] and 2 * ends["n"] + (ends["hi"] - ends["lo"]) / cell <= BROADCAST_ROWS:
+        spread = F.broadcast(spread)
     held = F.greatest(F.lit(ends["lo"]), F.least(F.lit(ends["hi"]), F.col(value)))
     left = df.withColumn("cell_", F.when(F.col(value).isNotNull(), cell_of(held)))
     here = (

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.session import shuffle_width
+from loamline.session import cut_lineage, shuffle_width
 
 # Rows a side may have to be sent whole to every executor.
 BROADCAST_ROWS = 200_000
@@ -28,6 +28,15 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, limit) else df
 
 
+def settled_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A derived side table, computed once, then broadcast if its rows fit.
+
+    For sides whose source tables are large while they themselves are not: without it the
+    planner sees only the sources' size and shuffles the big side of the join.
+    """
+    return broadcast_if_small(cut_lineage(df), limit)
+
+
 def pair_rows(
     left: DataFrame, right: DataFrame, on: Sequence[str], limit: int = BROADCAST_ROWS, width: int | None = None
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.functions.curves import water_content
-from loamline.operators.pairing import BROADCAST_ROWS, pair_rows
+from loamline.operators.pairing import BROADCAST_ROWS, pair_rows, settled_small
 from loamline.operators.quality import metrics_table
 from loamline.operators.ranking import exact_quantiles, shortest_intervals
 from loamline.session import task_width
@@ -51,7 +51,7 @@ def convergence(
     keys = list(keys)
     if burn_half:
         half = long.groupBy(*keys, "chain").agg((F.max("iter") / 2).alias("half"))
-        long = long.join(half, [*keys, "chain"]).where(F.col("iter") > F.col("half")).drop("half")
+        long = long.join(settled_small(half), [*keys, "chain"]).where(F.col("iter") > F.col("half")).drop("half")
     chains = long.groupBy(*keys, "chain").agg(
         F.count("x").alias("m"), F.avg("x").alias("mean"), F.var_samp("x").alias("s2")
     )

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.operators.calendar import FIRST_YEAR, LAST_YEAR, hydrologic_year, label_by_interval, season_name
+from loamline.operators.pairing import settled_small
 from loamline.operators.reshape import offset_days
+from loamline.session import cut_lineage
 
 # Amount of the first rewatering, and the windows of the between-irrigation label.
 REWATER_MM = 30.0
@@ -30,7 +32,8 @@ def event_windows(irrigation: DataFrame, treatment: str, last_offset: int) -> Da
 
 def outside_windows(days: DataFrame, irrigation: DataFrame, treatment: str, last_offset: int) -> DataFrame:
     """Drop days inside an event window."""
-    return days.join(event_windows(irrigation, treatment, last_offset), "date", "left_anti")
+    windows = event_windows(irrigation, treatment, last_offset).select("date").distinct()
+    return days.join(settled_small(windows), "date", "left_anti")
 
 
 def days_since(irrigation: DataFrame, treatment: str, last_offset: int = 2) -> DataFrame:
@@ -46,7 +49,7 @@ def with_days_since(
     between: Sequence[tuple[dt.date, dt.date]] = BETWEEN_WINDOWS,
 ) -> DataFrame:
     """0, 1, 2 days since irrigation; 3 for other days inside a ``between`` window."""
-    labelled = days.join(days_since(irrigation, treatment), "date", "left")
+    labelled = days.join(settled_small(days_since(irrigation, treatment)), "date", "left")
     inside = F.lit(False)
     for first, last in between:
         inside = inside | F.col("date").between(F.lit(first), F.lit(last))
@@ -120,4 +123,4 @@ def without_first(pulses: DataFrame) -> DataFrame:
 
 def with_pulse(days: DataFrame, pulses: DataFrame) -> DataFrame:
     """Pulse whose closed interval holds the day, NULL when none does."""
-    return label_by_interval(days, pulses.drop("treatment"))
+    return label_by_interval(days, cut_lineage(pulses.drop("treatment")))

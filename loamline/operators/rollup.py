@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import labels, nulls, units
 from loamline.operators.calendar import FIRST_YEAR, LAST_YEAR, with_season
+from loamline.operators.pairing import settled_small
 
 # A sensor of one variable on one day; also the key on which daily tables are paired, so the
 # partitioning of the aggregate serves the join.
@@ -181,7 +182,7 @@ def weekly_ranges(paired: DataFrame) -> DataFrame:
 
 def rescaled_by_week(paired: DataFrame) -> DataFrame:
     """Water content on the potential axis of its week."""
-    return paired.join(weekly_ranges(paired), "year_week").withColumn(
+    return paired.join(settled_small(weekly_ranges(paired)), "year_week").withColumn(
         "vwc_scaled", F.col("vwc") * F.col("prop") + F.col("lo")
     )
 

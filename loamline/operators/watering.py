@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.functions import labels, nulls
+from loamline.operators.pairing import settled_small
 from loamline.operators.reshape import replicated
 
 # Fixed value: the day the roof went up.
@@ -41,7 +42,7 @@ def zero_filled(watering: DataFrame) -> DataFrame:
 def with_irrigation(paired: DataFrame, irrigation: DataFrame, treatment: str = "summer") -> DataFrame:
     """Irrigation of the row's own treatment on its day; the row count stays."""
     right = irrigation.select("date", F.col("treatment").alias(treatment), "irrigation_mm")
-    return paired.join(right, ["date", treatment], "left")
+    return paired.join(settled_small(right), ["date", treatment], "left")
 
 
 def axis_ratio(watering: DataFrame, series: DataFrame, top: Column, inverse: bool = False) -> DataFrame:

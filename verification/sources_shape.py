@@ -60,15 +60,18 @@ def _(spark, sf):
 
 @check(
     "a4_design_csv",
-    ("design",),
+    ("readings", "design"),
     """SELECT house, plot, winter, summer, CAST(right(winter, 1) AS INTEGER) AS winter_ord,
-              CAST(right(summer, 1) AS INTEGER) AS summer_ord FROM design""",
+              CAST(right(summer, 1) AS INTEGER) AS summer_ord, COUNT(variable) AS n_readings
+       FROM design LEFT JOIN readings USING (house, plot) GROUP BY ALL""",
 )
 def _(spark, sf):
     raw = S.design(spark, sf).select(
         F.col("house").alias("House"), F.col("plot").alias("Plot"), F.col("winter").alias("Winter"), F.col("summer").alias("Summer")
     )
-    return readers.read_design(spark, _as_csv(raw, "design"))
+    counted = S.readings(spark, sf).groupBy("house", "plot").agg(F.count(F.lit(1)).alias("n_readings"))
+    design = readers.read_design(spark, _as_csv(raw, "design"))
+    return design.join(counted, ["house", "plot"], "left").fillna(0, ["n_readings"])
 
 
 def _daily_cols(prefix):

@@ -105,8 +105,10 @@ def air_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def design(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The places with readings, plot 12 of house 5 left out, with both treatments."""
-    places = readings(spark, sf_dir).select("house", "plot").distinct()
+    """The 5 x 12 layout, plot 12 of house 5 left out, with both treatments."""
+    places = spark.range(60, numPartitions=1).selectExpr(
+        "CAST(id DIV 12 + 1 AS INT) AS house", "CAST(id % 12 + 1 AS INT) AS plot"
+    )
     return places.where(~((F.col("house") == 5) & (F.col("plot") == 12))).select(
         "house",
         "plot",
