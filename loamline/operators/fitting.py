@@ -91,12 +91,14 @@ def distinct_points(obs: DataFrame, group: str = "grp") -> DataFrame:
     """Usable (group, theta, h_cm) points with the number of observations at each.
 
     Repeated sensor readings collapse map-side before they meet the grid.  Every point then
-    costs a whole grid of curve values, so spreading the points evenly pays for itself.
+    costs a whole grid of curve values, so spreading the points evenly pays for itself.  The
+    spread uses other keys than the count, else it would be merged into the count's shuffle
+    and few points would end up in one task.
     """
     usable = obs.where(F.col("theta").isNotNull() & (F.col("h_cm") > 0))
     keys = [group, "theta", "h_cm"]
     counted = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-    return counted.repartition(task_width(obs.sparkSession), *keys)
+    return counted.repartition(task_width(obs.sparkSession), "theta", "h_cm")
 
 
 def grid_sse(obs: DataFrame, alpha: Axis, n: Axis, theta_r: Axis, group: str = "grp", theta_s: float = THETA_S) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from loamline.functions import curves
 from loamline.operators.nearest import GRID_FIRST, GRID_LAST, GRID_PER_UNIT, grid_index
-from loamline.operators.pairing import BROADCAST_ROWS, bounded_count, settled_small
+from loamline.operators.pairing import BROADCAST_ROWS, fits, settled_small
 from loamline.operators.ranking import exact_quantiles
-from loamline.session import task_width
+from loamline.session import cut_lineage, task_width
 
 # Quantiles kept, draws a grid point needs, and the calibrated range.
 QUANTILES = {"q50": 0.5, "q25": 0.25, "q75": 0.75}
@@ -28,8 +28,10 @@ def swc_grid(spark: SparkSession, first: int = GRID_FIRST, last: int = GRID_LAST
 
 def inverse_curves(
     draws: DataFrame, first: int = GRID_FIRST, last: int = GRID_LAST, limit: int = BROADCAST_ROWS
-) -> tuple[DataFrame, int | None]:
-    """Suction of every draw at every grid point, and the known number of draws.
+) -> tuple[DataFrame, int]:
+    """Suction of every draw at every grid point, and the most draws a group holds.
+
+    The draws are settled once; counting and expanding then read the settled rows.
 
     With draws few enough to send everywhere the grid is what gets distributed: it is
     hash-partitioned by grid point, so all draws of a point meet in one task and the
@@ -37,14 +39,15 @@ def inverse_curves(
     each is expanded over the grid in place.
     """
     suction = curves.suction_mpa(F.col("swc"), F.col("alpha_cm"), F.col("n"), F.col("theta_r")).alias("suction_mpa")
-    wanted = draws.select("grp", "alpha_cm", "n", "theta_r")
-    known = bounded_count(wanted, limit)
-    if known <= limit:
+    wanted = cut_lineage(draws.select("grp", "alpha_cm", "n", "theta_r"))
+    # Every draw meets every grid point once, so draws per group bound the values per cell.
+    most = wanted.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    if fits(wanted, limit):
         points = swc_grid(draws.sparkSession, first, last).repartition(task_width(draws.sparkSession), "swc_idx")
-        return points.join(F.broadcast(wanted)).select("swc_idx", "swc", "grp", suction), known
+        return points.join(F.broadcast(wanted)).select("swc_idx", "swc", "grp", suction), most
     index = F.explode(F.sequence(F.lit(first), F.lit(last)))
     expanded = wanted.withColumn("swc_idx", index).withColumn("swc", F.col("swc_idx") / F.lit(float(GRID_PER_UNIT)))
-    return expanded.select("swc_idx", "swc", "grp", suction), None
+    return expanded.select("swc_idx", "swc", "grp", suction), most
 
 
 def lookup_quantiles(
@@ -55,11 +58,8 @@ def lookup_quantiles(
     **quantile_options,
 ) -> DataFrame:
     """Per grid point and group: draws with a defined suction, and its quartiles."""
-    pairs, known = inverse_curves(draws, first, last, limit)
-    if known is None:
-        # Every draw meets every grid point once, so draws per group bound values per cell.
-        known = draws.groupBy("grp").count().agg(F.max("count")).first()[0]
-    quantile_options.setdefault("group_rows", known)
+    pairs, most = inverse_curves(draws, first, last, limit)
+    quantile_options.setdefault("group_rows", most)
     found = exact_quantiles(pairs, ["swc_idx", "grp"], "suction_mpa", QUANTILES, **quantile_options)
     return found.withColumn("swc", F.col("swc_idx") / F.lit(float(GRID_PER_UNIT)))
 

@@ -12,7 +12,7 @@ from loamline.functions.curves import water_content
 from loamline.operators.pairing import BROADCAST_ROWS, pair_rows, settled_small
 from loamline.operators.quality import metrics_table
 from loamline.operators.ranking import exact_quantiles, shortest_intervals
-from loamline.session import task_width
+from loamline.session import cut_lineage, task_width
 
 # Sampler bookkeeping.
 BURN_IN = 1000
@@ -113,15 +113,21 @@ def draw_key() -> Column:
     return F.col("iter").cast("long") * 10 + F.col("chain").cast("long")
 
 
+def settled_draws(draws: DataFrame) -> DataFrame:
+    """The columns a prediction needs, computed once."""
+    return cut_lineage(draws.select("grp", "chain", "iter", "alpha_cm", "n", "theta_r", "sigma"))
+
+
 def replicates(obs: DataFrame, draws: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Per observation and draw of its group: curve value ``mu`` and replicate ``rep``.
+    """Per observation and draw of its group: curve value ``mu`` and replicate ``rep``."""
+    return _replicates(obs, settled_draws(draws), limit)
 
-    Observations are spread by ``obs_id`` first: each becomes one row per draw, and a later
-    summary per observation finds its rows in place.
-    """
+
+def _replicates(obs: DataFrame, settled: DataFrame, limit: int) -> DataFrame:
+    """Observations are spread by ``obs_id`` first: each becomes one row per draw, and a later
+    summary per observation finds its rows in place."""
     spread = obs.select("obs_id", "grp", "theta", "h_cm").repartition(task_width(obs.sparkSession), "obs_id")
-    side = draws.select("grp", "chain", "iter", "alpha_cm", "n", "theta_r", "sigma")
-    pairs = pair_rows(spread, side, ["grp"], limit)
+    pairs = pair_rows(spread, settled, ["grp"], limit)
     mu = water_content(F.col("h_cm"), F.col("alpha_cm"), F.col("n"), F.col("theta_r"))
     return pairs.withColumn("mu", mu).withColumn(
         "rep", F.col("mu") + F.col("sigma") * standard_normal(F.col("obs_id"), draw_key())
@@ -144,9 +150,18 @@ def draw_measures(pairs: DataFrame, keys: Sequence[str] = ("chain", "iter")) ->
     )
 
 
-def predicted_intervals(pairs: DataFrame, method: str = "hdi", **options) -> DataFrame:
-    """Replicates summarised per observation; a group holds one value per draw."""
-    long = pairs.select("obs_id", F.col("rep").alias("x"))
+def predicted_intervals(
+    obs: DataFrame, draws: DataFrame, method: str = "hdi", limit: int = BROADCAST_ROWS, **options
+) -> DataFrame:
+    """Replicates summarised per observation.
+
+    An observation has one replicate per draw of its group, so counting the draws bounds the
+    values per observation.
+    """
+    settled = settled_draws(draws)
+    most = settled.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    options.setdefault("group_rows", most)
+    long = _replicates(obs, settled, limit).select("obs_id", F.col("rep").alias("x"))
     summary = hdi_summary if method == "hdi" else quantile_summary
     return summary(long, ["obs_id"], **options)
 

@@ -171,7 +171,7 @@ def _pairs(spark, sf):
 )
 def _(spark, sf):
     return snapped(
-        posterior.predicted_intervals(_pairs(spark, sf), "quantile"), "estimate", "std_error", "conf_low", "conf_high"
+        posterior.predicted_intervals(S.observations(spark, sf), S.draws(spark, sf), "quantile"), "estimate", "std_error", "conf_low", "conf_high"
     )
 
 
@@ -185,7 +185,8 @@ REP_HDI_SQL = f"""(SELECT obs_id, estimate, std_error, conf_low, conf_high
     f"SELECT obs_id, {_rounded(('estimate', 'std_error', 'conf_low', 'conf_high'))} FROM {REP_HDI_SQL}",
 )
 def _(spark, sf):
-    return snapped(posterior.predicted_intervals(_pairs(spark, sf)), "estimate", "std_error", "conf_low", "conf_high")
+    out = posterior.predicted_intervals(S.observations(spark, sf), S.draws(spark, sf))
+    return snapped(out, "estimate", "std_error", "conf_low", "conf_high")
 
 
 @check(
@@ -232,7 +233,7 @@ def _metrics_select(type_, y, x):
 )
 def _(spark, sf):
     obs = S.observations(spark, sf)
-    intervals = posterior.predicted_intervals(posterior.replicates(obs, S.draws(spark, sf)))
+    intervals = posterior.predicted_intervals(obs, S.draws(spark, sf))
     return snapped(posterior.fit_metrics(obs, intervals), "adj_r2", "coverage", "slope")
 
 
