@@ -33,21 +33,22 @@ def inverse_curves(
 
     The draws are settled once; counting and expanding then read the settled rows.
 
-    With draws few enough to send everywhere the grid is what gets distributed: it is
-    hash-partitioned by grid point, so all draws of a point meet in one task and the
-    aggregate that follows needs no shuffle.  With more draws these stay distributed and
-    each is expanded over the grid in place.
+    With draws few enough to send everywhere the (grid point, group) cells are what gets
+    distributed: all draws of a cell meet in one task and the aggregate that follows needs
+    no shuffle.  With more draws these stay distributed and each is expanded over the grid
+    in place.
     """
     suction = curves.suction_mpa(F.col("swc"), F.col("alpha_cm"), F.col("n"), F.col("theta_r")).alias("suction_mpa")
+    index = F.explode(F.sequence(F.lit(first), F.lit(last)))
+    swc = F.col("swc_idx") / F.lit(float(GRID_PER_UNIT))
     wanted = cut_lineage(draws.select("grp", "alpha_cm", "n", "theta_r"))
     # Every draw meets every grid point once, so draws per group bound the values per cell.
     most = wanted.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
     if fits(wanted, limit):
-        points = swc_grid(draws.sparkSession, first, last).repartition(task_width(draws.sparkSession), "swc_idx")
-        return points.join(F.broadcast(wanted)).select("swc_idx", "swc", "grp", suction), most
-    index = F.explode(F.sequence(F.lit(first), F.lit(last)))
-    expanded = wanted.withColumn("swc_idx", index).withColumn("swc", F.col("swc_idx") / F.lit(float(GRID_PER_UNIT)))
-    return expanded.select("swc_idx", "swc", "grp", suction), most
+        points = wanted.select("grp").distinct().withColumn("swc_idx", index)
+        spread = points.repartition(task_width(draws.sparkSession), "swc_idx", "grp")
+        return spread.join(F.broadcast(wanted), "grp").withColumn("swc", swc).select("swc_idx", "swc", "grp", suction), most
+    return wanted.withColumn("swc_idx", index).withColumn("swc", swc).select("swc_idx", "swc", "grp", suction), most
 
 
 def lookup_quantiles(

@@ -28,8 +28,7 @@ def covered(value: str = "theta", low: str = "conf_low", high: str = "conf_high"
 def metrics_table(pred: DataFrame) -> DataFrame:
     """One row per treatment, and a row "all".
 
-    Per treatment the estimate is regressed on the observation, overall the other way
-    round; both directions are the reference's choice.
+    Per treatment the estimate is regressed on the observation, overall the other way round.
     """
     def measures(y: str, x: str) -> list[Column]:
         return [adjusted_r2(y, x).alias("adj_r2"), covered().alias("coverage"), F.regr_slope(y, x).alias("slope")]

@@ -31,14 +31,18 @@ def _ranked(df: DataFrame, keys: Sequence[str], value: str, group_rows: int | No
     return strategy == "ranked"
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, slices: int | None = None) -> DataFrame:
+def value_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, slices: int | None = None, keep_empty: bool = False
+) -> DataFrame:
     """Distinct values with the half-open rank range [``first``, ``past``) they cover.
 
     ``total`` is the number of values of the group.  The sliced table is written once, so
-    slice totals and slice contents always describe the same cut.
+    slice totals and slice contents always describe the same cut.  ``keep_empty`` leaves
+    missing values in as NULL with an empty range, so that groups without values stay.
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("copies"))
+    source = df if keep_empty else df.where(F.col(value).isNotNull())
+    counted = source.groupBy(*keys, value).agg(F.count(value).alias("copies"))
     width = slices or shuffle_width(df.sparkSession)
     sliced = cut_lineage(
         counted.repartitionByRange(width, *keys, value).withColumn("slice", F.spark_partition_id())
@@ -118,7 +122,7 @@ def exact_quantiles(
 def _quantiles_by_rank(
     clean: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], count_as: str
 ) -> DataFrame:
-    ranks = value_ranks(clean, keys, value)
+    ranks = value_ranks(clean, keys, value, keep_empty=True)
     picks, finals = [], []
     for name, p in probabilities.items():
         place = F.lit(p) * (F.col("total") - 1)
@@ -127,14 +131,7 @@ def _quantiles_by_rank(
             picks.append(F.max(F.when(holds, F.col(value))).alias(f"{name}_{tag}"))
         spot = F.lit(p) * (F.col(count_as) - 1)
         finals.append(_between(F.col(f"{name}_lo"), F.col(f"{name}_hi"), spot - F.floor(spot)).alias(name))
-    found = ranks.groupBy(*keys).agg(F.max("total").alias(count_as), *picks).select(*keys, count_as, *finals)
-    empty = (
-        clean.groupBy(*keys)
-        .agg(F.count(value).alias(count_as))
-        .where(F.col(count_as) == 0)
-        .select(*keys, count_as, *[F.lit(None).cast("double").alias(n) for n in probabilities])
-    )
-    return found.unionByName(empty)
+    return ranks.groupBy(*keys).agg(F.max("total").alias(count_as), *picks).select(*keys, count_as, *finals)
 
 
 def shortest_intervals(
