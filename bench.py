@@ -21,6 +21,7 @@ HEADLINE = (
     "d4_pair_by_place_and_day",
     "d10_nearest_grid_point",
     "e15_exact_quantiles",
+    "e15_exact_quantiles_by_bin",
     "e15_exact_quantiles_by_rank",
     "f4_shortest_interval_by_rank",
     "k1_grid_sse",

@@ -37,6 +37,15 @@ def settled_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return broadcast_if_small(cut_lineage(df), limit)
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL, keeping the left side's key columns."""
+    renamed = right.select(*[F.col(c).alias(f"{c}_same_") if c in keys else F.col(c) for c in right.columns])
+    hit = F.lit(True)
+    for key in keys:
+        hit = hit & left[key].eqNullSafe(renamed[f"{key}_same_"])
+    return left.join(renamed, hit, how).drop(*[f"{k}_same_" for k in keys])
+
+
 def pair_rows(
     left: DataFrame, right: DataFrame, on: Sequence[str], limit: int = BROADCAST_ROWS, width: int | None = None
 ) -> DataFrame:

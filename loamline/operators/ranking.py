@@ -1,9 +1,12 @@
 """Exact order statistics per group, also for groups no single task could hold.
 
-Small groups are handled by one aggregate.  Beyond ``GROUP_ROWS`` values per group the
-values are first counted by distinct value (which removes heavy duplicates map-side), then
-range-partitioned by (keys, value) over the cluster; ranks are counted inside each slice and
-shifted by the totals of the slices before it.
+Small groups are handled by one aggregate.  Beyond ``GROUP_ROWS`` values per group:
+
+* Quantiles count values in narrow logarithmic bins first (counts combine map-side), then fetch
+  only the bins that hold a wanted rank.  Values outside them are never shuffled.
+* Shortest intervals, and bins that are themselves too large, rank all values: these are counted
+  by distinct value (which removes heavy duplicates map-side), range-partitioned by (keys, value)
+  over the cluster, ranked inside each slice and shifted by the totals of the slices before it.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.nulls import finite
+from loamline.operators.pairing import broadcast_if_small, join_same
 from loamline.session import cut_lineage, shuffle_width
 
 # Values of one group an aggregation buffer may hold.
@@ -25,10 +29,12 @@ def largest_group(df: DataFrame, keys: Sequence[str], value: str) -> int:
     return row["n"] or 0
 
 
-def _ranked(df: DataFrame, keys: Sequence[str], value: str, group_rows: int | None, limit: int, strategy: str) -> bool:
-    if strategy == "auto":
-        return (largest_group(df, keys, value) if group_rows is None else group_rows) > limit
-    return strategy == "ranked"
+def _strategy(
+    df: DataFrame, keys: Sequence[str], value: str, group_rows: int | None, limit: int, strategy: str, large: str
+) -> str:
+    if strategy != "auto":
+        return strategy
+    return large if (largest_group(df, keys, value) if group_rows is None else group_rows) > limit else "array"
 
 
 def value_ranks(
@@ -62,7 +68,7 @@ def value_ranks(
     upto = Window.partitionBy(*keys, "slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     inner = sliced.withColumn("upto", F.sum("copies").over(upto))
     past = F.col("shift") + F.col("upto")
-    return inner.join(totals, [*keys, "slice"]).select(
+    return join_same(inner, totals, [*keys, "slice"]).select(
         *keys, value, (past - F.col("copies")).alias("first"), past.alias("past"), "total"
     )
 
@@ -83,7 +89,7 @@ def _packed(clean: DataFrame, keys: list[str], value: str, moments: bool) -> Dat
 
 
 def _with_moments(found: DataFrame, clean: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return clean.groupBy(*keys).agg(*_moments(value)).join(found, keys)
+    return join_same(clean.groupBy(*keys).agg(*_moments(value)), found, keys)
 
 
 def exact_quantiles(
@@ -105,7 +111,8 @@ def exact_quantiles(
     """
     keys = list(keys)
     clean = df.select(*keys, finite(F.col(value)).alias(value))
-    if not _ranked(clean, keys, value, group_rows, limit, strategy):
+    way = _strategy(clean, keys, value, group_rows, limit, strategy, "binned")
+    if way == "array":
         packed = _packed(clean, keys, value, moments)
         picks = []
         for name, p in probabilities.items():
@@ -115,23 +122,87 @@ def exact_quantiles(
             picks.append(F.when(F.col("n") > 0, _between(*at, place - low)).alias(name))
         also = ["estimate", "std_error"] if moments else []
         return packed.select(*keys, F.col("n").alias(count_as), *also, *picks)
-    found = _quantiles_by_rank(clean, keys, value, probabilities, count_as)
+    if way == "binned":
+        found = _quantiles_by_bin(clean, keys, value, probabilities, count_as, limit)
+    else:
+        found = _quantiles_by_rank(clean, keys, value, probabilities, count_as)
     return _with_moments(found, clean, keys, value) if moments else found
 
 
+def _places(probabilities: dict[str, float]) -> list[tuple[str, Column]]:
+    """The two ranks around each quantile, as (column name, rank)."""
+    out = []
+    for name, p in probabilities.items():
+        place = F.lit(p) * (F.col("total") - 1)
+        out += [(f"{name}_lo", F.floor(place)), (f"{name}_hi", F.ceil(place))]
+    return out
+
+
+def _interpolated(probabilities: dict[str, float], count_as: str) -> list[Column]:
+    out = []
+    for name, p in probabilities.items():
+        place = F.lit(p) * (F.col(count_as) - 1)
+        out.append(_between(F.col(f"{name}_lo"), F.col(f"{name}_hi"), place - F.floor(place)).alias(name))
+    return out
+
+
 def _quantiles_by_rank(
     clean: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], count_as: str
 ) -> DataFrame:
     ranks = value_ranks(clean, keys, value, keep_empty=True)
-    picks, finals = [], []
-    for name, p in probabilities.items():
-        place = F.lit(p) * (F.col("total") - 1)
-        for tag, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            holds = (F.col("first") <= at) & (at < F.col("past"))
-            picks.append(F.max(F.when(holds, F.col(value))).alias(f"{name}_{tag}"))
-        spot = F.lit(p) * (F.col(count_as) - 1)
-        finals.append(_between(F.col(f"{name}_lo"), F.col(f"{name}_hi"), spot - F.floor(spot)).alias(name))
-    return ranks.groupBy(*keys).agg(F.max("total").alias(count_as), *picks).select(*keys, count_as, *finals)
+    picks = [
+        F.max(F.when((F.col("first") <= at) & (at < F.col("past")), F.col(value))).alias(name)
+        for name, at in _places(probabilities)
+    ]
+    found = ranks.groupBy(*keys).agg(F.max("total").alias(count_as), *picks)
+    return found.select(*keys, count_as, *_interpolated(probabilities, count_as))
+
+
+def _log_bin(c: Column, per_log: int = 64, offset: int = 50_000) -> Column:
+    """Integer bins in the order of the values, 1/64 natural-log unit wide on either side of 0."""
+    size = F.floor(F.lit(float(per_log)) * F.log(F.abs(c))) + F.lit(offset)
+    return F.when(c > 0, size).when(c < 0, -size).when(c == 0, F.lit(0).cast("long"))
+
+
+def _quantiles_by_bin(
+    clean: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], count_as: str, limit: int
+) -> DataFrame:
+    binned = clean.withColumn("bin", _log_bin(F.col(value)))
+    counted = cut_lineage(binned.groupBy(*keys, "bin").agg(F.count(value).alias("in_bin")))
+    upto = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (
+        counted.withColumn("past", F.sum("in_bin").over(upto))
+        .withColumn("total", F.sum("in_bin").over(Window.partitionBy(*keys)))
+        .withColumn("before", F.col("past") - F.col("in_bin"))
+    )
+    places = _places(probabilities)
+
+    def inside(at: Column) -> Column:
+        return (F.col("before") <= at) & (at < F.col("past"))
+
+    wanted = F.col("total") == 0
+    for _, at in places:
+        wanted = wanted | inside(at)
+    targets = cut_lineage(placed.where(wanted))
+    largest = targets.agg(F.max("in_bin")).first()[0] or 0
+    fetched = join_same(binned, broadcast_if_small(targets.select(*keys, "bin")), [*keys, "bin"], "left_semi")
+    if largest <= limit:
+        held = fetched.groupBy(*keys, "bin").agg(F.sort_array(F.collect_list(value)).alias("v"))
+        rows = join_same(targets, held, [*keys, "bin"], "left")
+        picks = [
+            F.max(F.when(inside(at), F.get("v", (at - F.col("before")).cast("int")))).alias(name) for name, at in places
+        ]
+    else:
+        ranks = value_ranks(fetched, [*keys, "bin"], value).drop("total")
+        within = ranks.withColumnRenamed("first", "first_in").withColumnRenamed("past", "past_in")
+        rows = join_same(targets, within, [*keys, "bin"], "left")
+        picks = []
+        for name, at in places:
+            spot = at - F.col("before")
+            here = inside(at) & (F.col("first_in") <= spot) & (spot < F.col("past_in"))
+            picks.append(F.max(F.when(here, F.col(value))).alias(name))
+    found = rows.groupBy(*keys).agg(F.max("total").alias(count_as), *picks)
+    return found.select(*keys, count_as, *_interpolated(probabilities, count_as))
 
 
 def shortest_intervals(
@@ -150,7 +221,7 @@ def shortest_intervals(
     """
     keys = list(keys)
     clean = df.select(*keys, finite(F.col(value)).alias(value)).where(F.col(value).isNotNull())
-    if not _ranked(clean, keys, value, group_rows, limit, strategy):
+    if _strategy(clean, keys, value, group_rows, limit, strategy, "ranked") == "array":
         return _shortest_in_array(clean, keys, value, mass, moments)
     found = _shortest_by_rank(clean, keys, value, mass)
     return _with_moments(found, clean, keys, value) if moments else found

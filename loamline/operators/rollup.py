@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import labels, nulls, units
 from loamline.operators.calendar import FIRST_YEAR, LAST_YEAR, with_season
-from loamline.operators.pairing import settled_small
+from loamline.operators.pairing import join_same, settled_small
 
 # A sensor of one variable on one day; also the key on which daily tables are paired, so the
 # partitioning of the aggregate serves the join.
@@ -125,14 +125,10 @@ def paired_days(wp: DataFrame, wc: DataFrame) -> DataFrame:
     return wp.join(wc.select(*keys, "wc_mean", "wc_min", "wc_max"), keys, "left")
 
 
-def null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join in which NULL keys match each other."""
-    renamed = right.select(*[F.col(c).alias(f"r_{c}") if c in keys else F.col(c) for c in right.columns])
-    hit = None
-    for key in keys:
-        same = left[key].eqNullSafe(renamed[f"r_{key}"])
-        hit = same if hit is None else hit & same
-    return left.join(renamed, hit, "left").drop(*[f"r_{k}" for k in keys])
+def paired_days_null_safe(wp: DataFrame, wc: DataFrame) -> DataFrame:
+    """The same pairing on every shared column, NULL labels matching each other."""
+    shared = [c for c in wp.columns if c in wc.columns and c != "id"]
+    return join_same(wp, wc.drop("id"), shared, "left")
 
 
 def matched_from_content(wc: DataFrame, wp: DataFrame) -> DataFrame:

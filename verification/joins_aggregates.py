@@ -100,8 +100,7 @@ def _(spark, sf):
         LEFT JOIN (SELECT house, plot, depth, date, wc_mean, wc_min, wc_max FROM wc_daily) c USING (house, plot, depth, date)""",
 )
 def _(spark, sf):
-    keys = ["date", "house", "depth", "plot", "summer", "winter", "plot_id", "year", "season"]
-    out = rollup.null_safe_left(_wp(spark, sf), _wc(spark, sf).drop("id"), keys)
+    out = rollup.paired_days_null_safe(_wp(spark, sf), _wc(spark, sf))
     return snapped(
         out.select("id", "house", "plot", "depth", "date", "summer", "winter", *_PAIR_STATS), *_PAIR_STATS
     )
@@ -428,6 +427,13 @@ def _(spark, sf):
     return snapped(ranking.exact_quantiles(_prices(spark, sf), ["grp"], "x", _QUARTILES), *_QUARTILES)
 
 
+@check("e15_exact_quantiles_by_bin", (), f"SELECT grp, COUNT(x) AS n_ok, {_QUARTILE_SQL} FROM {_PRICES_SQL} GROUP BY 1")
+def _(spark, sf):
+    return snapped(
+        ranking.exact_quantiles(_prices(spark, sf), ["grp"], "x", _QUARTILES, strategy="binned"), *_QUARTILES
+    )
+
+
 @check(
     "e15_exact_quantiles_by_rank", (), f"SELECT grp, COUNT(x) AS n_ok, {_QUARTILE_SQL} FROM {_PRICES_SQL} GROUP BY 1"
 )
