@@ -13,7 +13,13 @@ from loamline.operators import calendar, reshape, rollup, watering
 
 
 def in_range(df: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
-    return df.where(F.col("date").between(F.lit(first), F.lit(last)))
+    """Closed day range; tables with a hydrologic year also get the years it spans, so that a
+    table partitioned by year is read only there."""
+    chosen = df.where(F.col("date").between(F.lit(first), F.lit(last)))
+    if "year" not in df.columns:
+        return chosen
+    years = [day.year + (day.month >= 11) for day in (first, last)]
+    return chosen.where(F.col("year").between(*years))
 
 
 def of_treatments(df: DataFrame, summers: Sequence[str], winters: Sequence[str]) -> DataFrame:

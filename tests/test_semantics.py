@@ -220,6 +220,21 @@ def test_reader_unites_files_with_different_sensors(spark):
     assert rows == {"2020-01-01": (0.1, None, None), "2020-01-02": (0.2, None, 0.3)}
 
 
+def test_day_range_reads_only_its_years(spark):
+    from loamline.plans import dashboard
+
+    days = spark.range(1500).select(F.date_add(F.lit(dt.date(2019, 9, 1)), F.col("id").cast("int")).alias("date"))
+    table = calendar.with_season(days)
+    path = scratch_path(spark, "years")
+    tables.save_table(table, path, ("year",), ("date",))
+    first, last = dt.date(2020, 10, 30), dt.date(2020, 11, 2)
+    back = dashboard.in_range(tables.load_table(spark, path), first, last)
+    assert back.count() == 4
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    assert sorted(r.year for r in back.collect()) == [2020, 2020, 2021, 2021]
+
+
 def test_saved_table_prunes_partitions(spark):
     df = spark.range(100).select((F.col("id") % 4).cast("int").alias("year"), F.date_add(F.lit(dt.date(2020, 1, 1)), F.col("id").cast("int")).alias("date"))
     path = scratch_path(spark, "saved")
