@@ -116,6 +116,28 @@ def test_inverse_outside_its_domain_is_null(spark):
     assert at(0.44) == 0.0
 
 
+def test_vapour_pressure_deficit(spark):
+    from loamline.functions import units
+
+    def at(rh, t):
+        return spark.range(1).select(units.vapour_pressure_deficit(F.lit(rh), F.lit(t)).alias("d")).first().d
+
+    assert at(100.0, 25.0) == 0.0
+    assert abs(at(0.0, 0.0) - 0.61121 * 1.0041946) < 1e-9
+    assert abs(at(50.0, 25.0) - 1.590) < 2e-3
+
+
+def test_units(spark):
+    from loamline.functions import units
+
+    row = spark.range(1).select(
+        units.mpa_to_cm_water(F.lit(1.0)).alias("cm"),
+        units.cm_water_to_mpa(units.mpa_to_cm_water(F.lit(-1.5))).alias("mpa"),
+        units.inch_to_mm(F.lit(2.0)).alias("mm"),
+    ).first()
+    assert abs(row.cm - 10197.162129779) < 1e-6 and abs(row.mpa + 1.5) < 1e-12 and row.mm == 50.8
+
+
 def test_missing_values_follow_one_rule(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, nan), (1, None), (2, 3.0), (2, nan), (3, inf), (3, 5.0)]

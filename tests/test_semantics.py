@@ -208,6 +208,31 @@ def test_replicates_repeat_under_another_partitioning(spark):
     assert abs(noise.m) < 0.002 and abs(noise.s - 0.02) < 0.002
 
 
+def test_shared_folder_is_the_named_one():
+    from types import SimpleNamespace
+
+    from loamline.session import shared_dir
+
+    def session(named, master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: named), sparkContext=context)
+
+    assert shared_dir(session("hdfs://shared/folder", "yarn")) == "hdfs://shared/folder"
+    with pytest.raises(ValueError):
+        shared_dir(session(None, "yarn"))
+
+
+def test_convergence_of_identical_and_shifted_chains(spark):
+    random.seed(4)
+    rows = [(c, i, "p", random.gauss(0, 1)) for c in (1, 2, 3) for i in range(400)]
+    rows += [(c, i, "q", random.gauss(3.0 * c, 1)) for c in (1, 2, 3) for i in range(400)]
+    long = spark.createDataFrame(rows, "chain int, iter int, parameter string, x double")
+    found = {r.parameter: r.r_hat for r in posterior.convergence(long, ["parameter"]).collect()}
+    assert 0.99 < found["p"] < 1.02 and found["q"] > 2
+    plain = {r.parameter: r.r_hat for r in posterior.convergence(long, ["parameter"], df_correct=False).collect()}
+    assert plain["p"] <= found["p"]
+
+
 def test_reader_unites_files_with_different_sensors(spark):
     old = spark.createDataFrame([("2020-01-01 00:00:00", "1", "0.1", "NA")], "TIMESTAMP string, X string, VWC_P1_2_H3 string, T_inside string")
     new = spark.createDataFrame([("2020-01-02 00:30:00", "0.2", "0.3")], "TIMESTAMP string, VWC_P1_2_H3 string, VWC_P12_3_H5 string")

@@ -289,6 +289,21 @@ def _(spark, sf):
     return _logs(snapped(_lookup(spark, sf), "swc"), -1)
 
 
+_WIDE = [(g, q) for g in ("site", "S1", "S4") for q in _Q]
+
+
+@check(
+    "m3_wide_lookup",
+    ("lookup",),
+    f"""SELECT swc_idx, {R('swc')} AS swc, MAX(n_ok) FILTER (WHERE grp = 'site') AS n,
+               {', '.join(f"{R(f"log10(-MAX({q}) FILTER (WHERE grp = '{g}'))")} AS {g}_{q}" for g, q in _WIDE)} FROM lookup GROUP BY swc_idx, swc""",
+)
+def _(spark, sf):
+    wide = lookup.wide_lookup(_lookup(spark, sf))
+    logs = [snap(F.log10(-F.col(f"{g}_{q}"))).alias(f"{g}_{q}") for g, q in _WIDE]
+    return wide.select("swc_idx", snap("swc").alias("swc"), "n", *logs)
+
+
 @check(
     "a7_saved_lookup", ("lookup",), f"SELECT swc_idx, {R('swc')} AS swc, grp, n_ok, {_LOGNQ} FROM lookup"
 )
