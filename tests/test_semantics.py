@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamline.functions import labels, nulls
-from loamline.operators import calendar, fitting, lookup, nearest, pairing, posterior, pulses, ranking, rollup, watering
+from loamline.operators import calendar, fitting, lookup, nearest, pairing, posterior, pulses, ranking, watering
 from loamline.session import scratch_path
 from loamline.sources import readers, tables
 

@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from loamline.functions import labels
 from loamline.operators import calendar
 from loamline.plans import dashboard, halfhourly, preparation, selection
 from loamline.session import scratch_path
@@ -22,9 +21,9 @@ from verification.joins_aggregates import (
     _mean_cols,
     _means_sql,
 )
-from verification.soil_physics import BETWEEN, BETWEEN_SQL, PERIOD_CASE, WINDOW_S1
-from verification.sources_shape import _csv_day, _ts, _wc, _wp
-from verification.standins import LINE_YEARS, snap, snapped
+from verification.soil_physics import BETWEEN, BETWEEN_SQL, WINDOW_S1
+from verification.sources_shape import _csv_day, _ts, _wc
+from verification.standins import snap, snapped
 
 FIRST, LAST = dt.date(2024, 1, 3), dt.date(2024, 1, 25)
 SUMMERS, WINTERS = ("S1", "S3"), ("W1", "W3")
