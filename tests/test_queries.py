@@ -7,9 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from verification import base
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, ORACLES = base.QUERIES, base.ORACLES
 TYPES = {
     "int": "INTEGER",
     "bigint": "BIGINT",
@@ -54,4 +55,4 @@ def test_entry_returns_rows(spark):
 
 
 def test_every_query_has_a_twin():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(base.QUERIES) == set(base.ORACLES)
