@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import bpe, chat, lengths, packing, sharding
+from loamline.llm import bpe, chat, cotraining, jaccard, lengths, line_dedup, packing, sharding, topk
 from loamline.llm.common import table
 from loamline.session import scratch_path
 
@@ -19,6 +19,8 @@ PATTERN = public_tokenizers.PATTERN
 SHARDS = 16
 CONTEXT = 2048
 END_ID = 1
+BEST = 5
+QUERY_EVERY = 50
 SPECIAL = {"<|endoftext|>": 50256}
 
 
@@ -41,17 +43,61 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     _, placed = packing.pack_documents(docs, RANKS, PATTERN, CONTEXT, END_ID, SPECIAL)
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.drop_template_lines(docs).select(
+        "doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.col("n_dropped").cast("long").alias("n_dropped")
+    )
+
+
+OP5_SQL = f"""
+WITH pages AS (
+  SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+counted AS (
+  SELECT source, line, COUNT(*) AS pages
+  FROM (SELECT source, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))),
+                                                        lambda x: x <> ''))) AS line
+        FROM pages WHERE source IS NOT NULL)
+  GROUP BY ALL HAVING COUNT(*) >= {line_dedup.MIN_PAGES}),
+bad AS (
+  SELECT source, list(line) AS bad
+  FROM counted JOIN (SELECT source, COUNT(*) AS total FROM documents GROUP BY ALL) USING (source)
+  WHERE pages > total * {line_dedup.RATIO}e0 GROUP BY source),
+kept AS (
+  SELECT doc_id, text, lines,
+         list_filter(lines, lambda x: bad IS NULL OR NOT list_contains(bad, trim(x, ' ' || chr(9) || chr(13)))) AS left_
+  FROM pages LEFT JOIN bad USING (source)),
+cut AS (
+  SELECT *, array_to_string(left_, chr(10)) AS short FROM kept),
+chosen AS (
+  SELECT *, length(short) >= length(text) * {1 - line_dedup.MAX_LOSS}e0 AS ok FROM cut)
+SELECT doc_id, CASE WHEN ok THEN short ELSE text END AS text,
+       length(CASE WHEN ok THEN short ELSE text END) AS n_chars,
+       CASE WHEN ok THEN len(lines) - len(left_) ELSE 0 END AS n_dropped
+FROM chosen"""
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lengths.context_table(lengths.length_histogram(docs, RANKS, PATTERN))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = cotraining.score_documents(docs, labels)
+    return scored.select("doc_id", "quality_probability", cotraining.accepted(scored).alias("accepted"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.sql(
@@ -100,6 +146,26 @@ SELECT conv_id, COUNT(*) AS n_turns,
 FROM seen GROUP BY conv_id"""
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    queries = rows.filter(F.col("vec_id") % QUERY_EVERY == 0)
+    return topk.top_k(rows, queries, BEST, "vec_id", "embedding")
+
+
+OP9_SQL = f"""
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % {QUERY_EVERY} = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= {BEST}"""
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     coded = bpe.encode_texts(docs, RANKS, PATTERN, keep=["doc_id"])
@@ -114,9 +180,26 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_packing": op4_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op8_chat_formatting": OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+    "op8_chat_formatting": OP8_SQL,
+    "op9_exact_top_k": OP9_SQL,
+}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
