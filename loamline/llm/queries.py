@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import bpe, chat, cotraining, jaccard, lengths, line_dedup, packing, sharding, topk
+from loamline.llm import bpe, chat, cotraining, cross_polytope, jaccard, lengths, line_dedup, packing, sharding, topk
 from loamline.llm.common import table
 from loamline.session import scratch_path
 
@@ -43,6 +43,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -180,6 +184,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
