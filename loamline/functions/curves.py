@@ -9,8 +9,10 @@ from loamline.functions.units import cm_to_m, cm_water_to_mpa, mpa_to_cm_water
 
 # Fixed value: saturated water content of the loamy sand.
 THETA_S = 0.44
-# Largest exponent whose exponential is a finite double.
-MAX_EXPONENT = 709.0
+# From here on exp(x) - 1 and exp(x) are the same double.
+LARGE_EXPONENT = 40.0
+# Taken out of large suctions while their unit is changed, lest that overflows.
+SCALE = 1e10
 
 
 def suction_cm(potential_mpa: Column) -> Column:
@@ -35,10 +37,14 @@ def water_content(h_cm: Column, alpha: Column, n: Column, theta_r: Column, theta
 def suction_mpa(theta: Column, alpha: Column, n: Column, theta_r: Column, theta_s: float = THETA_S) -> Column:
     """Inverse curve as suction in MPa; NULL outside theta_r < theta <= theta_s, n > 1, alpha > 0.
 
-    The guard bounds the exponent, so the curve is evaluated once and never overflows.
+    For large exponents the root is taken of the exponential as such, so that only a suction
+    which is itself no finite double is NULL.
     """
     one = F.lit(1.0)
     valid = (theta > theta_r) & (theta <= F.lit(theta_s)) & (n > one) & (alpha > F.lit(0.0))
     power = F.log(F.try_divide(F.lit(theta_s) - theta_r, theta - theta_r)) * F.try_divide(n, n - one)
-    head = F.try_divide(F.pow(F.exp(power) - one, F.try_divide(one, n)), alpha)
-    return F.when(valid & (power < F.lit(MAX_EXPONENT)), cm_water_to_mpa(head))
+    root = F.try_divide(one, n)
+    near = F.pow(F.exp(F.least(power, F.lit(LARGE_EXPONENT))) - one, root)
+    far = cm_water_to_mpa(F.try_divide(F.exp(power * root) / F.lit(SCALE), alpha)) * F.lit(SCALE)
+    suction = F.when(power < F.lit(LARGE_EXPONENT), cm_water_to_mpa(F.try_divide(near, alpha))).otherwise(far)
+    return F.when(valid & (suction < F.lit(float("inf"))), suction)

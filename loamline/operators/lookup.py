@@ -18,6 +18,8 @@ QUANTILES = {"q50": 0.5, "q25": 0.25, "q75": 0.75}
 MIN_DRAWS = 1000
 RANGE_LOW = 0.0439
 RANGE_HIGH = 0.44
+# Join keys over which rows without content are dealt.
+SPREAD = 10_000
 STATISTICS = {"median": "q50", "lower": "q25", "upper": "q75"}
 
 
@@ -47,7 +49,9 @@ def inverse_curves(
     if fits(wanted, limit):
         points = wanted.select("grp").distinct().withColumn("swc_idx", index)
         spread = points.repartition(task_width(draws.sparkSession), "swc_idx", "grp")
-        return spread.join(F.broadcast(wanted), "grp").withColumn("swc", swc).select("swc_idx", "swc", "grp", suction), most
+        # A NULL group is a group, as it is for the aggregate of the other form.
+        met = spread.withColumnRenamed("grp", "cell_grp").join(F.broadcast(wanted), F.col("cell_grp").eqNullSafe(F.col("grp")))
+        return met.withColumn("swc", swc).select("swc_idx", "swc", "grp", suction), most
     return wanted.withColumn("swc_idx", index).withColumn("swc", swc).select("swc_idx", "swc", "grp", suction), most
 
 
@@ -116,7 +120,10 @@ def convert(
     ``strict`` also blanks content above the calibrated range.
     """
     group = F.lit(param) if isinstance(param, str) else param
-    keyed = df.withColumn("swc_idx_", grid_index(F.col(swc))).withColumn("grp_", group)
+    index = grid_index(F.col(swc))
+    # Rows without content match nothing; negative keys deal them over all tasks.
+    apart = (-1 - F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SPREAD))).cast("int")
+    keyed = df.withColumn("swc_idx_", F.coalesce(index, apart)).withColumn("grp_", group)
     side = lookup.select(
         F.col("swc_idx").alias("swc_idx_"),
         F.col("grp").alias("grp_"),

@@ -32,6 +32,8 @@ def nearest_join(
 ) -> DataFrame:
     """Nearest ``grid`` value for each ``value``; ties go to the lower grid value.
 
+    A value that is NULL, NaN or infinite matches nothing.  Lookup rows with equal grid values
+    all match, whatever the size of the lookup.
     A grid value owns the stretch between the midpoints to its neighbours.  Stretches are
     entered in cells of width ``cell``, and the join is an equi join on cells.  Values outside
     the grid's span are looked up in its end cells.  Neighbours come from one window while
@@ -52,8 +54,9 @@ def nearest_join(
     # Each lookup row enters the cells of its stretch: at most two more than the stretch spans.
     if ends["n"] and 2 * ends["n"] + (ends["hi"] - ends["lo"]) / cell <= BROADCAST_ROWS:
         spread = F.broadcast(spread)
-    held = F.greatest(F.lit(ends["lo"]), F.least(F.lit(ends["hi"]), F.col(value)))
-    left = df.withColumn("cell_", F.when(F.col(value).isNotNull(), cell_of(held)))
+    known = finite(F.col(value))
+    held = F.greatest(F.lit(ends["lo"]), F.least(F.lit(ends["hi"]), known))
+    left = df.withColumn("cell_", F.when(known.isNotNull(), cell_of(held)))
     here = (
         (left["cell_"] == spread["cell_"])
         & (spread["from_"].isNull() | (left[value] > spread["from_"]))
@@ -63,9 +66,12 @@ def nearest_join(
 
 
 def _with_neighbours(lookup: DataFrame, grid: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Neighbours among the distinct grid values, so that equal ones own the same stretch."""
     if fits(lookup, limit):
         order = Window.orderBy(grid)
-        return lookup.withColumn("below_", F.lag(grid).over(order)).withColumn("above_", F.lead(grid).over(order))
+        points = lookup.select(grid).where(F.col(grid).isNotNull()).distinct()
+        beside = points.withColumn("below_", F.lag(grid).over(order)).withColumn("above_", F.lead(grid).over(order))
+        return lookup.join(F.broadcast(beside), grid)
     ranks = value_ranks(lookup.select(F.lit(0).alias("all_"), grid), ["all_"], grid)
     below = ranks.select(F.col("past").alias("first"), F.col(grid).alias("below_"))
     above = ranks.select(F.col("first").alias("past"), F.col(grid).alias("above_"))
