@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.curves import THETA_S, saturation
-from loamline.operators.pairing import settled_small
+from loamline.operators.pairing import join_same, settled_small
 from loamline.session import cut_lineage, task_width
 
 
@@ -129,27 +129,23 @@ def with_pooled(obs: DataFrame, group: str = "grp", pooled: str = "site") -> Dat
 def grid_posterior(sse: DataFrame, sigma: Axis, group: str = "grp") -> DataFrame:
     """Normalised weights over (alpha, n, theta_r, sigma) under flat priors.
 
-    A group has as many rows as the literal grid, which bounds the windows.
+    The group's largest weight and its sum are aggregates, one row a group, joined back: no task
+    holds a whole group.
     """
     s = F.lit(sigma.low) + F.lit(sigma.step) * F.col("k")
-    whole = Window.partitionBy(group)
-    raw = (
-        sse.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(sigma.count - 1))))
+    log_weight = -F.col("n_obs") * F.log("sigma") - F.col("sse") / (2.0 * F.col("sigma") * F.col("sigma"))
+    cells = (
+        cut_lineage(sse)
+        .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(sigma.count - 1))))
         .withColumn("sigma", s)
-        .withColumn(
-            "log_weight", -F.col("n_obs") * F.log("sigma") - F.col("sse") / (2.0 * F.col("sigma") * F.col("sigma"))
-        )
-        .withColumn("log_weight", F.col("log_weight") - F.max("log_weight").over(whole))
-        .withColumn("raw", F.exp("log_weight"))
+        .withColumn("log_weight", log_weight)
     )
-    return raw.select(
-        group,
-        "alpha_cm",
-        "n",
-        "theta_r",
-        "sigma",
-        "log_weight",
-        (F.col("raw") / F.sum("raw").over(whole)).alias("weight"),
+    top = settled_small(cells.groupBy(group).agg(F.max("log_weight").alias("top")))
+    raw = join_same(cells, top, [group]).withColumn("log_weight", F.col("log_weight") - F.col("top"))
+    raw = raw.withColumn("raw", F.exp("log_weight"))
+    total = settled_small(raw.groupBy(group).agg(F.sum("raw").alias("total")))
+    return join_same(raw, total, [group]).select(
+        group, "alpha_cm", "n", "theta_r", "sigma", "log_weight", (F.col("raw") / F.col("total")).alias("weight")
     )
 
 

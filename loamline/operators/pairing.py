@@ -14,13 +14,9 @@ from loamline.session import cut_lineage, shuffle_width
 BROADCAST_ROWS = 200_000
 
 
-def bounded_count(df: DataFrame, limit: int) -> int:
-    """Row count, counting no further than ``limit + 1``."""
-    return df.limit(limit + 1).count()
-
-
 def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    return bounded_count(df, limit) <= limit
+    """Whether ``df`` has at most ``limit`` rows: counted in every task, or read off file footers."""
+    return df.count() <= limit
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -215,7 +215,7 @@ def shortest_intervals(
     limit: int = GROUP_ROWS,
     strategy: str = "auto",
 ) -> DataFrame:
-    """Narrowest interval that spans round(n * mass) steps of the sorted values.
+    """Narrowest interval that spans round(n * mass) steps of the sorted values, half to even.
 
     Equal widths resolve to the lowest interval.
     """
@@ -228,7 +228,7 @@ def shortest_intervals(
 
 
 def _gap(n: Column, mass: float) -> Column:
-    return F.greatest(F.lit(1), F.least(n - 1, F.round(n * F.lit(mass)).cast("long")))
+    return F.greatest(F.lit(1), F.least(n - 1, F.bround(n * F.lit(mass)).cast("long")))
 
 
 def _shortest_in_array(clean: DataFrame, keys: list[str], value: str, mass: float, moments: bool) -> DataFrame:

@@ -70,14 +70,14 @@ def statistics_long(df: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def statistics_wide(df: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Back to one column per statistic."""
-    wide = df.groupBy(*ids).pivot("type", ["mean", "min", "max"]).agg(F.first("value"))
+    """Back to one column per statistic; of repeated cells the largest value stays."""
+    wide = df.groupBy(*ids).pivot("type", ["mean", "min", "max"]).agg(F.max("value"))
     return wide
 
 
 def variables_wide(df: DataFrame, ids: Sequence[str], variables: Sequence[str]) -> DataFrame:
-    """One column per variable at the grain of ``ids``."""
-    return df.groupBy(*ids).pivot("variable", list(variables)).agg(F.first("value", ignorenulls=True))
+    """One column per variable at the grain of ``ids``; of repeated cells the largest value stays."""
+    return df.groupBy(*ids).pivot("variable", list(variables)).agg(F.max("value"))
 
 
 def chosen_treatment(df: DataFrame, column: str) -> DataFrame:

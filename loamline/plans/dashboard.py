@@ -11,15 +11,21 @@ from pyspark.sql import functions as F
 from loamline.functions import labels
 from loamline.operators import calendar, reshape, rollup, watering
 
+# The hydrologic year of the prepared daily tables, by which they are partitioned.
+YEAR = "year"
 
-def in_range(df: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
-    """Closed day range; tables with a hydrologic year also get the years it spans, so that a
-    table partitioned by year is read only there."""
+
+def in_range(df: DataFrame, first: dt.date, last: dt.date, year: str | None = None) -> DataFrame:
+    """Closed day range.
+
+    ``year`` names a column with the hydrologic year, if the table is partitioned by it: the
+    years the range spans are then read, and no others.
+    """
     chosen = df.where(F.col("date").between(F.lit(first), F.lit(last)))
-    if "year" not in df.columns:
+    if year is None:
         return chosen
     years = [day.year + (day.month >= 11) for day in (first, last)]
-    return chosen.where(F.col("year").between(*years))
+    return chosen.where(F.col(year).between(*years))
 
 
 def of_treatments(df: DataFrame, summers: Sequence[str], winters: Sequence[str]) -> DataFrame:
@@ -35,12 +41,12 @@ def seasonal(
         in_range(tables["watering"].where(F.col("treatment").isin([*summers, *winters])), first, last)
     )
     for name, table, prefix in (("wc", "water_content", "wc"), ("ts", "temperature", "ts")):
-        chosen = in_range(of_treatments(tables[table], summers, winters), first, last)
+        chosen = in_range(of_treatments(tables[table], summers, winters), first, last, YEAR)
         series = rollup.plot_means(chosen, ("date", "depth"), prefix)
         out[name] = series
         out[f"{name}_sizes"] = rollup.size_labels(series, ("depth",), labels.depth_label(F.col("depth")))
         out[f"{name}_ratio"] = watering.axis_ratio(water, series, F.max(f"mean_{prefix}_max"))
-    air = rollup.outside_air_means(in_range(tables["air"], first, last))
+    air = rollup.outside_air_means(in_range(tables["air"], first, last, YEAR))
     out["watering"] = water
     out["air"] = air
     out["air_ratio"] = air.agg(F.try_divide(F.max("mean_D_max"), F.max("mean_T_max")).alias("ratio"))
@@ -49,7 +55,7 @@ def seasonal(
 
 def comparison(tables: dict[str, DataFrame], by: str, first: dt.date, last: dt.date) -> dict[str, DataFrame]:
     """Tab 2: watering by treatment, and water content by treatment and depth."""
-    chosen = reshape.chosen_treatment(in_range(tables["water_content"], first, last), by)
+    chosen = reshape.chosen_treatment(in_range(tables["water_content"], first, last, YEAR), by)
     series = rollup.plot_means(chosen, ("treatment", "date", "depth"), "wc", skip_nulls=False).withColumn(
         "depth_label", labels.depth_label(F.col("depth"))
     )
@@ -62,7 +68,7 @@ def comparison(tables: dict[str, DataFrame], by: str, first: dt.date, last: dt.d
 
 def pairs(tables: dict[str, DataFrame], summer: str, first: dt.date, last: dt.date, winter: str = "W3") -> dict[str, DataFrame]:
     """Tab 3: paired days of one summer treatment, its watering and both axis ratios."""
-    days = in_range(tables["paired"].where(F.col("summer") == summer), first, last)
+    days = in_range(tables["paired"].where(F.col("summer") == summer), first, last, YEAR)
     water = watering.zero_filled(
         in_range(
             tables["watering"].where((F.col("treatment") == summer) | (F.col("treatment") == winter)), first, last
