@@ -2,43 +2,81 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import csv
+from collections.abc import Iterable, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamline.functions import labels, timekeys, units
 
-# Fixed value: how the loggers write a timestamp.
-LOGGER_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# Marks the header line of a logger file: the name of its time column.
+TIME_COLUMN = "TIMESTAMP"
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).csv(path).columns
 
 
+def _files_by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files with the same header line, found for all files in one job over their lines.
+
+    What reaches the driver is a row per file, which the driver lists anyway to plan a scan.
+    """
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+    headers = lines.where(F.col("value").contains(TIME_COLUMN)).groupBy("file").agg(F.min("value").alias("header"))
+    order = [unquote(p).split(":", 1)[-1].rstrip("/") for p in paths]
+
+    def given(file: str) -> tuple[int, str]:
+        return next((i for i, p in enumerate(order) if p in unquote(file)), len(order)), file
+
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in sorted(headers.collect(), key=lambda r: given(r["file"])):
+        names = tuple(next(csv.reader([row["header"].strip("\ufeff\r")])))
+        groups.setdefault(names, []).append(row["file"])
+    return groups
+
+
+def logger_time(text: Column, formats: Sequence[str] = ()) -> Column:
+    """A zoneless timestamp; a day alone is its midnight.
+
+    Without ``formats`` ISO forms are read, else the first format that fits. Text that none fits
+    fails the job, naming the text: no reading loses its time silently.
+    """
+    tried = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    parsed = F.coalesce(*tried) if tried else text.try_cast("timestamp_ntz")
+    lost = F.raise_error(F.concat(F.lit("no time: "), text)).cast("timestamp_ntz")
+    return F.when(parsed.isNull() & text.isNotNull(), lost).otherwise(parsed)
+
+
 def read_wide_sensors(
     spark: SparkSession,
     paths: str | Iterable[str],
     drop: tuple[str, ...] = ("X",),
-    time_format: str = LOGGER_FORMAT,
+    time_formats: Sequence[str] = (),
 ) -> DataFrame:
     """Wide logger files: ``dt``, ``date`` and one double column per sensor.
 
-    Each path has its own header, so a sensor added later simply is NULL in older files.
+    Paths may be files or folders.  Columns are bound by name: files are grouped by their header
+    line and each group is one scan, so sensors may change places, come or go between files; one
+    that a file lacks is NULL there.  Files without a time column are not logger files and are
+    left out.
     """
+    groups = _files_by_header(spark, [paths] if isinstance(paths, str) else list(paths))
+    if not groups:
+        raise ValueError(f"no file with a column {TIME_COLUMN}")
     frames = []
-    for path in [paths] if isinstance(paths, str) else list(paths):
-        names = _header(spark, path)
+    for names, files in groups.items():
         schema = T.StructType(
-            [T.StructField(c, T.StringType() if c == "TIMESTAMP" else T.DoubleType()) for c in names]
+            [T.StructField(c, T.StringType() if c == TIME_COLUMN else T.DoubleType()) for c in names]
         )
-        raw = spark.read.csv(path, header=True, schema=schema, nullValue="NA")
-        sensors = [F.col(f"`{c}`") for c in names if c != "TIMESTAMP" and c not in drop]
-        dt = F.to_timestamp_ntz("TIMESTAMP", F.lit(time_format))
-        frames.append(raw.select(dt.alias("dt"), F.to_date(dt).alias("date"), *sensors))
+        raw = spark.read.csv(files, header=True, schema=schema, nullValue="NA", enforceSchema=False)
+        sensors = [F.col(f"`{c}`") for c in names if c != TIME_COLUMN and c not in drop]
+        dt = logger_time(F.col(TIME_COLUMN), time_formats)
+        frames.append(raw.select(dt.alias("dt"), *sensors).select("dt", F.to_date("dt").alias("date"), *sensors))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -46,7 +84,7 @@ def read_irrigation(spark: SparkSession, path: str) -> DataFrame:
     """Wide irrigation events: ``date`` plus one amount column per treatment, blanks NULL."""
     names = _header(spark, path)
     schema = T.StructType([T.StructField(c, T.StringType() if c == "date" else T.DoubleType()) for c in names])
-    raw = spark.read.csv(path, header=True, schema=schema)
+    raw = spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
     return raw.withColumn("date", timekeys.slash_day(F.col("date")))
 
 
