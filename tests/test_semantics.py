@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loamline.functions import labels, nulls
+from loamline.functions import curves, labels, nulls
 from loamline.operators import calendar, fitting, lookup, nearest, pairing, posterior, pulses, ranking, watering
 from loamline.session import scratch_path
 from loamline.sources import readers, tables
@@ -253,7 +253,7 @@ def test_day_range_reads_only_its_years(spark):
     path = scratch_path(spark, "years")
     tables.save_table(table, path, ("year",), ("date",))
     first, last = dt.date(2020, 10, 30), dt.date(2020, 11, 2)
-    back = dashboard.in_range(tables.load_table(spark, path), first, last)
+    back = dashboard.in_range(tables.load_table(spark, path), first, last, "year")
     assert back.count() == 4
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
@@ -268,3 +268,66 @@ def test_saved_table_prunes_partitions(spark):
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and "GreaterThanOrEqual(date" in plan
     assert back.count() == 17
+
+
+def test_logger_files_are_bound_by_name(spark, tmp_path):
+    folder = tmp_path / "logger"
+    folder.mkdir()
+    (folder / "a.csv").write_text("TIMESTAMP,P1,P2\n2020-01-01 00:30:00,1,2\n")
+    (folder / "b.csv").write_text("TIMESTAMP,P2,P1,X\n2020-01-02,20,10,0\n")
+    (folder / "c.csv").write_text('"TIMESTAMP","P3"\n2020-01-03 00:00:00,NA\n')
+    rows = {str(r.dt): r for r in readers.read_wide_sensors(spark, str(folder)).collect()}
+    assert (rows["2020-01-01 00:30:00"].P1, rows["2020-01-01 00:30:00"].P2) == (1.0, 2.0)
+    assert (rows["2020-01-02 00:00:00"].P1, rows["2020-01-02 00:00:00"].P2) == (10.0, 20.0)
+    assert rows["2020-01-03 00:00:00"].P3 is None and "X" not in rows["2020-01-02 00:00:00"]
+    (folder / "d.csv").write_text("TIMESTAMP,P1\nnot a time,1\n")
+    with pytest.raises(Exception, match="no time: not a time"):
+        readers.read_wide_sensors(spark, str(folder)).collect()
+
+
+def test_interval_steps_are_rounded_half_to_even(spark):
+    squares = spark.range(30).select(F.lit("g").alias("g"), (F.col("id") * F.col("id")).cast("double").alias("x"))
+    for strategy in ("array", "ranked"):
+        row = ranking.shortest_intervals(squares, ["g"], "x", strategy=strategy).first()
+        assert (row.conf_low, row.conf_high) == (0.0, 784.0)
+
+
+@pytest.mark.parametrize("n, finite", [(1.035, False), (1.038, True), (1.039, True), (1.04, True), (1.05, True)])
+def test_inverse_curve_keeps_every_finite_suction(spark, n, finite):
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    alpha, theta_r = 0.05, 0.03
+    theta = theta_r + 1e-12
+    frame = spark.createDataFrame([(theta, alpha, n, theta_r)], "theta double, alpha double, n double, r double")
+    found = frame.select(curves.suction_mpa(F.col("theta"), F.col("alpha"), F.col("n"), F.col("r")).alias("s")).first().s
+    t, a, m, r = (Decimal(x) for x in (theta, alpha, n, theta_r))
+    ratio = (Decimal(0.44) - r) / (t - r)
+    head = ((ratio ** (m / (m - 1))) - 1) ** (1 / m) / a
+    want = head * Decimal("98.0665") / Decimal("1e6")
+    assert (found is not None) == finite
+    if finite:
+        assert abs(Decimal(found) / want - 1) < Decimal("1e-9")
+
+
+def test_nearest_is_the_same_for_any_lookup_size(spark, monkeypatch):
+    grid = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (2.0, "c"), (3.0, "d")], "grid double, tag string")
+    values = spark.createDataFrame([(x,) for x in (2.2, 1.9, 1.5, 9.0, -4.0, float("nan"), float("inf"), None)], "v double")
+
+    def matches():
+        return sorted(map(repr, nearest.nearest_join(values, grid, "v", "grid", 0.5).collect()))
+
+    small = matches()
+    monkeypatch.setattr(nearest._with_neighbours, "__defaults__", (0,))
+    assert matches() == small
+    assert sum("2.2" in r for r in small) == 2 and sum("tag=None" in r for r in small) == 3
+
+
+def test_draws_without_a_group_stay_for_any_size(spark):
+    draws = spark.createDataFrame(
+        [("site", 0.05, 1.5, 0.03), (None, 0.05, 1.5, 0.03)], "grp string, alpha_cm double, n double, theta_r double"
+    )
+    forms = [
+        sorted(map(repr, lookup.lookup_quantiles(draws, 4000, 4001, limit).collect())) for limit in (100, 1)
+    ]
+    assert forms[0] == forms[1] and len(forms[0]) == 4

@@ -60,12 +60,14 @@ def theta(h: str, a: str, n: str, r: str) -> str:
 
 def suction(t: str, a: str, n: str, r: str) -> str:
     """Suction in MPa with the same guards as the library."""
-    head = (
-        f"(pow(pow((0.44 - {r}) / ({t} - {r}), {n} / ({n} - 1.0)) - 1.0, 1.0e0 / {n}) / {a})"
+    power = f"(ln((0.44 - {r}) / ({t} - {r})) * {n} / ({n} - 1.0))"
+    value = (
+        f"(CASE WHEN {power} < 40 THEN pow(exp({power}) - 1.0, 1.0e0 / {n}) / {a} * 98.0665 / 1.0e6 "
+        f"WHEN {power} / {n} < 709 THEN exp({power} / {n}) / 1.0e10 / {a} * 98.0665 / 1.0e6 * 1.0e10 END)"
     )
     return (
         f"CASE WHEN {t} > {r} AND {t} <= 0.44 AND {n} > 1 AND {a} > 0 "
-        f"THEN CASE WHEN {head} < 'Infinity'::DOUBLE THEN {head} * 98.0665 / 1.0e6 END END"
+        f"THEN CASE WHEN {value} < 'Infinity'::DOUBLE THEN {value} END END"
     )
 
 
@@ -108,7 +110,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     WHERE NOT (house = 5 AND plot = 12)""",
     ),
     "seasons_ev": ((), _seasons(2023, 2024)),
-    "seasons_li": ((), _seasons(1995, 2001)),
+    "seasons_li": ((), _seasons(1994, 2002)),
     "ts_daily": (("readings", "design", "seasons_ev"), _daily("TS", "ts", keep="WHERE g.ts_mean IS NOT NULL")),
     "wc_daily": (("readings", "design", "seasons_ev"), _daily("VWC", "wc")),
     "wp_daily": (("readings", "design", "seasons_ev"), _daily("SWP", "wp", " / 1000")),

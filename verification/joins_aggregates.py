@@ -59,13 +59,13 @@ def _per_season(df):
 
 @check("d3_season_by_calendar_join", ("seasons_li",), _SEASON_SQL)
 def _(spark, sf):
-    seasons = calendar.season_calendar(spark, 1995, 2001)
+    seasons = calendar.season_calendar(spark, 1994, 2002)
     return _per_season(calendar.label_by_interval(_ship_days(spark, sf), seasons, how="inner"))
 
 
 @check("d3_season_by_range_join", ("seasons_li",), _SEASON_SQL)
 def _(spark, sf):
-    seasons = calendar.season_calendar(spark, 1995, 2001)
+    seasons = calendar.season_calendar(spark, 1994, 2002)
     return _per_season(calendar.label_by_range(_ship_days(spark, sf), seasons).where(F.col("season").isNotNull()))
 
 
@@ -514,7 +514,7 @@ def hdi_sql(source: str, keys: tuple[str, ...], x: str = "x") -> str:
     ka = ", ".join(f"a.{c}" for c in keys)
     return f"""(SELECT {k}, best[2] AS conf_low, best[3] AS conf_high FROM
         (WITH r AS ({ranked}) SELECT {ka}, MIN([b.x - a.x, a.x, b.x]) AS best FROM r a JOIN r b
-         ON {match} AND b.rn = a.rn + GREATEST(1, LEAST(a.cnt - 1, CAST(ROUND(a.cnt * 0.95) AS BIGINT))) GROUP BY {ka}))"""
+         ON {match} AND b.rn = a.rn + GREATEST(1, LEAST(a.cnt - 1, CAST(round_even(a.cnt * 0.95, 0) AS BIGINT))) GROUP BY {ka}))"""
 
 
 @check(

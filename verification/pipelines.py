@@ -207,7 +207,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     used = S.wc_days(spark, sf).select("year", "season").distinct()
-    seasons = calendar.season_calendar(spark, 1995, 2001).join(used, ["year", "season"], "left_semi")
+    seasons = calendar.season_calendar(spark, 1994, 2002).join(used, ["year", "season"], "left_semi")
     whole, one = dashboard.choices(seasons, 1996), dashboard.choices(seasons, 1996, "Spring")
     none = [F.lit(None).cast("date").alias(c) for c in ("st", "en")]
     return (

@@ -180,7 +180,7 @@ def _(spark, sf):
        LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS date FROM lineitem) l ON l.date BETWEEN s.st AND s.en GROUP BY ALL""",
 )
 def _(spark, sf):
-    seasons = calendar.season_calendar(spark, 1995, 2001)
+    seasons = calendar.season_calendar(spark, 1994, 2002)
     lines = S.table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("date"))
     shipped = calendar.with_season(lines, **LINE_YEARS).groupBy("year", "season").agg(F.count(F.lit(1)).alias("n"))
     joined = seasons.join(shipped, ["year", "season"], "left")

@@ -17,7 +17,7 @@ from loamline.operators.calendar import with_season
 
 # Calendar years of the two stand-in periods.
 EVENT_YEARS = {"first_year": 2023, "last_year": 2024}
-LINE_YEARS = {"first_year": 1995, "last_year": 2001}
+LINE_YEARS = {"first_year": 1994, "last_year": 2002}
 VARIABLES = {"view": "VWC", "click": "SWP", "signup": "TS", "purchase": "T", "error": "RH"}
 PRIORITIES = {"1-URGENT": "S1", "2-HIGH": "S2", "3-MEDIUM": "S3", "4-NOT SPECIFIED": "S4", "5-LOW": "W1"}
 GROUPS = ("site", "S1", "S4")
