@@ -34,6 +34,11 @@ def water_content(h_cm: Column, alpha: Column, n: Column, theta_r: Column, theta
     return theta_r + (F.lit(theta_s) - theta_r) * saturation(h_cm, alpha, n)
 
 
+def residual(theta: Column, h_cm: Column, alpha: Column, n: Column, theta_r: Column) -> Column:
+    """Observed less fitted water content."""
+    return theta - water_content(h_cm, alpha, n, theta_r)
+
+
 def suction_mpa(theta: Column, alpha: Column, n: Column, theta_r: Column, theta_s: float = THETA_S) -> Column:
     """Inverse curve as suction in MPa; NULL outside theta_r < theta <= theta_s, n > 1, alpha > 0.
 

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamline.functions.curves import THETA_S, saturation
+from loamline.functions.curves import THETA_S, saturation, suction_mpa, water_content
+from loamline.functions.units import cm_water_to_mpa
+from loamline.operators.nearest import GRID_FIRST, GRID_LAST, GRID_PER_UNIT
 from loamline.operators.pairing import join_same, settled_small
 from loamline.session import cut_lineage, task_width
 
@@ -121,14 +123,33 @@ def best_fit(sse: DataFrame, group: str = "grp") -> DataFrame:
     )
 
 
+def curve_table(fitted: DataFrame, alpha: str, n: str, theta_r: str, first_cm: int, last_cm: int) -> DataFrame:
+    """Each row's curve at every whole suction head: ``h_cm``, ``theta`` and ``mpa``."""
+    heads = fitted.withColumn("h_cm", F.explode(F.sequence(F.lit(first_cm), F.lit(last_cm))))
+    theta = water_content(F.col("h_cm"), F.col(alpha), F.col(n), F.col(theta_r))
+    return heads.withColumn("theta", theta).withColumn("mpa", cm_water_to_mpa(F.col("h_cm")))
+
+
+def inverse_table(
+    fitted: DataFrame, alpha: str, n: str, theta_r: str, first: int = GRID_FIRST, last: int = GRID_LAST
+) -> DataFrame:
+    """Each row's suction at every point of the content grid: ``swc_idx`` and ``mpa``."""
+    points = fitted.withColumn("swc_idx", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    swc = F.col("swc_idx") / F.lit(float(GRID_PER_UNIT))
+    return points.withColumn("mpa", suction_mpa(swc, F.col(alpha), F.col(n), F.col(theta_r)))
+
+
 def with_pooled(obs: DataFrame, group: str = "grp", pooled: str = "site") -> DataFrame:
     """Every observation once in its own group and once in the pooled one."""
     return obs.withColumn(group, F.explode(F.array(F.col(group), F.lit(pooled))))
 
 
-def grid_posterior(sse: DataFrame, sigma: Axis, group: str = "grp") -> DataFrame:
+def grid_posterior(sse: DataFrame, sigma: Axis, group: str = "grp", power: float = 1.0) -> DataFrame:
     """Normalised weights over (alpha, n, theta_r, sigma) under flat priors.
 
+    A ``power`` below 1 tempers the likelihood: with very many observations all weight would lie
+    on one grid point.
+
     The group's largest weight and its sum are aggregates, one row a group, joined back: no task
     holds a whole group.
     """
@@ -138,7 +159,7 @@ def grid_posterior(sse: DataFrame, sigma: Axis, group: str = "grp") -> DataFrame
         cut_lineage(sse)
         .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(sigma.count - 1))))
         .withColumn("sigma", s)
-        .withColumn("log_weight", log_weight)
+        .withColumn("log_weight", F.lit(power) * log_weight)
     )
     top = settled_small(cells.groupBy(group).agg(F.max("log_weight").alias("top")))
     raw = join_same(cells, top, [group]).withColumn("log_weight", F.col("log_weight") - F.col("top"))

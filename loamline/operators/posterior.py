@@ -190,8 +190,8 @@ def treatment_differences(summary: DataFrame) -> DataFrame:
     apart = ~F.col("mean_a").between(F.col("low_b"), F.col("high_b")) & ~F.col("mean_b").between(
         F.col("low_a"), F.col("high_a")
     )
+    ordered = (a["parameter"] == b["parameter"]) & (F.col("grp_a") < F.col("grp_b"))
     return (
-        a.join(b, "parameter")
-        .where(F.col("grp_a") < F.col("grp_b"))
-        .select("parameter", "grp_a", "grp_b", "mean_a", "mean_b", apart.alias("different"))
+        a.join(b, ordered)
+        .select(a["parameter"], "grp_a", "grp_b", "mean_a", "mean_b", apart.alias("different"))
     )
