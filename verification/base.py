@@ -195,19 +195,21 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     FULL JOIN (SELECT date, treatment, ppt_mm FROM rain_jan, {_TREATMENTS}) r USING (date, treatment)""",
     ),
     "line_days": (
-        ("seasons_li",),
+        (),
         """
     SELECT g.*, CASE WHEN NOT (house = 5 AND plot = 12) THEN 'S' || ((house * 7 + plot) % 4 + 1) END AS summer,
            CASE WHEN NOT (house = 5 AND plot = 12) THEN 'W' || (plot % 3 + 1) END AS winter,
-           house || '_' || plot AS plot_id, s.year, s.season
+           house || '_' || plot AS plot_id,
+           CAST(year(date) + CASE WHEN month(date) >= 11 THEN 1 ELSE 0 END AS INTEGER) AS year,
+           CASE WHEN month(date) IN (11, 12, 1) THEN 'Winter' WHEN month(date) <= 4 THEN 'Spring'
+                WHEN month(date) <= 6 THEN 'Premonsoon' ELSE 'Growing' END AS season
     FROM (SELECT house, plot, depth, date, 0.05 + AVG(q) / 200.0 AS wc_mean, 0.05 + MIN(q) / 200.0 AS wc_min,
                  0.05 + MAX(q) / 200.0 AS wc_max, -AVG(c) / 5.0e6 AS wp_mean, -MAX(c) / 5.0e6 AS wp_min, -MIN(c) / 5.0e6 AS wp_max
           FROM (SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_suppkey % 5 + 1 AS INTEGER) AS house,
                        CAST(l_partkey % 12 + 1 AS INTEGER) AS plot, CAST(l_linenumber % 3 + 1 AS INTEGER) AS depth,
                        l_quantity AS q,
                        CASE WHEN l_linestatus = 'F' THEN CAST(CAST(ROUND(l_extendedprice * 100) AS BIGINT) AS DOUBLE) END AS c
-                FROM lineitem) GROUP BY 1, 2, 3, 4) g
-    JOIN seasons_li s ON g.date BETWEEN s.st AND s.en""",
+                FROM lineitem) GROUP BY 1, 2, 3, 4) g""",
     ),
     "wc_days": (("line_days",), "SELECT * EXCLUDE (wp_mean, wp_min, wp_max) FROM line_days"),
     "wp_days": (
@@ -276,6 +278,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+# Costly tables that several others read.
+MATERIALIZED = {"line_days", "draws", "reps", "lookup_q"}
+
+
 def grid_index_sql(x: str) -> str:
     return f"CASE WHEN {x} IS NOT NULL THEN CAST(GREATEST(200, LEAST(4399, CEIL(ROUND({x} * 10000.0 - 0.5, 6)))) AS INTEGER) END"
 
@@ -294,7 +300,8 @@ def sql(needs: tuple[str, ...], body: str) -> str:
         visit(name)
     if not order:
         return body
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n][1]})" for n in order) + " " + body
+    held = {n: "MATERIALIZED " if n in MATERIALIZED else "" for n in order}
+    return "WITH " + ", ".join(f"{n} AS {held[n]}({CTES[n][1]})" for n in order) + " " + body
 
 
 def check(name: str, needs: tuple[str, ...] = (), body: str | None = None) -> Callable[[Query], Query]:

@@ -306,13 +306,7 @@ def _mean_draws(spark, sf):
         FROM {MEAN_DRAWS_SQL}, range(1, 10001) t(h)""",
 )
 def _(spark, sf):
-    heads = _mean_draws(spark, sf).withColumn("h_cm", F.explode(F.sequence(F.lit(1), F.lit(10000))))
-    return heads.select(
-        "grp",
-        "h_cm",
-        snap(curves.water_content(F.col("h_cm"), F.col("a"), F.col("n"), F.col("r"))).alias("theta"),
-        snap(units.cm_water_to_mpa(F.col("h_cm"))).alias("mpa"),
-    )
+    return snapped(fitting.curve_table(_mean_draws(spark, sf), "a", "n", "r", 1, 10_000).select("grp", "h_cm", "theta", "mpa"), "theta", "mpa")
 
 
 @check(
@@ -322,9 +316,8 @@ def _(spark, sf):
         (SELECT grp, i, {suction('(i / 10000.0e0)', 'a', 'n', 'r')} AS s FROM {MEAN_DRAWS_SQL}, range(200, 4400) t(i))""",
 )
 def _(spark, sf):
-    points = _mean_draws(spark, sf).withColumn("swc_idx", F.explode(F.sequence(F.lit(200), F.lit(4399))))
-    mpa = curves.suction_mpa(F.col("swc_idx") / F.lit(10000.0), F.col("a"), F.col("n"), F.col("r"))
-    return points.select("grp", "swc_idx", snap(F.log10(mpa)).alias("log_mpa"))
+    points = fitting.inverse_table(_mean_draws(spark, sf), "a", "n", "r")
+    return points.select("grp", "swc_idx", snap(F.log10("mpa")).alias("log_mpa"))
 
 
 @check(
@@ -333,7 +326,7 @@ def _(spark, sf):
     f"SELECT obs_id, {R(f'theta - {theta('h_cm', *_PARAMS)}')} AS residual, {R(f'pow(theta - {theta('h_cm', *_PARAMS)}, 2)')} AS squared FROM obs",
 )
 def _(spark, sf):
-    miss = F.col("theta") - curves.water_content(F.col("h_cm"), F.lit(0.05), F.lit(1.8), F.lit(0.03))
+    miss = curves.residual(F.col("theta"), F.col("h_cm"), F.lit(0.05), F.lit(1.8), F.lit(0.03))
     return S.observations(spark, sf).select("obs_id", snap(miss).alias("residual"), snap(miss * miss).alias("squared"))
 
 
@@ -342,7 +335,8 @@ def _(spark, sf):
 ALPHA = fitting.Axis(0.01, 0.02, 10)
 SHAPE = fitting.Axis(1.1, 0.2, 8)
 RESIDUAL = fitting.Axis(0.01, 0.01, 5)
-SIGMA = fitting.Axis(0.5, 0.5, 12)
+SIGMA = fitting.Axis(0.02, 0.02, 12)
+POWER = 0.002
 
 _POOLED = "(SELECT theta, h_cm, grp FROM obs UNION ALL SELECT theta, h_cm, 'site' FROM obs)"
 SSE_SQL = f"""(SELECT grp, alpha_cm, n, theta_r, COUNT(*) AS n_obs, SUM(pow(theta - {theta('h_cm', 'alpha_cm', 'n', 'theta_r')}, 2)) AS sse
@@ -377,8 +371,8 @@ def _(spark, sf):
 
 POSTERIOR_SQL = f"""(SELECT *, exp(lw) / SUM(exp(lw)) OVER (PARTITION BY grp) AS weight FROM
   (SELECT *, l - MAX(l) OVER (PARTITION BY grp) AS lw FROM
-    (SELECT grp, alpha_cm, n, theta_r, sigma, -n_obs * ln(sigma) - sse / (2.0 * sigma * sigma) AS l FROM {SSE_SQL},
-            (SELECT 0.5e0 + 0.5e0 * i AS sigma FROM range(0, 12) t(i)))))"""
+    (SELECT grp, alpha_cm, n, theta_r, sigma, 0.002e0 * (-n_obs * ln(sigma) - sse / (2.0 * sigma * sigma)) AS l FROM {SSE_SQL},
+            (SELECT 0.02e0 + 0.02e0 * i AS sigma FROM range(0, 12) t(i)))))"""
 
 
 @check(
@@ -387,7 +381,7 @@ POSTERIOR_SQL = f"""(SELECT *, exp(lw) / SUM(exp(lw)) OVER (PARTITION BY grp) AS
     f"SELECT grp, {_rounded((*_GRID_COLS, 'sigma'))}, {R('lw')} AS log_weight, {R('weight')} AS weight FROM {POSTERIOR_SQL}",
 )
 def _(spark, sf):
-    return snapped(fitting.grid_posterior(_sse(spark, sf), SIGMA), *_GRID_COLS, "sigma", "log_weight", "weight")
+    return snapped(fitting.grid_posterior(_sse(spark, sf), SIGMA, power=POWER), *_GRID_COLS, "sigma", "log_weight", "weight")
 
 
 @check(
@@ -402,7 +396,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = fitting.weighted_summary(
-        fitting.grid_posterior(_sse(spark, sf), SIGMA), {"conf_low": 0.025, "conf_high": 0.975}
+        fitting.grid_posterior(_sse(spark, sf), SIGMA, power=POWER), {"conf_low": 0.025, "conf_high": 0.975}
     )
     return snapped(out, "estimate", "std_error", "conf_low", "conf_high")
 
