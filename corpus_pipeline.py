@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.llm import cotraining, jaccard, line_dedup, packing, queries
-from loamline.llm.common import table
+from loamline.llm.common import free_name, quoted, table
 from loamline.session import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -16,15 +16,17 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
-    scored = cotraining.score_documents(docs, table(spark, sf_dir, "labels"))
-    return scored.filter(cotraining.accepted(scored)).select(*docs.columns)
+    name = free_name(docs, "quality_probability")
+    scored = cotraining.score_documents(docs, table(spark, sf_dir, "labels"), name)
+    return scored.filter(cotraining.accepted(name)).select(*map(quoted, docs.columns))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Template lines of a source go from its documents; ``n_chars`` follows the text."""
-    cut = line_dedup.drop_template_lines(docs)
-    chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cut.withColumn("n_chars", chars).select(*docs.columns)
+    lost = free_name(docs, "n_dropped")
+    cut = line_dedup.drop_template_lines(docs, dropped=lost)
+    chars = F.when(F.col(lost) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", chars).select(*map(quoted, docs.columns))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,28 +44,36 @@ class Vocabulary:
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.merged: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
         # Pairs tried so far, as left << 32 | right: a saved answer is several times cheaper.
         self.tried: dict[int, bool] = {}
-        # Tokens read from their ends: (node << 8 | byte) leads to a node, whose token may be None.
-        self.backward: dict[int, int] = {}
-        self.token_at: list[int | None] = [None]
-        for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
+
+    @cached_property
+    def parts(self) -> dict[int, tuple[int, int]]:
+        """The two tokens each one was merged from; a single byte is its own parts."""
+        return {
+            rank: (rank, rank) if len(token) == 1 else self._last_merge(token, rank)
+            for token, rank in self.ranks.items()
+        }
+
+    @cached_property
+    def merged(self) -> dict[tuple[int, int], int]:
+        return {both: rank for rank, both in self.parts.items() if both[0] != rank}
+
+    @cached_property
+    def reversed_trie(self) -> tuple[dict[int, int], list[int | None]]:
+        """Tokens read from their ends: ``node << 8 | byte`` leads to a node, and the token there."""
+        steps: dict[int, int] = {}
+        token_at: list[int | None] = [None]
+        for token, rank in self.ranks.items():
             node = 0
             for byte in reversed(token):
                 step = node << 8 | byte
-                node = self.backward.get(step, 0)
+                node = steps.get(step, 0)
                 if not node:
-                    node = self.backward[step] = len(self.token_at)
-                    self.token_at.append(None)
-            self.token_at[node] = rank
-            if len(token) == 1:
-                self.parts[rank] = (rank, rank)
-                continue
-            both = self._last_merge(token, rank)
-            self.merged[both] = rank
-            self.parts[rank] = both
+                    node = steps[step] = len(token_at)
+                    token_at.append(None)
+            token_at[node] = rank
+        return steps, token_at
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
@@ -135,7 +143,8 @@ class Prefixes:
         """Add bytes; what is known of earlier prefixes stays as it is."""
         self.data += more
         v, data, last = self.vocabulary, bytes(self.data), self.last
-        backward, token_at, tried = v.backward.get, v.token_at, v.tried
+        steps, token_at = v.reversed_trie
+        backward, tried = steps.get, v.tried
         for end in range(len(last), len(data)):
             node, start, found = 0, end, None
             while start >= 0:
@@ -217,8 +226,9 @@ class PrefixBatch:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.backward = _Lookup(vocabulary.backward)
-        self.token_at = np.array([-1 if t is None else t for t in vocabulary.token_at], np.int64)
+        steps, token_at = vocabulary.reversed_trie
+        self.backward = _Lookup(steps)
+        self.token_at = np.array([-1 if t is None else t for t in token_at], np.int64)
         self.merged = _Lookup({a << 32 | b: rank for (a, b), rank in vocabulary.merged.items()})
         self.parts = np.zeros((len(vocabulary.tokens), 2), np.int64)
         for rank, both in vocabulary.parts.items():
@@ -312,12 +322,16 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str, remembered: int = REMEMBERED):
         self.vocabulary = vocabulary
         self.pieces = regex.compile(pattern).findall
-        self.batch = PrefixBatch(vocabulary)
         self.remembered = remembered
         self.bytes_of = np.frombuffer(b"".join(vocabulary.tokens), np.uint8)
-        self.byte_starts = np.cumsum(self.batch.sizes) - self.batch.sizes
+        self.byte_sizes = np.fromiter(map(len, vocabulary.tokens), np.int64, len(vocabulary.tokens))
+        self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
         self._forget()
 
+    @cached_property
+    def batch(self) -> PrefixBatch:
+        return PrefixBatch(self.vocabulary)
+
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -390,7 +404,7 @@ class Encoder:
 
     def decode_ids(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts and the n + 1 offsets of each text's bytes; the inverse of the above."""
-        sizes = self.batch.sizes[ids]
+        sizes = self.byte_sizes[ids]
         return ragged(self.bytes_of, self.byte_starts[ids], sizes), np.append(0, np.cumsum(sizes))[offsets]
 
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import free_name, quoted
+from loamline.llm.common import quoted
 from loamline.llm.spans import mix, small_batches, text_bytes
 
 # The most labelled rows used for fitting, and pool rows offered for pseudo-labels.
@@ -31,6 +31,8 @@ HELD_BACK = 0.25
 BUCKETS = 64
 # Documents at least this likely to be of good quality are kept.
 ACCEPT = 0.5
+# Bytes of text whose features are computed at a time.
+SLICE = 1 << 20
 
 CLASSES = ("lower", "upper", "digit", "space", "newline", "mark", "other")
 
@@ -132,6 +134,9 @@ class Logistic:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.spread, -8, 8) @ self.weights[:-1] + self.weights[-1]
 
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
+
 
 @dataclass
 class Model:
@@ -143,18 +148,15 @@ class Model:
 
     def probability(self, text: np.ndarray, metadata: np.ndarray) -> np.ndarray:
         both = np.column_stack([self.text.margin(text), self.metadata.margin(metadata)])
-        return 1 / (1 + np.exp(-np.clip(self.combine.margin(both), -30, 30)))
+        return self.combine.probability(both)
 
 
-def _sure_rows(model: Logistic, view: np.ndarray, free: np.ndarray, balance: float) -> tuple[np.ndarray, np.ndarray]:
+def _sure_rows(p: np.ndarray, balance: float) -> tuple[np.ndarray, np.ndarray]:
     """Pool rows a view is surest of and their labels, in the labels' proportion."""
-    p = 1 / (1 + np.exp(-model.margin(view[free])))
-    good = np.flatnonzero(p >= SURE)
-    bad = np.flatnonzero(p <= 1 - SURE)
-    n_good, n_bad = round(GIVEN * balance), round(GIVEN * (1 - balance))
-    good = good[np.argsort(-p[good], kind="stable")[:n_good]]
-    bad = bad[np.argsort(p[bad], kind="stable")[:n_bad]]
-    return free[np.concatenate([good, bad])], np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
+    good, bad = np.flatnonzero(p >= SURE), np.flatnonzero(p <= 1 - SURE)
+    good = good[np.argsort(-p[good], kind="stable")[: round(GIVEN * balance)]]
+    bad = bad[np.argsort(p[bad], kind="stable")[: round(GIVEN * (1 - balance))]]
+    return np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])
 
 
 def cotrain(
@@ -162,8 +164,9 @@ def cotrain(
 ) -> Model | None:
     """Fit both views, exchanging pseudo-labels; None if only one class is labelled.
 
-    What a view teaches goes into the other one's rows. Calibration and combination use labelled
-    rows that took no part in fitting.
+    What a view teaches goes into the other one's rows. How sure a view is, and the combination,
+    are calibrated on labelled rows that took no part in fitting, so that a view which tells
+    little about them teaches nothing.
     """
     held = np.arange(len(labels)) % round(1 / HELD_BACK) == 0
     if min(labels[held].sum(), (1 - labels[held]).sum(), labels[~held].sum(), (1 - labels[~held]).sum()) < 1:
@@ -173,20 +176,18 @@ def cotrain(
     known = [labels[~held], labels[~held]]
     models = [Logistic.fit(rows[v], known[v]) for v in (0, 1)]
     for _ in range(rounds):
-        taught = 0
-        free = np.arange(len(pool[0]))
-        gifts = [_sure_rows(models[v], pool[v], free, balance) for v in (0, 1)]
         left = np.ones(len(pool[0]), bool)
+        gifts = []
         for v in (0, 1):
-            at, given = gifts[v]
-            other = 1 - v
-            rows[other] = np.vstack([rows[other], pool[other][at]])
-            known[other] = np.concatenate([known[other], given])
+            sure = Logistic.fit(models[v].margin(views[v][held])[:, None], labels[held])
+            gifts.append(_sure_rows(sure.probability(models[v].margin(pool[v])[:, None]), balance))
+        for v, (at, given) in enumerate(gifts):
+            rows[1 - v] = np.vstack([rows[1 - v], pool[1 - v][at]])
+            known[1 - v] = np.concatenate([known[1 - v], given])
             left[at] = False
-            taught += len(at)
-        pool = (pool[0][left], pool[1][left])
-        if not taught:
+        if left.all():
             break
+        pool = (pool[0][left], pool[1][left])
         models = [Logistic.fit(rows[v], known[v]) for v in (0, 1)]
     margins = np.column_stack([models[v].margin(views[v][held]) for v in (0, 1)])
     return Model(models[0], models[1], Logistic.fit(margins, labels[held]))
@@ -255,38 +256,35 @@ def score(
 ) -> DataFrame:
     """All rows and columns of ``df`` and the probability of good quality; row-wise, no shuffle.
 
+    Texts go to Python in batches and do not come back, only their probabilities do.
+    ``name`` must not be a column of ``df`` yet.
+
     Without a model (labels of one class only, or none) every document gets NULL: nothing is
     known. NULL or empty texts are scored by what zeros and the metadata say.
     """
-    name = free_name(df, name)
     if model is None:
         return df.withColumn(name, F.lit(None).cast("double"))
-    extra = [free_name(df, f"view{i}_") for i in range(2 + len(categories))]
-    wide = df.select(
-        *[quoted(c) for c in df.columns],
-        quoted(text).cast("string").alias(extra[0]),
-        quoted(size).cast("double").alias(extra[1]),
-        *[quoted(c).cast("string").alias(e) for c, e in zip(categories, extra[2:], strict=True)],
-    )
-    n = len(df.columns)
-    schema = df.withColumn(name, F.lit(0.0)).schema
-    schema[name].nullable = True
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, n):
-            p = model.probability(*_features(batch, n, list(range(n + 2, n + 2 + len(categories))), n + 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(p)], schema.names)
+    @F.arrow_udf("double")
+    def probability(content: pa.Array, declared: pa.Array, kinds: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays(
+            [content, declared, *kinds.flatten()], ["text", "size", *map(str, range(len(categories)))]
+        )
+        at = list(range(2, 2 + len(categories)))
+        parts = [model.probability(*_features(b, 0, at, 1)) for b in small_batches([batch], 0, SLICE)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
-    return wide.mapInArrow(run, schema)
+    kinds = F.struct(*[quoted(c).cast("string").alias(f"k{i}") for i, c in enumerate(categories)])
+    return df.withColumn(name, probability(quoted(text).cast("string"), quoted(size).cast("double"), kinds))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, name: str = "quality_probability") -> DataFrame:
     """Train on ``labels`` (doc_id, quality) and score the whole ``documents`` table."""
     metadata = ["source", "lang"]
     model = train(docs, labels, "doc_id", "text", metadata, "n_chars", "quality")
-    return score(docs, model, "text", metadata, "n_chars")
+    return score(docs, model, "text", metadata, "n_chars", name)
 
 
-def accepted(scored: DataFrame, name: str = "quality_probability", least: float = ACCEPT) -> Column:
+def accepted(name: str = "quality_probability", least: float = ACCEPT) -> Column:
     """Whether a document is kept; where nothing is known (NULL) it is."""
     return F.coalesce(quoted(name) >= least, F.lit(True))

@@ -4,15 +4,17 @@ Two sets can only reach the threshold if their sizes are close, so documents are
 of sizes, and a tile compares documents of one band with those of the same band or the upper part
 of the band below. Inside a band, tiles are cut further without losing a pair: the hash space is
 divided into parts, more than two linked sets can differ in, so that linked sets agree in at
-least one part that is not empty; only documents that agree in a part meet in a tile.
+least one part that is not empty; only documents that agree in a part meet in a tile. As they
+agree in more than one, each can leave some tiles out, and leaves those with most documents.
 
 In a tile every pair is bounded first: each shingle toggles one bit of a bitmap, every bit in
 which two bitmaps differ needs a shingle that only one set has, and so the bit count bounds the
 overlap from above. What passes is decided by intersecting the sorted sets.
 
 Only components are asked for, hence documents that are known to be connected are not compared
-again: each document is first checked against one partner, and tiles then skip pairs within a
-component. A group of near copies so costs one comparison a member, not one a pair.
+again: probable near copies are first checked against one partner each, and no tile is made, and
+no pair compared, inside a component found that way. A group of near copies so costs one
+comparison a member, not one a pair.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loamline.llm.common import quoted
 from loamline.llm.components import components
@@ -33,17 +37,43 @@ from loamline.session import cut_lineage, shuffle_width
 WORDS = 5
 # Linked when 100 * intersection >= 75 * union.
 NEED, OF = 75, 100
-# Bands end at these sizes; each holds sizes up to about (4/3)**4 times its smallest.
-TOPS = np.unique(np.floor(24 * (256 / 81) ** np.arange(0, 18)).astype(np.int64))
-# Shingles a part holds on average at the top of a band; small sets get a part per shingle.
-LOADS = np.select([TOPS <= 24, TOPS <= 100, TOPS <= 400, TOPS <= 1600], [0.001, 1.0, 1.75, 2.5], 3.0)
+
+
+def _tops() -> np.ndarray:
+    """Largest sizes of the bands: a set's partners lie in its own band or next to it."""
+    tops = [3]
+    while tops[-1] < 1 << 40:
+        tops.append(tops[-1] * OF // NEED)
+    return np.array(tops, np.int64)
+
+
+def _load(top: int) -> float:
+    """How many shingles a part may hold on average in sets of size ``top``.
+
+    As many as leave, with seven standard deviations to spare, more parts that are not empty than
+    two linked sets of that size can differ in.
+    """
+    for load in np.arange(3.25, 0.2, -0.05):
+        parts, empty = top / load, math.exp(-load)
+        spread = math.sqrt(parts * empty * (1 - (1 + load) * empty))
+        if parts * (1 - empty) - top * 2 * (OF - NEED) / (OF + NEED) >= 7 * spread:
+            return float(load)
+    return 0.001
+
+
+TOPS = _tops()
+LOADS = np.array([_load(int(t)) for t in TOPS])
 # Keys one task sorts, about, and documents on a side of a tile.
 SLOT_KEYS = 2_500_000
 TILE = 512
+# A tile with more documents is left by those that can spare its key.
+HOT = 8
+# Part keys by which probable near copies are found before any tile is made.
+SKETCH = 8
 # Finer divisions of bands that are tried; at the last, parts are single hashes.
 LEVELS = 26
-# Ids that may be broadcast: 8 bytes each.
-BROADCAST_IDS = 2_000_000
+# Row keys that may be broadcast, 8 bytes each and as much for a node.
+BROADCAST_KEYS = 2_000_000
 
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 LOWER = np.arange(256, dtype=np.uint8)
@@ -108,9 +138,16 @@ def parts_of(band: np.ndarray, level: int) -> np.ndarray:
     return (np.ceil(TOPS[band] / LOADS[band]).astype(np.uint64) << np.uint64(level)).clip(max=np.uint64(1 << 30))
 
 
-def may_differ(sizes: np.ndarray) -> np.ndarray:
-    """The most shingles in which a set and a linked one that is not larger can differ."""
-    return 2 * sizes * (OF - NEED) // (OF + NEED)
+def may_differ(sizes: np.ndarray, own: bool = True) -> np.ndarray:
+    """The most shingles in which a set and a linked one can differ, if both have keys of one band.
+
+    In its own band a set's partner is at most that band's top; in the band above it is larger
+    than the set, and at most by the threshold.
+    """
+    largest = sizes * OF // NEED
+    if own:
+        largest = np.minimum(largest, TOPS[band_of(sizes)])
+    return (sizes + largest) * (OF - NEED) // (OF + NEED)
 
 
 def part_keys(values: np.ndarray, offsets: np.ndarray, band: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +176,7 @@ def bitmaps(values: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
 
 def width_of(band: int) -> int:
     """Bits of a band's bitmaps: a power of two from its largest size on."""
-    return max(64, 1 << int(TOPS[min(band, len(TOPS) - 1)] - 1).bit_length())
+    return max(64, 1 << int(TOPS[band] - 1).bit_length())
 
 
 def folded(bitmap: np.ndarray, width: int) -> np.ndarray:
@@ -151,58 +188,80 @@ def folded(bitmap: np.ndarray, width: int) -> np.ndarray:
 
 
 def _texts(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return df.select(quoted(doc_id).alias("id_"), quoted(text).cast("string").alias("text_"))
+    """Ids, texts, and a key of both, by which rows are found again; ids may be NULL or repeated."""
+    named = df.select(quoted(doc_id).alias("id_"), quoted(text).cast("string").alias("text_"))
+    return named.select("id_", F.xxhash64("id_", "text_").alias("key_"), "text_")
 
 
-def crowded(values: np.ndarray, offsets: np.ndarray, level: int) -> np.ndarray:
-    """Sets with so few parts that are not empty that they could all differ in a linked set.
+def spare_keys(values: np.ndarray, offsets: np.ndarray, level: int, own: bool) -> np.ndarray:
+    """How many of its keys each set can do without.
 
-    With the loads chosen here that takes a deviation of several sigma; such sets' bands are
-    divided more finely in a pass of their own.
+    A set shares all its parts that are not empty with a linked one, but for those with a
+    differing shingle. If every set leaves out as many keys as it can spare, and always the last
+    ones by an order that is the same for all, one of those shared remains. Sets with a negative
+    number are crowded: all their parts could differ. With the loads above that is very rare;
+    their bands are divided more finely in a pass of their own.
     """
     sizes = np.diff(offsets)
-    _, owner = part_keys(values, offsets, band_of(sizes), level)
-    return (sizes > 0) & (np.bincount(owner, minlength=len(sizes)) <= may_differ(sizes))
+    _, owner = part_keys(values, offsets, band_of(sizes) + (not own), level)
+    return np.bincount(owner, minlength=len(sizes)) - may_differ(sizes, own) - 1
+
+
+def sketches(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The ``SKETCH`` least keys of each set's own parts."""
+    sizes = np.diff(offsets)
+    keys, owner = part_keys(values, offsets, band_of(sizes), 0)
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    least = rank < SKETCH
+    ends = np.append(0, np.cumsum(np.bincount(owner[least], minlength=len(sizes))))
+    kind = pa.list_(pa.field("element", pa.int64(), nullable=False))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[least].view(np.int64))).cast(kind)
 
 
 def set_sizes(df: DataFrame, doc_id: str, text: str, level: int = 0) -> DataFrame:
-    """``id_``, ``n_shingles``, ``node`` (the set's fingerprint) and ``crowded_``, the set's band
-    if it is crowded at this level, for every row; written down."""
+    """``id_``, ``key_``, ``n_shingles``, ``node`` (the set's fingerprint), ``crowded_``, the set's band if it
+    is crowded at this level, ``spare`` and ``spare_up``, the keys it can spare in its own and the
+    next band, and ``sketch``, the least of its part keys; written down."""
     narrow = _texts(df, doc_id, text)
     zero = F.lit(0).cast("long")
-    schema = narrow.select("id_", zero.alias("n_shingles"), zero.alias("node"), zero.alias("crowded_")).schema
+    schema = narrow.select(
+        "id_", "key_", zero.alias("n_shingles"), zero.alias("node"), zero.alias("crowded_"),
+        zero.alias("spare"), zero.alias("spare_up"), F.array(zero).alias("sketch"),
+    ).schema
     schema["crowded_"].nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1):
-            values, offsets = shingle_sets(*text_bytes(batch.column(1)))
+        for batch in small_batches(batches, 2):
+            values, offsets = shingle_sets(*text_bytes(batch.column(2)))
             sizes = np.diff(offsets)
-            crowd = pa.array(band_of(sizes), pa.int64(), mask=~crowded(values, offsets, level))
+            spare = [spare_keys(values, offsets, level, own) for own in (True, False)]
+            crowd = pa.array(band_of(sizes), pa.int64(), mask=(spare[0] >= 0) | (sizes == 0))
             made = [pa.array(sizes, pa.int64()), pa.array(fingerprints(values, offsets)), crowd]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], schema.names)
+            made += [pa.array(np.maximum(x, 0), pa.int64()) for x in spare]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made, sketches(values, offsets)], schema.names)
 
     return cut_lineage(narrow.mapInArrow(run, schema))
 
 
-def tile_members(
-    df: DataFrame, text: str, tasks: int, level: int = 0, bands: list[int] | None = None
-) -> DataFrame:
-    """``key``, ``node``, ``own``, ``band`` and ``pivot`` of documents that agree with another in a part.
+def tile_members(texts: DataFrame, tasks: int, level: int = 0, bands: list[int] | None = None) -> DataFrame:
+    """``key``, ``node``, ``own``, ``band``, ``label`` and ``hot`` of documents that agree in a part
+    with one of another label.
 
-    Parts are those of ``level``, and of certain ``bands`` only if they are given.
-    Keys leave a task packed by slot, ranges of the key space, several bytes a key and no row of
+    ``texts`` has ``text_`` and ``label``, NULL for the document's own node. Parts are those of
+    ``level``, and of certain ``bands`` only if they are given. Keys leave a task packed by slot, ranges of the key space, several bytes a key and no row of
     its own; copies inside a batch count once. Keys are hashes, so slots are even. ``own`` tells
     whether the document has its own band's key here or, being the smaller one, that of the band
-    above; the pivot is the smallest node of the tile.
+    above.
     """
-    narrow = df.select(quoted(text).cast("string").alias("text_"))
-    slots = 4 * tasks
     wanted = np.isin(np.arange(len(TOPS) + 1), range(len(TOPS)) if bands is None else bands)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 0):
             values, offsets = shingle_sets(*text_bytes(batch.column(0)))
             nodes = fingerprints(values, offsets)
+            label = pc.coalesce(batch.column(1), pa.array(nodes)).to_numpy()
             sizes = np.diff(offsets)
             once = np.zeros(len(nodes), bool)
             once[np.unique(nodes, return_index=True)[1]] = True
@@ -210,9 +269,9 @@ def tile_members(
             values, kept = values[np.repeat(once, sizes)], sizes[once]
             if not len(kept):
                 continue
-            nodes, band = nodes[once], band_of(kept)
+            nodes, label, band = nodes[once], label[once], band_of(kept)
             # Its larger partner may lie in the next band.
-            low = OF * kept > NEED * TOPS[band]
+            low = kept * OF // NEED > TOPS[band]
             keys, member = [], []
             for own, chosen in ((1, wanted[band]), (0, low & wanted[band + 1])):
                 part, ends = values[np.repeat(chosen, kept)], np.append(0, np.cumsum(kept[chosen]))
@@ -220,11 +279,11 @@ def tile_members(
                 keys.append(found)
                 member.append(2 * np.flatnonzero(chosen)[owner] + own)
             keys, member = np.concatenate(keys), np.concatenate(member).astype(np.uint32)
-            slot = ((keys >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int32)
+            slot = ((keys >> np.uint64(32)) * np.uint64(tasks) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(slot, kind="stable")
             there, at = np.unique(slot[order], return_index=True)
             at = np.append(at, len(order))
-            columns: list[list[bytes]] = [[], [], [], []]
+            columns: list[list[bytes]] = [[], [], [], [], [], []]
             for a, b in zip(at[:-1], at[1:], strict=True):
                 # Only the nodes that have a key in this slot travel with it.
                 r = order[a:b]
@@ -234,9 +293,12 @@ def tile_members(
                 columns[1].append((index.astype(np.uint32) << 1 | member[r] & 1).astype(size).tobytes())
                 columns[2].append(nodes[used].tobytes())
                 columns[3].append(band[used].astype(np.uint8).tobytes())
+                moved = np.flatnonzero(label[used] != nodes[used])
+                columns[4].append(moved.astype(np.uint32).tobytes())
+                columns[5].append(label[used][moved].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(there, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]],
-                ["slot", "keys", "members", "nodes", "bands"],
+                ["slot", "keys", "members", "nodes", "bands", "moved", "labels"],
             )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,56 +310,79 @@ def tile_members(
             found = _meet(held.pop(slot))
             for at in range(0, len(found[0]), 50_000):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[at : at + 50_000]) for c in found], ["key", "node", "own", "band", "pivot"]
+                    [pa.array(c[at : at + 50_000]) for c in found], ["key", "node", "own", "band", "label", "hot"]
                 )
 
-    packed = narrow.mapInArrow(pack, "slot int, keys binary, members binary, nodes binary, bands binary")
+    kinds = "slot int, keys binary, members binary, nodes binary, bands binary, moved binary, labels binary"
+    packed = texts.select("text_", "label").mapInArrow(pack, kinds)
     dealt = packed.repartition(tasks, "slot")
-    return cut_lineage(dealt.mapInArrow(meet, "key long, node long, own boolean, band int, pivot long"))
+    return cut_lineage(dealt.mapInArrow(meet, "key long, node long, own boolean, band int, label long, hot boolean"))
 
 
 def _meet(rows: list[dict]) -> list[np.ndarray]:
     keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
-    nodes, own, band = [], [], []
+    whose, own, nodes, labels, bands, base = [], [], [], [], [], 0
     for r in rows:
         size = np.uint16 if len(r["members"]) * 4 == len(r["keys"]) else np.uint32
         member = np.frombuffer(r["members"], size).astype(np.int64)
-        nodes.append(np.frombuffer(r["nodes"], np.int64)[member >> 1])
+        nodes.append(np.frombuffer(r["nodes"], np.int64))
+        labels.append(nodes[-1].copy())
+        labels[-1][np.frombuffer(r["moved"], np.uint32)] = np.frombuffer(r["labels"], np.int64)
+        bands.append(np.frombuffer(r["bands"], np.uint8))
+        whose.append((member >> 1) + base)
         own.append((member & 1).astype(bool))
-        band.append(np.frombuffer(r["bands"], np.uint8)[member >> 1])
-    nodes, own, band = np.concatenate(nodes), np.concatenate(own), np.concatenate(band).astype(np.int32)
+        base += len(nodes[-1])
+    nodes, labels, bands, whose, own = (np.concatenate(x) for x in (nodes, labels, bands, whose, own))
     order = np.argsort(keys, kind="stable")
-    sorted_keys = keys[order]
-    repeated = np.zeros(len(keys), bool)
-    repeated[1:] = sorted_keys[1:] == sorted_keys[:-1]
-    repeated[:-1] |= repeated[1:]
-    order = order[repeated]
-    order = order[np.lexsort((nodes[order], keys[order]))]
-    keys, nodes, own, band = keys[order], nodes[order], own[order], band[order]
-    new_key = np.ones(len(keys), bool)
-    new_key[1:] = keys[1:] != keys[:-1]
-    once = new_key.copy()
-    once[1:] |= nodes[1:] != nodes[:-1]
-    keys, nodes, own, band, new_key = keys[once], nodes[once], own[once], band[once], new_key[once]
-    run = np.cumsum(new_key) - 1
-    starts = np.flatnonzero(new_key)
-    live = (np.bincount(run) > 1) & (np.bincount(run, weights=own) > 0) if len(run) else np.zeros(0, bool)
-    keep = live[run]
-    pivot = nodes[starts][run]
-    band = band + ~own
-    return [keys[keep].view(np.int64), nodes[keep], own[keep], band[keep].astype(np.int32), pivot[keep]]
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    run = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    label, own = labels[whose[order]], own[order]
+    several = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+    several &= np.logical_or.reduceat(own, starts)
+    keep = np.flatnonzero(several[run])
+    keys, own, node = keys[keep], own[keep], nodes[whose[order[keep]]]
+    # Copies from different batches.
+    order = order[keep[by := np.lexsort((node, keys))]]
+    keys, own, node = keys[by], own[by], node[by]
+    once = np.ones(len(keys), bool)
+    once[1:] = (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])
+    order, keys, own, node = order[once], keys[once], own[once], node[once]
+    band = bands[whose[order]].astype(np.int32) + ~own
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    run = np.cumsum(new) - 1
+    hot = (np.bincount(run) > HOT)[run] if len(run) else np.zeros(0, bool)
+    return [keys.view(np.int64), node, own, band, labels[whose[order]], hot]
+
+
+def without_spare(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``members`` less those hot keys that a document can spare.
+
+    Hot keys come last in the order of all keys, so they go first. What a common passage of
+    moderate length brings about is all spared, and its documents never meet.
+    """
+    hot = members.filter("hot")
+    spare = sizes.select("node", "spare", "spare_up").join(hot.select("node").distinct(), "node", "left_semi").distinct()
+    mine = Window.partitionBy("node", "own")
+    counted = hot.join(spare, "node").withColumn("place", F.row_number().over(mine.orderBy("key")))
+    counted = counted.withColumn("n", F.count(F.lit(1)).over(mine))
+    needed = counted.filter(F.col("place") <= F.col("n") - F.when(F.col("own"), F.col("spare")).otherwise(F.col("spare_up")))
+    return cut_lineage(needed.select(members.columns).union(members.filter("NOT hot")))
 
 
 def _documents_of(df: DataFrame, sizes: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``node`` and ``text_`` of one document for each of ``nodes``.
 
-    The ids are broadcast up to a checked number; beyond that the texts are joined by a shuffle.
+    Their keys are broadcast up to a checked number; beyond that the texts are joined by a shuffle.
     """
     wanted = nodes.select("node").distinct()
-    chosen = cut_lineage(sizes.join(wanted, "node").groupBy("node").agg(F.min("id_").alias("id_")))
-    if chosen.count() <= BROADCAST_IDS:
+    chosen = cut_lineage(sizes.join(wanted, "node").groupBy("node").agg(F.min("key_").alias("key_")))
+    if chosen.count() <= BROADCAST_KEYS:
         chosen = F.broadcast(chosen)
-    return _texts(df, doc_id, text).join(chosen, "id_").select("node", "text_")
+    return _texts(df, doc_id, text).join(chosen, "key_").select("node", "text_")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -306,7 +391,7 @@ def _sets(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
             values, offsets = shingle_sets(*text_bytes(batch.column(1)))
-            # A document id that is not unique may have brought texts of other nodes along.
+            # Should two rows' keys be equal by chance, one is not the node's.
             right = fingerprints(values, offsets) == batch.column(0).to_numpy()
             made = binaries(values.view(np.uint8), 8 * offsets)
             yield pa.RecordBatch.from_arrays([batch.column(0), made], ["node", "items"]).filter(pa.array(right))
@@ -424,14 +509,21 @@ def _compare(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def first_partners(members: DataFrame) -> DataFrame:
-    """One pair (a, b) a node at most: with the pivot of most of its tiles, unless that is itself.
+def first_partners(sizes: DataFrame) -> DataFrame:
+    """One pair (a, b) a node at most, of sets that are probably near copies.
 
-    A near copy shares many parts with it, while documents with a common passage share few.
+    Each key of the nodes' sketches points at the smallest node that has it; a node's partner is
+    the one that most of its keys point at, if these are several. Which pairs are found decides
+    only how many comparisons are saved.
     """
-    times = members.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    best = times.groupBy("node").agg(F.max(F.struct("n", (-F.col("pivot")).alias("minus"))).alias("top"))
-    pairs = best.select((-F.col("top.minus")).alias("a"), F.col("node").alias("b"))
+    keys = cut_lineage(
+        sizes.filter("n_shingles > 0").select("node", F.explode("sketch").alias("key")).distinct()
+    )
+    pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m"))
+    pivots = cut_lineage(pivots.filter("m > 1").select("key", "pivot"))
+    times = keys.join(pivots, "key").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    best = times.groupBy("node").agg(F.max(F.struct("n", F.expr("~pivot").alias("least"))).alias("top"))
+    pairs = best.filter("top.n > 1").select(F.expr("~top.least").alias("a"), F.col("node").alias("b"))
     return cut_lineage(pairs.filter("a != b"))
 
 
@@ -439,23 +531,12 @@ def _nodes_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
 
 
-def _level_links(df: DataFrame, sizes: DataFrame, members: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Links (a, b) that connect all linked documents which share a tile."""
-
-    def decided(pairs: DataFrame) -> DataFrame:
-        sets = _sets(_documents_of(df, sizes, _nodes_of(pairs), doc_id, text))
-        return cut_lineage(linked_pairs(pairs, sets))
-
-    links = decided(first_partners(members))
-    roots = components(links)
-    labelled = members.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
-    several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    several = cut_lineage(several.filter("low < high").select("key"))
-    rest = cut_lineage(labelled.join(several, "key").select("key", "node", "own", "band", "label"))
-    if rest.isEmpty():
-        return links
-    maps = _bitmaps(_documents_of(df, sizes, rest, doc_id, text))
-    return links.union(decided(cut_lineage(tile_survivors(rest, maps))))
+def labelled_texts(df: DataFrame, sizes: DataFrame, roots: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``text_`` of every row, and ``label``, its root if that is another node than its own."""
+    moved = cut_lineage(sizes.join(roots.filter("node != root"), "node").select("key_", F.col("root").alias("label")).distinct())
+    if moved.count() <= BROADCAST_KEYS:
+        moved = F.broadcast(moved)
+    return _texts(df, doc_id, text).join(moved, "key_", "left").select("text_", "label")
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -471,12 +552,20 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     sizes = set_sizes(df, doc_id, text)
     total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
     tasks = max(shuffle_width(spark), math.ceil(total / SLOT_KEYS))
-    links, bands = None, None
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        sets = _sets(_documents_of(df, sizes, _nodes_of(pairs), doc_id, text))
+        return cut_lineage(linked_pairs(pairs, sets))
+
+    links = decided(first_partners(sizes))
+    texts = labelled_texts(df, sizes, components(links), doc_id, text)
+    bands = None
     for level in range(LEVELS):
-        members = tile_members(df, text, tasks, level, bands)
-        found = _level_links(df, sizes, members, doc_id, text)
-        links = found if links is None else links.union(found)
         seen = sizes if level == 0 else set_sizes(df, doc_id, text, level)
+        members = without_spare(tile_members(texts, tasks, level, bands), seen)
+        if not members.isEmpty():
+            maps = _bitmaps(_documents_of(df, sizes, members, doc_id, text))
+            links = links.union(decided(cut_lineage(tile_survivors(members, maps))))
         # A number of bands, not of documents.
         bands = [r[0] for r in seen.select("crowded_").filter("crowded_ IS NOT NULL").distinct().collect()]
         if not bands:

@@ -99,7 +99,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = cotraining.score_documents(docs, labels)
-    return scored.select("doc_id", "quality_probability", cotraining.accepted(scored).alias("accepted"))
+    return scored.select("doc_id", "quality_probability", cotraining.accepted().alias("accepted"))
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
