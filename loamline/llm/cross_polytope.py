@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loamline.llm.common import quoted
 from loamline.llm.components import components
-from loamline.llm.spans import mix
+from loamline.llm.spans import group_starts, mix, whole_groups
 from loamline.llm.vectors import matrices, usable
 from loamline.session import cut_lineage, shuffle_width
 
@@ -69,8 +69,9 @@ class Plan:
         """Keys by vector, table and probe; the first probe is the vector's own bucket."""
         padded = np.zeros((len(unit), self.wide))
         padded[:, : self.dim] = unit
-        out = np.empty((len(unit), self.tables, self.probes + 1), np.int64)
         signs, steps = _signs(self), _steps(self.hashes, min(3, self.wide))
+        probes = min(self.probes, len(steps))
+        out = np.empty((len(unit), self.tables, probes + 1), np.int64)
         for t in range(self.tables):
             codes, losses = [], []
             for h in range(self.hashes):
@@ -83,7 +84,7 @@ class Plan:
                 codes.append(2 * top + (np.take_along_axis(y, top, 1) < 0))
                 losses.append((best[:, :1] - best) ** 2)
             loss = sum(x[:, steps[:, h]] for h, x in enumerate(losses))
-            chosen = np.argsort(loss, axis=1, kind="stable")[:, : self.probes]
+            chosen = np.argsort(loss, axis=1, kind="stable")[:, :probes]
             chosen = np.hstack([np.zeros((len(unit), 1), np.int64), chosen + 1])
             every = np.vstack([np.zeros((1, self.hashes), np.int64), steps])
             key = np.full(chosen.shape, t * 2 + 1, np.uint64)
@@ -170,7 +171,7 @@ def tile_links(tiles: DataFrame, classes: DataFrame, rows: int, threshold: float
     full = full.sortWithinPartitions("key", "i", "j").select("key", "i", "j", "mine", "node", "own", "copies", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_tiles(batches):
+        for table in whole_groups(batches, ["key", "i", "j"]):
             made = _links(table, rows, threshold)
             if len(made[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], ["node", "links", "root"])
@@ -178,36 +179,9 @@ def tile_links(tiles: DataFrame, classes: DataFrame, rows: int, threshold: float
     return cut_lineage(full.mapInArrow(run, "node long, links long, root long"))
 
 
-def _whole_tiles(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of complete tiles, of about ``least`` rows or one large tile."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.num_rows
-        if size < least:
-            continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        end = _starts(table)[-1]
-        if end:
-            yield table.slice(0, end)
-        held, size = table.slice(end).to_batches(), table.num_rows - end
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _starts(table: pa.Table) -> np.ndarray:
-    keys = [table.column(c).to_numpy() for c in ("key", "i", "j")]
-    new = np.ones(table.num_rows, bool)
-    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return np.flatnonzero(new)
-
-
 def _links(table: pa.Table, rows: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table = table.combine_chunks()
-    starts = _starts(table)
+    starts = group_starts(table, ["key", "i", "j"])
     n = table.num_rows
     ends = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
     key, i, j, mine, node, own, copies = (
