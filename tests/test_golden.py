@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from loamline.functions import curves, timekeys
-from loamline.operators import calendar, pulses, ranking, rollup, watering
+from loamline.operators import calendar, fitting, pulses, ranking, rollup, watering
 
 # Nonzero S4 irrigation (mm) of the experiment.
 S4_EVENTS = """
@@ -143,3 +143,16 @@ def test_missing_values_follow_one_rule(spark):
     rows = [(1, nan), (1, None), (2, 3.0), (2, nan), (3, inf), (3, 5.0)]
     stats = rollup.daily(spark.createDataFrame(rows, "k int, value double"), ["k"], F.col("value")).collect()
     assert {r.k: (r["mean"], r["min"], r["max"]) for r in stats} == {1: (None, None, None), 2: (3.0, 3.0, 3.0), 3: (5.0, 5.0, 5.0)}
+
+
+def test_tempered_posterior_spreads_every_parameter(spark):
+    """A check in which all weight lies on one grid point would prove nothing."""
+    sse = spark.createDataFrame(
+        [("g", a, n, r, 0.5 + a + n + r, 100) for a in (0.1, 0.2) for n in (1.5, 2.0) for r in (0.01, 0.02)],
+        "grp string, alpha_cm double, n double, theta_r double, sse double, n_obs long",
+    )
+    out = fitting.weighted_summary(fitting.grid_posterior(sse, fitting.Axis(0.1, 0.1, 4), power=0.01), {"low": 0.025})
+    rows = {r.parameter: r for r in out.collect()}
+    assert set(rows) == {"alpha_cm", "n", "theta_r", "sigma"} and all(r.std_error > 0 for r in rows.values())
+    total = fitting.grid_posterior(sse, fitting.Axis(0.1, 0.1, 4)).agg(F.sum("weight")).first()[0]
+    assert abs(total - 1) < 1e-12
