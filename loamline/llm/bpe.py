@@ -28,7 +28,7 @@ NO_LIMIT = 1 << 62
 # Bytes that are, or may begin, white space in UTF-8.
 MAYBE_SPACE = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3])
 # Chunks a worker remembers between batches; only speed depends on it, as on what follows.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 # Pair answers a worker remembers.
 TRIED = 1_000_000
 # Longer pieces are encoded one by one, shorter ones so many at a time.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TEXT_ROWS = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,6 +20,17 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Rows that Spark hands to Python at a time, for tables of whole texts.
+
+    The default suits short rows; with texts a batch would hold tens of MB, several times over, in
+    every task. A smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def quoted(name: str) -> Column:
     """A column by its literal name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

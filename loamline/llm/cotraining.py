@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamline.llm.common import quoted
+from loamline.llm.common import modest_batches, quoted
 from loamline.llm.spans import mix, small_batches, text_bytes
 
 # The most labelled rows used for fitting, and pool rows offered for pseudo-labels.
@@ -221,6 +221,7 @@ def train(
 
     These bounds hold at any corpus size; only the rows' features come to the driver.
     """
+    modest_batches(df.sparkSession)
     wanted = _sampled(labels.select(quoted(doc_id).alias("k"), quoted(label).cast("double").alias("y")), F.col("k"), sample)
     wanted = wanted.filter(F.col("y").isNotNull() & F.col("k").isNotNull()).dropDuplicates(["k"])
     named = df.select(

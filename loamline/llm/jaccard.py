@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamline.llm.common import quoted
+from loamline.llm.common import modest_batches, quoted
 from loamline.llm.components import components
-from loamline.llm.spans import binaries, mix, small_batches, span_hashes, text_bytes
+from loamline.llm.spans import binaries, group_starts, mix, small_batches, span_hashes, text_bytes, whole_groups
 from loamline.session import cut_lineage, shuffle_width
 
 WORDS = 5
@@ -64,10 +64,12 @@ def _load(top: int) -> float:
 TOPS = _tops()
 LOADS = np.array([_load(int(t)) for t in TOPS])
 # Keys one task sorts, about, and documents on a side of a tile.
-SLOT_KEYS = 2_500_000
+SLOT_KEYS = 500_000
 TILE = 512
-# A tile with more documents is left by those that can spare its key.
-HOT = 8
+# Pairs of a tile compared at a time.
+PAIRS = 50_000
+# From this power of two documents on a tile is large.
+LARGE = 4
 # Part keys by which probable near copies are found before any tile is made.
 SKETCH = 8
 # Finer divisions of bands that are tried; at the last, parts are single hashes.
@@ -246,8 +248,8 @@ def set_sizes(df: DataFrame, doc_id: str, text: str, level: int = 0) -> DataFram
 
 
 def tile_members(texts: DataFrame, tasks: int, level: int = 0, bands: list[int] | None = None) -> DataFrame:
-    """``key``, ``node``, ``own``, ``band``, ``label`` and ``hot`` of documents that agree in a part
-    with one of another label.
+    """``key``, ``node``, ``own``, ``band``, ``label`` and ``crowd`` (the power of two of the tile's
+    size) of documents that agree in a part with one of another label.
 
     ``texts`` has ``text_`` and ``label``, NULL for the document's own node. Parts are those of
     ``level``, and of certain ``bands`` only if they are given. Keys leave a task packed by slot, ranges of the key space, several bytes a key and no row of
@@ -310,13 +312,13 @@ def tile_members(texts: DataFrame, tasks: int, level: int = 0, bands: list[int]
             found = _meet(held.pop(slot))
             for at in range(0, len(found[0]), 50_000):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[at : at + 50_000]) for c in found], ["key", "node", "own", "band", "label", "hot"]
+                    [pa.array(c[at : at + 50_000]) for c in found], ["key", "node", "own", "band", "label", "crowd"]
                 )
 
     kinds = "slot int, keys binary, members binary, nodes binary, bands binary, moved binary, labels binary"
     packed = texts.select("text_", "label").mapInArrow(pack, kinds)
     dealt = packed.repartition(tasks, "slot")
-    return cut_lineage(dealt.mapInArrow(meet, "key long, node long, own boolean, band int, label long, hot boolean"))
+    return cut_lineage(dealt.mapInArrow(meet, "key long, node long, own boolean, band int, label long, crowd int"))
 
 
 def _meet(rows: list[dict]) -> list[np.ndarray]:
@@ -354,23 +356,23 @@ def _meet(rows: list[dict]) -> list[np.ndarray]:
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     run = np.cumsum(new) - 1
-    hot = (np.bincount(run) > HOT)[run] if len(run) else np.zeros(0, bool)
-    return [keys.view(np.int64), node, own, band, labels[whose[order]], hot]
+    crowd = np.ceil(np.log2(np.bincount(run)))[run] if len(run) else np.zeros(0)
+    return [keys.view(np.int64), node, own, band, labels[whose[order]], crowd.astype(np.int32)]
 
 
 def without_spare(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``members`` less those hot keys that a document can spare.
+    """``members`` less those keys that a document can spare, keys of the largest tiles first.
 
-    Hot keys come last in the order of all keys, so they go first. What a common passage of
-    moderate length brings about is all spared, and its documents never meet.
+    What a common passage of moderate length brings about is all spared, and its documents never
+    meet.
     """
-    hot = members.filter("hot")
-    spare = sizes.select("node", "spare", "spare_up").join(hot.select("node").distinct(), "node", "left_semi").distinct()
+    wanted = members.select("node").distinct()
+    spare = sizes.select("node", "spare", "spare_up").join(wanted, "node", "left_semi").distinct()
     mine = Window.partitionBy("node", "own")
-    counted = hot.join(spare, "node").withColumn("place", F.row_number().over(mine.orderBy("key")))
+    counted = members.join(spare, "node").withColumn("place", F.row_number().over(mine.orderBy("crowd", "key")))
     counted = counted.withColumn("n", F.count(F.lit(1)).over(mine))
-    needed = counted.filter(F.col("place") <= F.col("n") - F.when(F.col("own"), F.col("spare")).otherwise(F.col("spare_up")))
-    return cut_lineage(needed.select(members.columns).union(members.filter("NOT hot")))
+    left_out = F.when(F.col("own"), F.col("spare")).otherwise(F.col("spare_up"))
+    return cut_lineage(counted.filter(F.col("place") <= F.col("n") - left_out).select(members.columns))
 
 
 def _documents_of(df: DataFrame, sizes: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -440,15 +442,25 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def tile_survivors(members: DataFrame, maps: DataFrame) -> DataFrame:
+def _relabelled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` with the labels of ``roots``, without tiles that have one label only."""
+    moved = members.drop("label").join(roots, "node", "left")
+    moved = cut_lineage(moved.withColumn("label", F.coalesce("root", "node")).drop("root"))
+    several = moved.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return cut_lineage(moved.join(cut_lineage(several.filter("low < high").select("key")), "key"))
+
+
+def tile_survivors(members: DataFrame, maps: DataFrame, hubs: bool = False) -> DataFrame:
     """Pairs (a, b) of ``members`` (key, node, own, band, label) that pass the bit count bound.
 
     A tile with many documents is cut into blocks, and each pair of blocks is a tile of its own;
     every two documents meet once. Pairs with one label are known to be connected and skipped.
+    With ``hubs`` a document names only one other in a tile, that with most passing pairs.
     """
     counts = cut_lineage(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")))
     blocks = F.ceil(F.col("m") / TILE).cast("int")
-    cut = members.join(counts, "key").withColumn("n", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    cut = members.join(counts, "key").withColumn("n", blocks)
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     cut = cut.select(
         "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "own", "band", "label"
@@ -457,56 +469,71 @@ def tile_survivors(members: DataFrame, maps: DataFrame) -> DataFrame:
     tiles = full.repartition(shuffle_width(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in _groups(batches, ["key", "i", "j"]):
-            a, b = _compare(tile)
+        for tiles_ in whole_groups(batches, ["key", "i", "j"]):
+            a, b = _compare(tiles_, hubs)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return tiles.mapInArrow(run, "a long, b long").distinct()
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows that are equal in ``by``, from sorted batches; a run is held, no more."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.column_stack([batch.column(c).to_numpy().astype(np.int64) for c in by])
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-            now = tuple(keys[a])
-            if held and now != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = now
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _compare(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    column = lambda c: tile.column(c).to_numpy()
-    node, own, label, size, mine = column("node"), column("own"), column("label"), column("size"), column("mine")
-    width = width_of(int(column("band")[0]))
-    maps = np.stack([folded(np.frombuffer(x.as_buffer(), np.uint64), width) for x in tile.column("bitmap")])
-    i, j = column("i")[0], column("j")[0]
-    left = np.flatnonzero(mine == i)
-    right = left if i == j else np.flatnonzero(mine == j)
-    differ = np.zeros((len(left), len(right)), np.int32)
-    for w in range(maps.shape[1]):
-        differ += np.bitwise_count(maps[left, w][:, None] ^ maps[right, w][None, :])
-    # Both sizes together less the differing shingles are twice the overlap.
-    sizes = size[left][:, None] + size[right][None, :]
-    most = (sizes - differ) // 2
-    good = OF * most >= NEED * (sizes - most)
-    good &= label[left][:, None] != label[right][None, :]
-    good &= own[left][:, None] | own[right][None, :]
-    if i == j:
-        good &= node[left][:, None] < node[right][None, :]
-    x, y = np.nonzero(good)
-    a, b = node[left[x]], node[right[y]]
-    return np.minimum(a, b), np.maximum(a, b)
+def _maps_of(tiles: pa.Table, rows: np.ndarray, band: int) -> np.ndarray:
+    """Bitmaps of ``rows``, all as wide as their tiles' ``band`` asks for."""
+    column = tiles.column("bitmap").combine_chunks().take(pa.array(rows))
+    width = width_of(band)
+    out = np.zeros((len(rows), width // 64), np.uint64)
+    sizes = pc.binary_length(column).to_numpy()
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        data, _ = text_bytes(column.take(pa.array(at)))
+        maps = data.view(np.uint64).reshape(len(at), -1).T
+        out[at] = folded(maps, width).T
+    return out
+
+
+def _compare(tiles: pa.Table, hubs: bool) -> tuple[np.ndarray, np.ndarray]:
+    node, own, label, size, mine, band, i, j = (
+        tiles.column(c).to_numpy() for c in ("node", "own", "label", "size", "mine", "band", "i", "j")
+    )
+    starts = group_starts(tiles, ["key", "i", "j"])
+    n = tiles.num_rows
+    sizes = np.diff(np.append(starts, n))
+    tile = np.repeat(np.arange(len(starts)), sizes)
+    later = np.repeat(starts + sizes, sizes) - np.arange(n) - 1
+    found = []
+    for b in np.unique(band):
+        rows = np.flatnonzero(band == b)
+        maps = _maps_of(tiles, rows, int(b))
+        place = np.zeros(n, np.int64)
+        place[rows] = np.arange(len(rows))
+        bounds = np.append(0, np.cumsum(later[rows]))
+        at = 0
+        while at < len(rows):
+            stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PAIRS, "right")) - 1)
+            u = np.repeat(rows[at:stop], later[rows[at:stop]])
+            v = u + 1 + np.arange(len(u)) - np.repeat(bounds[at:stop] - bounds[at], later[rows[at:stop]])
+            at = stop
+            good = (label[u] != label[v]) & (own[u] | own[v]) & ((i[u] == j[u]) | (mine[u] != mine[v]))
+            good &= OF * np.minimum(size[u], size[v]) >= NEED * np.maximum(size[u], size[v])
+            u, v = u[good], v[good]
+            differ = np.zeros(len(u), np.int64)
+            for w in range(maps.shape[1]):
+                differ += np.bitwise_count(maps[place[u], w] ^ maps[place[v], w])
+            # Both sizes together less the differing shingles are twice the overlap.
+            both = size[u] + size[v]
+            most = (both - differ) // 2
+            good = OF * most >= NEED * (both - most)
+            found.append((u[good], v[good]))
+    u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+    if hubs and len(u):
+        degree = np.bincount(u, minlength=n) + np.bincount(v, minlength=n)
+        x, y = np.concatenate([u, v]), np.concatenate([v, u])
+        order = np.lexsort((y, -degree[y], tile[x], x))
+        first = order[np.append(True, x[order][1:] != x[order][:-1])]
+        u, v = x[first], y[first]
+    a, b = node[u], node[v]
+    pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def first_partners(sizes: DataFrame) -> DataFrame:
@@ -549,6 +576,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     hashes. An empty table gives no rows.
     """
     spark = df.sparkSession
+    modest_batches(spark)
     sizes = set_sizes(df, doc_id, text)
     total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
     tasks = max(shuffle_width(spark), math.ceil(total / SLOT_KEYS))
@@ -565,6 +593,11 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         members = without_spare(tile_members(texts, tasks, level, bands), seen)
         if not members.isEmpty():
             maps = _bitmaps(_documents_of(df, sizes, members, doc_id, text))
+            hot = members.filter(F.col("crowd") >= LARGE)
+            if not hot.isEmpty():
+                # Large tiles first yield a pair a document, lest a group not found so far yields all.
+                links = links.union(decided(cut_lineage(tile_survivors(hot, maps, hubs=True))))
+                members = _relabelled(members, components(links))
             links = links.union(decided(cut_lineage(tile_survivors(members, maps))))
         # A number of bands, not of documents.
         bands = [r[0] for r in seen.select("crowded_").filter("crowded_ IS NOT NULL").distinct().collect()]

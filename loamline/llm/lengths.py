@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamline.llm.common import quoted
+from loamline.llm.common import modest_batches, quoted
 from loamline.llm.packing import library_encoder
 from loamline.llm.spans import small_batches, text_bytes
 from loamline.session import cut_lineage
@@ -25,6 +25,7 @@ def length_histogram(df: DataFrame, rank_file: str, pattern: str, text: str = "t
     NULL and empty texts have length 0. Documents are counted inside the task that encodes them,
     so that what is shuffled is one row for each length and batch. No rows give no rows.
     """
+    modest_batches(df.sparkSession)
     narrow = df.select(quoted(text).cast("string").alias("text_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

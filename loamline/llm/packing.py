@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loamline.llm.bpe import Encoder, Vocabulary
-from loamline.llm.common import quoted
+from loamline.llm.common import modest_batches, quoted
 from loamline.llm.spans import binaries, small_batches, text_bytes
 from loamline.session import cut_lineage
 
@@ -63,6 +63,7 @@ def cut_documents(
     A document's ids are those of its whole text and ``end_id``; pieces hold at most ``limit``.
     A NULL or empty text is the end alone. ``special`` strings inside a text become single ids.
     """
+    modest_batches(df.sparkSession)
     columns = [quoted(c) for c in keep]
     narrow = df.select(*columns, quoted(text).cast("string").alias("text_"))
     more = [F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length")]

@@ -65,7 +65,7 @@ def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers).cast(pa.binary())
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], text: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], text: int, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of text, one row at least."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -76,3 +76,31 @@ def small_batches(batches: Iterable[pa.RecordBatch], text: int, limit: int = 1 <
             stop = max(start + 1, int(np.searchsorted(sums, held + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where runs of rows that are equal in ``keys`` begin."""
+    columns = [table.column(c).to_numpy() for c in keys]
+    new = np.ones(table.num_rows, bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in columns])
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], least: int = 10_000) -> Iterator[pa.Table]:
+    """Tables of complete groups, from batches sorted by ``keys``: about ``least`` rows or one group."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        end = int(group_starts(table, keys)[-1])
+        if end:
+            yield table.slice(0, end)
+        held, size = table.slice(end).to_batches(), table.num_rows - end
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
