@@ -2,7 +2,8 @@
 
 A line that stands on more than a given share of a host's pages is part of the site's template.
 The pages with each line are counted by host, divided by the host's page total, and the lines
-above the ratio are dropped from that host's pages.
+above the ratio are dropped from that host's pages. Pages of one text count once in both numbers,
+so that a group of copies does not make its own lines a template.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from loamline.session import cut_lineage
 RATIO = 0.02
 # A line on fewer pages is no template, however small the host.
 MIN_PAGES = 5
-# A page that would lose more than this share is a copy of others, not content inside a template.
+# Read by OP5_SQL alone, which still leaves pages whole that would lose more than this share.
 MAX_LOSS = 0.5
 EDGE = " \t\r"
 
@@ -40,19 +41,25 @@ def template_lines(
 ) -> DataFrame:
     """``host_`` and ``keys_``, the hashes of its template lines.
 
-    Pages and lines are counted map-side, so a host with any share of the pages reaches the
-    shuffle as one row per line and task. A host has at most (mean lines a page) / ratio such
-    lines, so its array is short.
+    What is shuffled of a page is a hash of its text and those of its lines, combined map-side
+    where pages are equal. Counts combine map-side too, so a host with any share of the pages is
+    one row per line and task. A host has at most (mean lines a page) / ratio such lines, so its
+    array is short.
     """
     pages = df.select(quoted(host).alias("host_"), quoted(text).alias("text_")).filter(F.col("host_").isNotNull())
-    totals = pages.groupBy("host_").agg(F.count(F.lit(1)).alias("all_"))
+    # A NULL among a page's lines counts the page itself.
+    lines = F.concat(F.array(F.lit(None).cast("long")), F.coalesce(_keys(F.col("text_")), F.array().cast("array<bigint>")))
+    single = pages.select("host_", F.xxhash64("text_").alias("page_"), lines.alias("lines_")).distinct()
     counted = (
-        pages.select("host_", F.explode(_keys(F.col("text_"))).alias("key_"))
+        single.select("host_", F.explode("lines_").alias("key_"))
         .groupBy("host_", "key_")
         .agg(F.count(F.lit(1)).alias("pages_"))
-        .filter(F.col("pages_") >= min_pages)
+        .filter(F.col("key_").isNull() | (F.col("pages_") >= min_pages))
     )
-    frequent = counted.join(totals, "host_").filter(F.col("pages_") > F.col("all_") * ratio)
+    counted = cut_lineage(counted)
+    totals = counted.filter(F.col("key_").isNull()).select("host_", F.col("pages_").alias("all_"))
+    frequent = counted.filter(F.col("key_").isNotNull()).join(totals, "host_")
+    frequent = frequent.filter(F.col("pages_") > F.col("all_") * ratio)
     return frequent.groupBy("host_").agg(F.sort_array(F.collect_list("key_")).alias("keys_"))
 
 
@@ -62,15 +69,14 @@ def drop_template_lines(
     text: str = "text",
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
-    max_loss: float = MAX_LOSS,
     dropped: str = "n_dropped",
 ) -> DataFrame:
     """``df`` with template lines gone from ``text``, and the number of lines dropped.
 
-    Lines that are blank stay. A page that would lose more than ``max_loss`` of its characters
-    is left whole: that happens to copies of a page, which are not this operator's matter. Rows
-    with NULL text or host stay as they are; repeated rows count as pages of their own. The table
-    of template lines is written first, so that it is broadcast only if its files are small.
+    Lines that are blank stay; every other line above the ratio goes, however little of its page
+    is left. Rows with NULL text or host stay as they are. Repeated rows count as one page. Near
+    copies count as pages of their own. The table of template lines is written first, so that it
+    is broadcast only if its files are small.
     """
     bad = cut_lineage(template_lines(df, host, text, ratio, min_pages))
     key, keys, kept = (free_name(df, n) for n in ("host_", "keys_", "kept_"))
@@ -80,9 +86,9 @@ def drop_template_lines(
         lines_of(quoted(text)),
         lambda x: (F.btrim(x, F.lit(EDGE)) == "") | ~F.array_contains(F.col(keys), line_key(x)),
     )
-    joined = joined.withColumn(kept, F.when(F.col(keys).isNotNull(), F.array_join(left, "\n")))
-    cut = F.col(kept).isNotNull() & (F.length(kept) >= F.length(quoted(text)) * (1 - max_loss))
-    lost = F.size(lines_of(quoted(text))) - F.size(lines_of(F.col(kept)))
-    lost = F.when(F.col(kept) == "", F.size(lines_of(quoted(text)))).otherwise(lost)
-    columns = [F.when(cut, F.col(kept)).otherwise(quoted(c)).alias(c) if c == text else quoted(c) for c in df.columns]
-    return joined.select(*columns, F.when(cut, lost).otherwise(F.lit(0)).alias(free_name(df, dropped)))
+    joined = joined.withColumn(kept, F.when(F.col(keys).isNotNull(), left))
+    cut = F.col(kept).isNotNull()
+    short = F.when(cut, F.array_join(kept, "\n")).otherwise(quoted(text))
+    lost = F.when(cut, F.size(lines_of(quoted(text))) - F.size(kept)).otherwise(F.lit(0))
+    columns = [short.alias(c) if c == text else quoted(c) for c in df.columns]
+    return joined.select(*columns, lost.alias(free_name(df, dropped)))

@@ -238,6 +238,20 @@ def test_line_dedup_edges(spark, odd, none):
     assert out[200].text == "menu\nother" and out[201].text is None and out[202].text == "" and out[300].n_dropped == 0
 
 
+def test_line_dedup_cuts_pages_that_are_nearly_all_template(spark):
+    header, footer = "Home | Shop | About us | Contact", "All rights reserved by the owner"
+    rows = [(i, f"{header}\nbody {i}\n{footer}", "h") for i in range(20)]
+    # Many copies of one text are one page: their lines are no template, and make no others rare.
+    rows += [(100 + i, "copy one\ncopy two", "h") for i in range(2000)]
+    # Nothing or only blanks may be left.
+    rows += [(5000, f"{header}\n{footer}", "h"), (5001, f"{header}\n", "h"), (5002, "", "h")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_template_lines(frame).collect()}
+    assert {i: out[i] for i in range(20)} == {i: (f"body {i}", 2) for i in range(20)}
+    assert all(out[100 + i] == ("copy one\ncopy two", 0) for i in range(2000))
+    assert (out[5000], out[5001], out[5002]) == (("", 2), ("", 1), ("", 0))
+
+
 def test_jaccard_edges(odd, none, odd_rows):
     rows = jaccard.jaccard_components(odd).collect()
     want = brute_components({i: t for i, t, *_ in odd_rows if i is not None})
