@@ -433,3 +433,17 @@ def test_cotraining_edges(spark, odd, none):
     assert all((r.quality_probability > 0.5) == bool(r.doc_id % 2) for r in found.collect())
     more = cotraining.score(odd, model, "text", ["source", "lang"], "n_chars").collect()
     assert len(more) == 17 and all(0 <= r.quality_probability <= 1 for r in more)
+
+
+def test_every_unlabelled_document_is_offered(spark):
+    """Labels that one view gives are counted over all documents it is sure of."""
+    rows = [(i, words(i, 30) if i % 3 else f"!! $$ %% {i} " * 20, "en", "a", 9) for i in range(9000)]
+    frame = spark.createDataFrame(rows, DOCS).repartition(40)
+    known = frame.filter("doc_id % 10 = 0").select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    seen = []
+    exchange = cotraining.Evidence.of
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(cotraining.Evidence, "of", lambda *a: seen.append(int(a[3].sum())) or exchange(*a))
+        cotraining.train(frame, known, "doc_id", "text", ["source"], "n_chars", "quality")
+    fitted = seen[0]
+    assert 0 < fitted < 900 and max(seen) == fitted + 8100
