@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.common import modest_batches, quoted
-from loamline.llm.spans import mix, small_batches, text_bytes
+from loamline.llm.spans import mix, small_batches, span_hashes, text_bytes
 from loamline.session import cut_lineage
 
 ROUNDS = 4
@@ -30,7 +30,7 @@ SURE = 0.95
 HELD_BACK = 4
 FOLDS = 4
 # Hash buckets of each category column. Only those that occur take memory.
-BUCKETS = 64
+BUCKETS = 1 << 20
 # Rows a category counts for beforehand, in the labels' proportion.
 PRIOR = 4.0
 RIDGE = 1e-2
@@ -100,16 +100,13 @@ def text_features(column: pa.Array) -> np.ndarray:
 def metadata_features(categories: list[pa.Array], sizes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The declared size on a log scale, and a bucket for each category (NULL is as empty text).
 
-    Buckets come from the last bytes of the text and differ between columns.
+    Buckets come from a hash of the whole text and differ between columns.
     """
     n = len(sizes)
     at = np.zeros((n, len(categories)), np.int64)
     for salt, column in enumerate(categories):
         data, offsets = text_bytes(column.cast(pa.string()))
-        raw = data.tobytes()
-        each = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        code = {x: int.from_bytes(x[-8:].rjust(8, b"\0"), "little") for x in set(each)}
-        keys = np.fromiter((code[x] for x in each), np.uint64, n)
+        keys = span_hashes(data, offsets[:-1], offsets[1:])
         at[:, salt] = (mix(keys + np.uint64(salt)) % np.uint64(BUCKETS)).astype(np.int64) + salt * BUCKETS
     known = pc.is_valid(sizes).to_numpy(zero_copy_only=False).astype(float)
     size = np.log1p(np.maximum(pc.fill_null(sizes.cast(pa.float64()), 0).to_numpy(zero_copy_only=False), 0)) / 10

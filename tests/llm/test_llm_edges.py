@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -447,3 +448,25 @@ def test_every_unlabelled_document_is_offered(spark):
         cotraining.train(frame, known, "doc_id", "text", ["source"], "n_chars", "quality")
     fitted = seen[0]
     assert 0 < fitted < 900 and max(seen) == fitted + 8100
+
+
+def test_categories_are_told_apart_by_their_whole_text():
+    hosts = [f"host{i}.example.com" for i in range(2000)]
+    _, at = cotraining.metadata_features([pa.array(hosts), pa.array(hosts)], pa.array([1.0] * 2000))
+    assert len(np.unique(at[:, 0])) > 1990 and not set(at[:, 0]) & set(at[:, 1])
+
+
+def test_hosts_without_labels_are_learned_from_the_text(spark):
+    """Hosts of one ending, most of them without a label, each with few of 9000 documents."""
+    good = {i: i % 3 > 0 for i in range(9000)}
+    rows = [(i, words(i, 30) if ok else f"!! $$ %% {i} " * 20, "en", f"n{i % 1500}.example.com", 9) for i, ok in good.items()]
+    frame = spark.createDataFrame(rows, DOCS).repartition(40)
+    known = frame.filter("doc_id % 10 = 0").select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality"))
+    model = cotraining.train(frame, known, "doc_id", "text", ["source", "lang"], "n_chars", "quality")
+    # Documents 1500 apart share a host, and 1500 is a multiple of 3: hosts are good or bad as a whole.
+    hosts = pa.array([f"n{i}.example.com" for i in range(1500)])
+    _, at = cotraining.metadata_features([hosts], pa.array([9.0] * 1500))
+    odds = model.views.evidence.features(at)[:, 0]
+    assert [x > 0 for x in odds] == [good[i] for i in range(1500)]
+    found = cotraining.score(frame, model, "text", ["source", "lang"], "n_chars").collect()
+    assert all((r.quality_probability > 0.5) == good[r.doc_id] for r in found)
