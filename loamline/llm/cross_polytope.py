@@ -108,7 +108,10 @@ def _steps(hashes: int, ranks: int) -> np.ndarray:
 
 @lru_cache(maxsize=64)
 def plan_for(dim: int, rows: int, threshold: float = THRESHOLD, recall: float = RECALL) -> Plan:
-    """Hashes by the number of rows, tables by trial on random pairs exactly at the threshold."""
+    """Hashes by the number of rows, tables by trial on random pairs exactly at the threshold.
+
+    Where such pairs hardly ever meet, a bucket joins fewer hashes.
+    """
     corners = 2 * (1 << max(1, (dim - 1).bit_length()))
     hashes = max(1, math.ceil(math.log(max(2.0, rows * (2 * PROBES + 1) / CHANCE)) / math.log(corners)))
     hashes = min(hashes, 6)
@@ -119,9 +122,12 @@ def plan_for(dim: int, rows: int, threshold: float = THRESHOLD, recall: float =
     b -= (a * b).sum(1, keepdims=True) * a
     norm = np.linalg.norm(b, axis=1, keepdims=True)
     b = threshold * a + math.sqrt(1 - threshold**2) * b / np.where(norm > 0, norm, 1)
-    one = Plan(dim, 1, hashes)
-    x, y = one.buckets(a)[:, 0], one.buckets(b)[:, 0]
-    met = ((x[:, :1] == y) | (y[:, :1] == x)).any(1).mean()
+    for hashes in range(hashes, 0, -1):
+        one = Plan(dim, 1, hashes)
+        x, y = one.buckets(a)[:, 0], one.buckets(b)[:, 0]
+        met = ((x[:, :1] == y) | (y[:, :1] == x)).any(1).mean()
+        if met >= 0.02:
+            break
     tables = math.ceil(math.log(1 - recall) / math.log(1 - min(max(met, 0.02), 0.999)))
     return Plan(dim, max(2, tables), hashes)
 
@@ -131,14 +137,16 @@ def unit_rows(values: np.ndarray) -> np.ndarray:
     return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
 
-def bucket_rows(classes: DataFrame, rows: int) -> DataFrame:
+def bucket_rows(
+    classes: DataFrame, rows: int, threshold: float = THRESHOLD, recall: float = RECALL
+) -> DataFrame:
     """``key``, ``node`` and ``own`` for every vector, table and probe; written down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = batch.column("node").to_numpy()
             for at, values in matrices(batch.column("vector")):
-                plan = plan_for(values.shape[1], rows)
+                plan = plan_for(values.shape[1], rows, threshold, recall)
                 for part in range(0, len(at), 2048):
                     keys = plan.buckets(unit_rows(values[part : part + 2048]))
                     own = np.zeros(keys.shape, bool)
@@ -160,7 +168,9 @@ def busy_tiles(buckets: DataFrame) -> DataFrame:
     return cut.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "own")
 
 
-def tile_links(tiles: DataFrame, classes: DataFrame, rows: int, threshold: float) -> DataFrame:
+def tile_links(
+    tiles: DataFrame, classes: DataFrame, rows: int, threshold: float, recall: float = RECALL
+) -> DataFrame:
     """``node``, ``links`` and ``root`` from every tile.
 
     A pair that meets in several buckets counts in the first of them alone. What leaves a tile
@@ -172,14 +182,16 @@ def tile_links(tiles: DataFrame, classes: DataFrame, rows: int, threshold: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key", "i", "j"]):
-            made = _links(table, rows, threshold)
+            made = _links(table, rows, threshold, recall)
             if len(made[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], ["node", "links", "root"])
 
     return cut_lineage(full.mapInArrow(run, "node long, links long, root long"))
 
 
-def _links(table: pa.Table, rows: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _links(
+    table: pa.Table, rows: int, threshold: float, recall: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     table = table.combine_chunks()
     starts = group_starts(table, ["key", "i", "j"])
     n = table.num_rows
@@ -209,7 +221,7 @@ def _links(table: pa.Table, rows: int, threshold: float) -> tuple[np.ndarray, np
             near = np.einsum("ij,ij->i", unit[place[x]], unit[place[y]]) >= threshold
             x, y = x[near], y[near]
             if len(x):
-                first = _first_meeting(plan_for(dim, rows), unit, place[x], place[y], key[x])
+                first = _first_meeting(plan_for(dim, rows, threshold, recall), unit, place[x], place[y], key[x])
                 found.append((x[first], y[first]))
     if not found:
         empty = np.zeros(0, np.int64)
@@ -253,27 +265,30 @@ def _first_meeting(plan: Plan, unit: np.ndarray, u: np.ndarray, v: np.ndarray, k
 
 
 def near_duplicates(
-    df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD
+    df: DataFrame,
+    vec_id: str = "vec_id",
+    embedding: str = "embedding",
+    threshold: float = THRESHOLD,
+    recall: float = RECALL,
 ) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` for every row of ``df``.
 
     Vectors that are NULL, empty, zero, or hold NULL or non-finite components are linked with
     nothing, as are vectors of different lengths. Equal vectors are one node with a number of
-    copies, which are linked with each other. A component's id is its smallest vector id; rows
+    copies, which are linked with each other; nodes are told apart by a 64-bit hash of the vector,
+    so different vectors under one id are nodes of their own. A component's id is its smallest vector id; rows
     without an id may be linked but never name a component unless nothing else does (NULL). An
     empty table gives no rows.
     """
     named = df.select(quoted(vec_id).cast("long").alias("id_"), quoted(embedding).alias("vector"))
     good = usable(F.col("vector")) & F.exists("vector", lambda x: x != 0)
     valid = named.filter(F.coalesce(good, F.lit(False)))
-    node = F.coalesce(F.min("id_"), F.xxhash64("vector"))
-    classes = cut_lineage(
-        valid.groupBy("vector").agg(node.alias("node"), F.min("id_").alias("first_"), F.count(F.lit(1)).alias("copies"))
-    )
+    classes = valid.groupBy("vector").agg(F.min("id_").alias("first_"), F.count(F.lit(1)).alias("copies"))
+    classes = cut_lineage(classes.withColumn("node", F.xxhash64("vector")))
     rows = max(2, classes.count())
     vectors = classes.select("node", "vector", "copies")
-    tiles = busy_tiles(bucket_rows(vectors.select("node", "vector"), rows))
-    links = tile_links(tiles, vectors, rows, threshold)
+    tiles = busy_tiles(bucket_rows(vectors.select("node", "vector"), rows, threshold, recall))
+    links = tile_links(tiles, vectors, rows, threshold, recall)
     roots = components(links.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     degrees = links.groupBy("node").agg(F.sum("links").alias("links"))
     labelled = cut_lineage(

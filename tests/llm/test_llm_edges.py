@@ -369,6 +369,22 @@ def test_vector_edges(spark):
     assert cross_polytope.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def test_a_lower_threshold_has_its_own_tables(spark):
+    draw = np.random.default_rng(6)
+    rows = {}
+    for i in range(300):
+        a, b = np.linalg.qr(draw.standard_normal((64, 2)))[0].T
+        rows[2 * i], rows[2 * i + 1] = a.tolist(), (0.81 * a + math.sqrt(1 - 0.81**2) * b).tolist()
+    found = cross_polytope.near_duplicates(vectors(spark, list(rows.items())), threshold=0.8).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == brute_vectors(rows, 0.8)
+
+
+def test_different_vectors_under_one_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (2, [-1.0, 0.0])]
+    found = cross_polytope.near_duplicates(vectors(spark, rows)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(1, 1, 1), (1, 1, 1), (2, 0, 2), (2, 0, 2)]
+
+
 def test_large_buckets_are_cut_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(cross_polytope, "TILE", 16)
     draw = np.random.default_rng(2)
