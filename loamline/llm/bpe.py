@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.common import quoted
-from loamline.llm.spans import binaries, ragged, small_batches, span_hashes, text_bytes
+from loamline.llm.spans import Lookup, binaries, ragged, small_batches, span_hashes, text_bytes
 
 NO_LIMIT = 1 << 62
 # Bytes that are, or may begin, white space in UTF-8.
@@ -187,49 +187,15 @@ class Prefixes:
         return out[::-1]
 
 
-class _Lookup:
-    """Integer keys to integers over numpy arrays: open addressing, -1 for unknown keys."""
-
-    def __init__(self, entries: dict[int, int]):
-        bits = max(4, (2 * len(entries)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys = np.full(1 << bits, -1, np.int64)
-        self.values = np.full(1 << bits, -1, np.int64)
-        keys = np.fromiter(entries.keys(), np.int64, len(entries))
-        values = np.fromiter(entries.values(), np.int64, len(entries))
-        at = self._home(keys)
-        while len(keys):
-            empty = self.keys[at] < 0
-            self.keys[at[empty]], self.values[at[empty]] = keys[empty], values[empty]
-            left = self.keys[at] != keys
-            keys, values, at = keys[left], values[left], (at[left] + 1) & self.mask
-
-    def _home(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        at = self._home(keys)
-        there = self.keys[at]
-        out = np.where(there == keys, self.values[at], -1)
-        open_ = np.flatnonzero((there != keys) & (there >= 0))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & self.mask
-            there = self.keys[at[open_]]
-            same = there == keys[open_]
-            out[open_[same]] = self.values[at[open_[same]]]
-            open_ = open_[~same & (there >= 0)]
-        return out
-
-
 class PrefixBatch:
     """The same last tokens for many short pieces at once, one end position at a time."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         steps, token_at = vocabulary.reversed_trie
-        self.backward = _Lookup(steps)
+        self.backward = Lookup(steps)
         self.token_at = np.array([-1 if t is None else t for t in token_at], np.int64)
-        self.merged = _Lookup({a << 32 | b: rank for (a, b), rank in vocabulary.merged.items()})
+        self.merged = Lookup({a << 32 | b: rank for (a, b), rank in vocabulary.merged.items()})
         self.parts = np.zeros((len(vocabulary.tokens), 2), np.int64)
         for rank, both in vocabulary.parts.items():
             self.parts[rank] = both

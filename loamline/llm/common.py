@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TEXT_ROWS = 500
 
@@ -38,3 +41,16 @@ def quoted(name: str) -> Column:
 
 def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text).cast("long"), F.lit(0).cast("long"))
+
+
+def carried(df: DataFrame, keep: Sequence[str], last: Column) -> DataFrame:
+    """Columns ``keep`` and ``last`` under names of their own, whatever the caller's are."""
+    return df.select(*[quoted(c).alias(f"keep_{i}") for i, c in enumerate(keep)], last.alias("last"))
+
+
+def made_schema(df: DataFrame, keep: Sequence[str], **new: Column) -> StructType:
+    """Schema of columns ``keep`` and new ones, whose names are lengthened where they are taken."""
+    kept = df.select(*map(quoted, keep))
+    for name, kind in new.items():
+        kept = kept.withColumn(free_name(kept, name), kind)
+    return kept.schema

@@ -5,10 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamline.llm import bpe, chat, cotraining, cross_polytope, jaccard, lengths, line_dedup, packing, sharding, topk
+from loamline.llm import (
+    bpe,
+    chat,
+    cotraining,
+    cross_polytope,
+    jaccard,
+    lengths,
+    line_dedup,
+    merkle,
+    packing,
+    periodic,
+    sharding,
+    topk,
+    transducer,
+)
 from loamline.llm.common import table
 from loamline.session import scratch_path
 
@@ -22,6 +36,10 @@ END_ID = 1
 BEST = 5
 QUERY_EVERY = 50
 SPECIAL = {"<|endoftext|>": 50256}
+WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
+# Every fifth document is tampered with, every tenth gets a repetition.
+TAMPERED = 5
+PLANTED = 10
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,6 +200,78 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    coded = transducer.encode_texts(docs, WORD_FILE, keep=["doc_id"])
+    read = transducer.decode_ids(coded, WORD_FILE, keep=["doc_id", "ids"])
+    return read.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    changed = merkle.leaf_digest([*map(F.col, fields), F.translate("text", upper, upper.lower())])
+    tampered = F.crc32(F.col("doc_id").cast("string")) % TAMPERED == 0
+    rows = docs.select(
+        "doc_id",
+        "source",
+        merkle.leaf_digest([*map(F.col, fields), F.col("text")]).alias("digest"),
+        F.when(tampered, changed).alias("changed"),
+    )
+    made = merkle.manifest(rows, F.col("digest"), "source", "doc_id", keep=["changed"])
+    seen = F.coalesce("changed", "leaf")
+    return made.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.siblings_digest(F.col("witness")).alias("proof_sha256"),
+        merkle.folded(seen, F.col("witness")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic.periodic_runs(docs, keep=["doc_id"])
+    best = periodic.strongest(F.col("runs"))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+def planted(doc_id: Column, text: Column) -> Column:
+    """Texts of one document in ten with a part repeated; its words are then joined by one space."""
+    hashed = F.crc32(doc_id.cast("string"))
+    g = ((hashed - hashed % PLANTED) / PLANTED).cast("long")
+
+    def repeat(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        first = g % n
+        period = 1 + F.floor((n - first) / (3 + g % 8))
+        place = F.sequence(F.lit(0).cast("long"), n - 1)
+        taken = F.transform(place, lambda i: F.when(i < first, i).otherwise(first + (i - first) % period).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(taken, lambda i: F.get(words, i)), " ")).otherwise(F.lit(""))
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    # The lambda binds the words, so that they are cut once a text and not once a word.
+    made = F.transform(F.array(words), repeat)[0]
+    return F.when((hashed % PLANTED == 0) & text.isNotNull(), made).otherwise(text)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -193,6 +283,9 @@ QUERIES: dict[str, Query] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_word_bpe": op11_word_bpe,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
