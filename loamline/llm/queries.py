@@ -236,6 +236,73 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def _tree_sql(name: str, key: str, levels: int) -> str:
+    """Tables of one tree's levels over ``{name}_0`` (key, i, h): runs, and the nodes they make."""
+    parts = []
+    for k in range(levels):
+        parts.append(f"""
+{name}_runs_{k} AS (
+  SELECT {key}, i // 16 AS run, list(h ORDER BY i) AS hs, ANY_VALUE(n) AS n
+  FROM (SELECT *, COUNT(*) OVER (PARTITION BY {key}) AS n FROM {name}_{k}) GROUP BY ALL),
+{name}_{k + 1} AS (
+  SELECT {key}, run AS i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}_runs_{k})""")
+    return ",".join(parts)
+
+
+def _path_sql(source: str, name: str, key: str, index: str, levels: int) -> str:
+    """Tables that lead rows with ``siblings`` and ``folded`` up a tree, one level each."""
+    parts = []
+    for k in range(levels):
+        at = f"CAST({index} // {16**k} % 16 + 1 AS BIGINT)"
+        parts.append(f"""
+{name}_path_{k} AS (
+  SELECT p.* REPLACE (
+      CASE WHEN n = 1 THEN siblings ELSE siblings || array_to_string(hs[:{at} - 1] || hs[{at} + 1:], '') END AS siblings,
+      CASE WHEN n = 1 THEN folded
+           ELSE sha256(array_to_string(list_append(hs[:{at} - 1], folded) || hs[{at} + 1:], '')) END AS folded)
+  FROM {source if k == 0 else f"{name}_path_{k - 1}"} p
+  JOIN {name}_runs_{k} r ON r.{key} IS NOT DISTINCT FROM p.{key} AND r.run = p.{index} // {16 ** (k + 1)})""")
+    return ",".join(parts)
+
+
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || {value} END"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+# Bytes of a number's digits, each followed by eight shifts of the check sum.
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+    range(1, length(d) + 1), lambda j: list_prepend(CAST(ascii(d[j]) AS BIGINT), list_transform(range(8), lambda b: CAST(256 AS BIGINT)))))),
+    lambda c, x: CASE WHEN x < 256 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"""
+
+# Enough levels for a million documents a source and 4096 sources.
+OP12_SQL = f"""
+WITH docs AS (
+  SELECT *, CAST(doc_id AS VARCHAR) AS d, {_leaf_sql("text")} AS h,
+         {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS changed
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, h, CASE WHEN {_CRC_SQL} % {TAMPERED} = 0 THEN changed ELSE h END AS folded,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i
+  FROM docs),
+tree_0 AS (SELECT source, i, h FROM leaves),{_tree_sql("tree", "source", 5)},
+top_0 AS (
+  SELECT 0 AS one, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS i, h, source FROM tree_5),
+{_tree_sql("top", "one", 3)},
+started AS (SELECT *, '' AS siblings FROM leaves),
+{_path_sql("started", "tree", "source", "i", 5)},
+placed AS (
+  SELECT p.*, 0 AS one, t.i AS place, t.h AS subroot
+  FROM tree_path_4 p JOIN top_0 t ON t.source IS NOT DISTINCT FROM p.source),
+{_path_sql("placed", "top", "one", "place", 3)}
+SELECT doc_id, p.h AS leaf, subroot, r.h AS root, sha256(siblings) AS proof_sha256, folded AS folded_root,
+       folded = r.h AS verified
+FROM top_path_2 p CROSS JOIN top_3 r"""
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
     found = periodic.periodic_runs(docs, keep=["doc_id"])
@@ -291,6 +358,7 @@ ORACLES: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
     "op8_chat_formatting": OP8_SQL,
     "op9_exact_top_k": OP9_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
 
 
