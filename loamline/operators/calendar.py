@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.functions.timekeys import STUDY_PERIODS
-from loamline.operators.pairing import broadcast_if_small
+from loamline.operators.intervals import join_intervals
 
 # Season, first month, last month, last day; Winter starts in the year before.
 SEASON_BOUNDS = (
@@ -81,8 +81,9 @@ def with_season(
 
 
 def interval_days(intervals: DataFrame, st: str = "st", en: str = "en", day: str = "date") -> DataFrame:
-    """One row per day of each closed interval."""
-    return intervals.withColumn(day, F.explode(F.sequence(F.col(st), F.col(en))))
+    """One row per day of each closed interval; none where a bound is NULL or ``en`` is before ``st``."""
+    held = intervals.where(F.col(st) <= F.col(en))
+    return held.withColumn(day, F.explode(F.sequence(F.col(st), F.col(en))))
 
 
 def label_by_interval(
@@ -93,14 +94,10 @@ def label_by_interval(
     date: str = "date",
     st: str = "st",
     en: str = "en",
+    width: str = "day",
 ) -> DataFrame:
-    """Closed-interval join as an equi join on days.
-
-    The interval side grows with calendar days, not with readings.  It is broadcast once its
-    rows were counted to be few; otherwise the join shuffles on (keys, day).
-    """
-    days = interval_days(intervals, st, en, date).drop(st, en)
-    return df.join(broadcast_if_small(days), [*keys, date], how)
+    """Closed-interval join as an equi join on cells; see :func:`intervals.join_intervals`."""
+    return join_intervals(df, intervals, date, keys, how, st, en, width)
 
 
 def label_by_range(

@@ -8,19 +8,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.session import cut_lineage, shuffle_width
+from loamline.session import cut_lineage, row_bytes, shuffle_width, table_behind
 
-# Rows a side may have to be sent whole to every executor.
+# Rows a side may have to be sent whole to every executor, and what they may take in memory.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 128 << 20
 
 
 def fits(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows: counted in every task, or read off file footers."""
-    return df.count() <= limit
+    """Whether ``df`` has at most ``limit`` rows and BROADCAST_BYTES.
+
+    A settled frame was measured when it was written; another one is settled by the caller first or
+    counted here, rows and bytes in one pass.
+    """
+    table = table_behind(df)
+    if table is not None:
+        return table.rows <= limit and table.size <= BROADCAST_BYTES
+    held = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes(df.schema)), F.lit(0)).alias("size")).first()
+    return held["n"] <= limit and held["size"] <= BROADCAST_BYTES
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only after the row count was checked."""
+    """A broadcast hint only after rows and bytes were checked."""
     return F.broadcast(df) if fits(df, limit) else df
 
 

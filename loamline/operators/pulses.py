@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from loamline.operators.calendar import FIRST_YEAR, LAST_YEAR, hydrologic_year, label_by_interval, season_name
 from loamline.operators.pairing import settled_small
 from loamline.operators.reshape import offset_days
-from loamline.session import cut_lineage
 
 # Amount of the first rewatering, and the windows of the between-irrigation label.
 REWATER_MM = 30.0
@@ -58,14 +57,23 @@ def with_days_since(
     )
 
 
+def daily_events(irrigation: DataFrame) -> DataFrame:
+    """Nonzero events, those of one treatment and day summed, so that a day has one event at most."""
+    events = irrigation.where((F.col("irrigation_mm") != 0) & F.col("date").isNotNull())
+    return events.groupBy("treatment", "date").agg(F.sum("irrigation_mm").alias("irrigation_mm"))
+
+
 def numbered_events(irrigation: DataFrame) -> DataFrame:
-    """Running number of nonzero events per treatment; a treatment has one event a day at most."""
+    """Running number of the days with nonzero events per treatment."""
     order = Window.partitionBy("treatment").orderBy("date")
-    return irrigation.where(F.col("irrigation_mm") != 0).withColumn("pulse", F.row_number().over(order))
+    return daily_events(irrigation).withColumn("pulse", F.row_number().over(order))
 
 
 def event_spans(irrigation: DataFrame, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
-    """Each nonzero event with the last day before the next one, cut at its season's end."""
+    """Each day with an event, up to the day before the next one, cut at its season's end.
+
+    Events of one day count as one, so a span never ends before it starts.
+    """
     order = Window.partitionBy("treatment").orderBy("date")
     day = F.col("date")
     season_end = (
@@ -76,7 +84,7 @@ def event_spans(irrigation: DataFrame, first_year: int = FIRST_YEAR, last_year:
     )
     inside = day.between(F.lit(dt.date(first_year, 7, 1)), F.lit(dt.date(last_year, 10, 31)))
     return (
-        irrigation.where(F.col("irrigation_mm") != 0)
+        daily_events(irrigation)
         .withColumn("next_date", F.lead("date").over(order))
         .where(inside)
         .withColumn("year", hydrologic_year(day))
@@ -122,5 +130,5 @@ def without_first(pulses: DataFrame) -> DataFrame:
 
 
 def with_pulse(days: DataFrame, pulses: DataFrame) -> DataFrame:
-    """Pulse whose closed interval holds the day, NULL when none does."""
-    return label_by_interval(days, cut_lineage(pulses.drop("treatment")))
+    """Pulse whose closed interval holds the day, NULL when none does; a day keeps its one row."""
+    return label_by_interval(days, pulses.drop("treatment"), width="month")

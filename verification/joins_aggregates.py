@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamline.functions import curves, labels, nulls
+from loamline.functions import curves, labels, nulls, timekeys
 from loamline.operators import (
     calendar,
+    intervals,
     lookup,
     nearest,
     posterior,
@@ -60,7 +61,7 @@ def _per_season(df):
 @check("d3_season_by_calendar_join", ("seasons_li",), _SEASON_SQL)
 def _(spark, sf):
     seasons = calendar.season_calendar(spark, 1994, 2002)
-    return _per_season(calendar.label_by_interval(_ship_days(spark, sf), seasons, how="inner"))
+    return _per_season(calendar.label_by_interval(_ship_days(spark, sf), seasons, how="inner", width="month"))
 
 
 @check("d3_season_by_range_join", ("seasons_li",), _SEASON_SQL)
@@ -74,6 +75,70 @@ def _(spark, sf):
     return _per_season(calendar.with_season(_ship_days(spark, sf), **LINE_YEARS))
 
 
+# Season bounds as moments, windows of hours and terms of days to months.
+@check(
+    "d3_season_of_each_moment",
+    ("readings", "seasons_ev"),
+    """SELECT year, season, COUNT(*) AS n, MAX(dt) AS last_dt FROM readings
+       LEFT JOIN (SELECT year, season, CAST(st AS TIMESTAMP) AS st, CAST(en AS TIMESTAMP) + INTERVAL 86399999999 MICROSECOND AS en
+                  FROM seasons_ev) ON dt BETWEEN st AND en GROUP BY ALL""",
+)
+def _(spark, sf):
+    seasons = calendar.season_calendar(spark, **S.EVENT_YEARS).select(
+        "year",
+        "season",
+        F.col("st").cast("timestamp_ntz").alias("st"),
+        (F.col("en").cast("timestamp_ntz") + F.expr("INTERVAL '23:59:59.999999' HOUR TO SECOND")).alias("en"),
+    )
+    out = intervals.join_intervals(S.readings(spark, sf), seasons, "dt", width="month")
+    return out.groupBy("year", "season").agg(F.count(F.lit(1)).alias("n"), F.max("dt").alias("last_dt"))
+
+
+@check(
+    "d8_readings_in_event_hours",
+    ("readings", "design", "irrigation_jan"),
+    f"""SELECT id, dt, {R('value')} AS value, e.date AS event_date, {R('e.irrigation_mm')} AS irrigation_mm
+        FROM readings JOIN design USING (house, plot)
+        LEFT JOIN (SELECT *, date + INTERVAL 6 HOUR AS st, date + INTERVAL 930 MINUTE AS en FROM irrigation_jan WHERE irrigation_mm <> 0) e
+          ON e.treatment = summer AND dt BETWEEN e.st AND e.en""",
+)
+def _(spark, sf):
+    """The event of its treatment that each half-hourly reading falls into, from six o'clock to half past three."""
+    events = S.irrigation_jan(spark, sf).where(F.col("irrigation_mm") != 0)
+    hours = events.select(
+        F.col("treatment").alias("summer"),
+        F.col("date").alias("event_date"),
+        "irrigation_mm",
+        timekeys.at_hour(F.col("date"), 6).alias("st"),
+        (timekeys.at_hour(F.col("date"), 15) + F.make_dt_interval(mins=F.lit(30))).alias("en"),
+    )
+    readings = rollup.with_design(S.readings(spark, sf), S.design(spark, sf)).where(F.col("summer").isNotNull())
+    out = intervals.join_intervals(readings, hours, "dt", ["summer"], width="hour")
+    return snapped(out.select("id", "dt", "value", "event_date", "irrigation_mm"), "value", "irrigation_mm")
+
+
+@check(
+    "d8_shipments_within_terms",
+    (),
+    """SELECT l_orderkey, l_linenumber, o_orderpriority FROM lineitem
+       LEFT JOIN (SELECT o_orderkey, o_orderpriority, CAST(o_orderdate AS DATE) AS st,
+                         CAST(o_orderdate AS DATE) + CAST(o_custkey % 400 - 20 AS INTEGER) AS en FROM orders)
+         ON o_orderkey = l_orderkey AND CAST(l_shipdate AS DATE) BETWEEN st AND en""",
+)
+def _(spark, sf):
+    """Shipments that fall into their order's term, of none to 380 days and sometimes reversed."""
+    first = F.to_date("o_orderdate")
+    terms = S.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        "o_orderpriority",
+        first.alias("st"),
+        F.date_add(first, (F.col("o_custkey") % 400 - 20).cast("int")).alias("en"),
+    )
+    lines = S.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("date"))
+    found = intervals.join_intervals(lines, terms, "date", ["l_orderkey"], width="month")
+    return found.select("l_orderkey", "l_linenumber", "o_orderpriority")
+
+
 _PAIR_STATS = ("wp_mean", "wp_min", "wp_max", "wc_mean", "wc_min", "wc_max")
 _PAIR_SQL = ", ".join(f"{R(c)} AS {c}" for c in _PAIR_STATS)
 
