@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 import weakref
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -36,6 +38,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once an application.
+
+    Workers then find it wherever the driver was started from. The driver builds a small archive of
+    the sources; Spark distributes it.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="loamline-"), "loamline.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                file = os.path.join(folder, name)
+                out.write(file, os.path.relpath(file, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(application)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -80,6 +102,7 @@ class Settled:
 _LOG: dict[str, list[Settled]] = {}
 _BEHIND: weakref.WeakKeyDictionary[DataFrame, Settled] = weakref.WeakKeyDictionary()
 _OWNERS: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def settled_tables(spark: SparkSession, owner: str | None = None, state: str | None = None) -> list[Settled]:

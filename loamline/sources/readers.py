@@ -1,43 +1,42 @@
-"""Readers for the raw CSV inputs."""
+"""Readers for the raw CSV inputs; columns are bound by the names in each file's header."""
 
 from __future__ import annotations
 
-import csv
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loamline.functions import labels, timekeys, units
+from loamline.sources.headers import files_by_header
 
-# Marks the header line of a logger file: the name of its time column.
+# The time column of a logger or gauge file.
 TIME_COLUMN = "TIMESTAMP"
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).csv(path).columns
-
-
-def _files_by_header(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
-    """Files with the same header line, found for all files in one job over their lines.
+def read_named(
+    spark: SparkSession,
+    paths: str | Iterable[str],
+    required: Mapping[str, T.DataType],
+    others: T.DataType | None = None,
+    exclude: str | None = None,
+) -> DataFrame:
+    """CSV files or folders of them, each file's columns bound by its own header.
 
-    What reaches the driver is a row per file, which the driver lists anyway to plan a scan.
+    Files with one header are one scan. A file that lacks a ``required`` column fails the call by
+    name, unless ``exclude`` matches it; see :func:`headers.probe_headers`. Other columns are read
+    with type ``others``, where given, and are NULL in files without them.
     """
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    headers = lines.where(F.col("value").contains(TIME_COLUMN)).groupBy("file").agg(F.min("value").alias("header"))
-    order = [unquote(p).split(":", 1)[-1].rstrip("/") for p in paths]
-
-    def given(file: str) -> tuple[int, str]:
-        return next((i for i, p in enumerate(order) if p in unquote(file)), len(order)), file
-
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in sorted(headers.collect(), key=lambda r: given(r["file"])):
-        names = tuple(next(csv.reader([row["header"].strip("\ufeff\r")])))
-        groups.setdefault(names, []).append(row["file"])
-    return groups
+    given = [paths] if isinstance(paths, str) else list(paths)
+    frames = []
+    for names, files in files_by_header(spark, given, list(required), exclude).items():
+        fields = [T.StructField(c, required.get(c, others or T.StringType())) for c in names]
+        raw = spark.read.csv(files, header=True, schema=T.StructType(fields), nullValue="NA", enforceSchema=False)
+        kept = [c for c in names if c in required or others is not None]
+        frames.append(raw.select(*[F.col("`" + c.replace("`", "``") + "`") for c in kept]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def logger_time(text: Column, formats: Sequence[str] = ()) -> Column:
@@ -57,53 +56,38 @@ def read_wide_sensors(
     paths: str | Iterable[str],
     drop: tuple[str, ...] = ("X",),
     time_formats: Sequence[str] = (),
+    exclude: str | None = None,
 ) -> DataFrame:
     """Wide logger files: ``dt``, ``date`` and one double column per sensor.
 
-    Paths may be files or folders.  Columns are bound by name: files are grouped by their header
-    line and each group is one scan, so sensors may change places, come or go between files; one
-    that a file lacks is NULL there.  Files without a time column are not logger files and are
-    left out.
+    Sensors may change places, come or go between files; one that a file lacks is NULL there. A file
+    without a time column fails the call unless the pattern ``exclude`` names it.
     """
-    groups = _files_by_header(spark, [paths] if isinstance(paths, str) else list(paths))
-    if not groups:
-        raise ValueError(f"no file with a column {TIME_COLUMN}")
-    frames = []
-    for names, files in groups.items():
-        schema = T.StructType(
-            [T.StructField(c, T.StringType() if c == TIME_COLUMN else T.DoubleType()) for c in names]
-        )
-        raw = spark.read.csv(files, header=True, schema=schema, nullValue="NA", enforceSchema=False)
-        sensors = [F.col(f"`{c}`") for c in names if c != TIME_COLUMN and c not in drop]
-        dt = logger_time(F.col(TIME_COLUMN), time_formats)
-        frames.append(raw.select(dt.alias("dt"), *sensors).select("dt", F.to_date("dt").alias("date"), *sensors))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    raw = read_named(spark, paths, {TIME_COLUMN: T.StringType()}, T.DoubleType(), exclude)
+    sensors = [F.col(f"`{c}`") for c in raw.columns if c != TIME_COLUMN and c not in drop]
+    timed = raw.select(logger_time(F.col(TIME_COLUMN), time_formats).alias("dt"), *sensors)
+    return timed.select("dt", F.to_date("dt").alias("date"), *sensors)
 
 
-def read_irrigation(spark: SparkSession, path: str) -> DataFrame:
+def read_irrigation(spark: SparkSession, path: str | Iterable[str], exclude: str | None = None) -> DataFrame:
     """Wide irrigation events: ``date`` plus one amount column per treatment, blanks NULL."""
-    names = _header(spark, path)
-    schema = T.StructType([T.StructField(c, T.StringType() if c == "date" else T.DoubleType()) for c in names])
-    raw = spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
+    raw = read_named(spark, path, {"date": T.StringType()}, T.DoubleType(), exclude)
     return raw.withColumn("date", timekeys.slash_day(F.col("date")))
 
 
-def read_gauge(spark: SparkSession, path: str) -> DataFrame:
+def read_gauge(spark: SparkSession, path: str | Iterable[str], exclude: str | None = None) -> DataFrame:
     """Rain gauge as (date, ppt_mm)."""
-    schema = T.StructType(
-        [T.StructField("TIMESTAMP", T.StringType()), T.StructField("Rainfall (inch)", T.DoubleType())]
-    )
-    raw = spark.read.csv(path, header=True, schema=schema)
+    raw = read_named(spark, path, {TIME_COLUMN: T.StringType(), "Rainfall (inch)": T.DoubleType()}, None, exclude)
     return raw.select(
-        timekeys.gauge_day(F.col("TIMESTAMP")).alias("date"),
+        timekeys.gauge_day(F.col(TIME_COLUMN)).alias("date"),
         units.inch_to_mm(F.col("Rainfall (inch)")).alias("ppt_mm"),
     )
 
 
-def read_design(spark: SparkSession, path: str) -> DataFrame:
+def read_design(spark: SparkSession, path: str | Iterable[str], exclude: str | None = None) -> DataFrame:
     """House x plot design with the ordinal of each treatment level."""
-    schema = "House INT, Plot INT, Winter STRING, Summer STRING"
-    raw = spark.read.csv(path, header=True, schema=schema)
+    number, text = T.IntegerType(), T.StringType()
+    raw = read_named(spark, path, {"House": number, "Plot": number, "Winter": text, "Summer": text}, None, exclude)
     return raw.select(
         F.col("House").alias("house"),
         F.col("Plot").alias("plot"),

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import SparkSession
 
+# Files that are opened at a time.
+OPENED = 32
+
 
 def _place(spark: SparkSession, path: str):
     context = spark.sparkContext
@@ -61,6 +66,38 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def first_lines(spark: SparkSession, paths: list[str], size: int = 1 << 14) -> list[str | None]:
+    """The first line of each file that is not blank, from its first bytes alone; None without one.
+
+    More bytes are taken only where ``size`` of them hold no such line. Files are opened by several
+    threads at a time, and compressed ones are unpacked by their codec.
+    """
+    context = spark.sparkContext
+    codecs = context._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(context._jsc.hadoopConfiguration())
+
+    def first(path: str) -> str | None:
+        where, files = _place(spark, path)
+        stream = files.open(where)
+        codec = codecs.getCodec(where)
+        try:
+            text = codec.createInputStream(stream) if codec is not None else stream
+            held, ended = b"", False
+            while True:
+                more = bytes(text.readNBytes(size))
+                held, ended = held + more, len(more) < size
+                *lines, rest = held.replace(b"\r", b"\n").split(b"\n")
+                for line in [*lines, rest] if ended else lines:
+                    if line.removeprefix(b"\xef\xbb\xbf").strip():
+                        return line.removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace")
+                if ended:
+                    return None
+        finally:
+            stream.close()
+
+    with ThreadPool(min(OPENED, max(1, len(paths)))) as pool:
+        return pool.map(first, paths)
+
+
 def swap_text(spark: SparkSession, path: str, text: str) -> None:
     """Replace a small file in one step: readers see the old text or the new one."""
     jvm = spark.sparkContext._jvm
