@@ -401,6 +401,97 @@ def _(spark, sf):
     return snapped(out, "estimate", "std_error", "conf_low", "conf_high")
 
 
+_AXES = ("alpha_cm", "n", "theta_r", "sigma")
+BOX_ROUNDS = 3
+
+
+def _box_sql(rounds: int) -> str:
+    """Posterior tables ``post_1`` to ``post_{rounds}`` on boxes that follow the mass, and their marginals."""
+    cells = fitting.PRIOR_CELLS
+    a, m, r, v = (cells[c] for c in _AXES)
+
+    def edge(name: str, k: str) -> str:
+        at = f"({name}_low + {name}_step * ({k}))"
+        return f"exp({at})" if cells[name].log else at
+
+    def width(name: str) -> str:
+        return f"({edge(name, f'k_{name} + 1')} - {edge(name, f'k_{name}')})"
+
+    ends = ", ".join(
+        f"CAST({cells[c].range[0]!r} AS DOUBLE) AS {c}_low, CAST({(cells[c].range[1] - cells[c].range[0]) / cells[c].count!r} AS DOUBLE) AS {c}_step"
+        for c in _AXES
+    )
+    sides = ", ".join(f"{c}_low, {c}_step" for c in _AXES)
+    parts = [f"pooled AS (SELECT * FROM {_POOLED} WHERE h_cm > 0 AND theta IS NOT NULL)", f"boxes_1 AS (SELECT DISTINCT grp, {ends} FROM pooled)"]
+    for k in range(1, rounds + 1):
+        parts.append(f"""
+sums_{k} AS (
+  SELECT grp, {sides}, k_alpha_cm, k_n, alpha_cm, n, COUNT(*) AS n_obs, SUM(pow(theta - 0.44e0 * s, 2)) AS rr,
+         SUM((theta - 0.44e0 * s) * (1.0 - s)) AS ro, SUM(pow(1.0 - s, 2)) AS oo
+  FROM (SELECT *, pow(1 + pow(alpha_cm * h_cm, n), 1.0e0 / n - 1.0) AS s FROM
+         (SELECT b.*, o.theta, o.h_cm, i.k AS k_alpha_cm, j.k AS k_n, {edge('alpha_cm', 'i.k + 0.5e0')} AS alpha_cm, {edge('n', 'j.k + 0.5e0')} AS n
+          FROM pooled o JOIN boxes_{k} b USING (grp), range(0, {a.count}) i(k), range(0, {m.count}) j(k)))
+  GROUP BY ALL),
+raw_{k} AS (
+  SELECT *, -n_obs * ln(sigma) - GREATEST(rr - 2.0 * theta_r * ro + theta_r * theta_r * oo, 0.0) / (2.0 * sigma * sigma)
+            + ln({" * ".join(map(width, _AXES))}) AS raw
+  FROM (SELECT s.*, i.k AS k_theta_r, j.k AS k_sigma, {edge('theta_r', 'i.k + 0.5e0')} AS theta_r, {edge('sigma', 'j.k + 0.5e0')} AS sigma
+        FROM sums_{k} s, range(0, {r.count}) i(k), range(0, {v.count}) j(k))),
+post_{k} AS (
+  SELECT *, exp(log_weight) / SUM(exp(log_weight)) OVER (PARTITION BY grp) AS weight
+  FROM (SELECT *, raw - MAX(raw) OVER (PARTITION BY grp) AS log_weight FROM raw_{k})),
+marginal_{k} AS (
+  {" UNION ALL ".join(f"SELECT grp, '{c}' AS parameter, k_{c} AS k, {edge(c, f'k_{c}')} AS low, {edge(c, f'k_{c} + 1')} AS high, {c} AS x, SUM(weight) AS weight FROM post_{k} GROUP BY ALL" for c in _AXES)})""")
+        nexts = []
+        for c in _AXES:
+            least, most = cells[c].range
+            first = f"(MIN(k) FILTER (WHERE parameter = '{c}' AND weight >= {fitting.TAIL!r}))"
+            last = f"(MAX(k) FILTER (WHERE parameter = '{c}' AND weight >= {fitting.TAIL!r}))"
+            nexts.append(
+                f"GREATEST({least!r}, ANY_VALUE({c}_low) + ANY_VALUE({c}_step) * ({first} - 1)) AS {c}_from, "
+                f"LEAST({most!r}, ANY_VALUE({c}_low) + ANY_VALUE({c}_step) * ({last} + 2)) AS {c}_to"
+            )
+        steps = ", ".join(f"{c}_from AS {c}_low, ({c}_to - {c}_from) / {cells[c].count} AS {c}_step" for c in _AXES)
+        parts.append(f"""
+boxes_{k + 1} AS (
+  SELECT grp, {steps} FROM (SELECT grp, {", ".join(nexts)} FROM marginal_{k} JOIN boxes_{k} USING (grp) GROUP BY grp))""")
+    return ", ".join(parts)
+
+
+def _box(spark, sf):
+    obs = fitting.with_pooled(S.observations(spark, sf).select("grp", "theta", "h_cm"))
+    return fitting.box_marginals(fitting.box_posterior(obs, rounds=BOX_ROUNDS))
+
+
+@check(
+    "k3_prior_box_marginals",
+    ("obs",),
+    f"""SELECT * FROM (WITH {_box_sql(BOX_ROUNDS)}
+        SELECT grp, parameter, CAST(k AS INTEGER) AS k, {_rounded(('low', 'high', 'x', 'weight'))} FROM marginal_{BOX_ROUNDS})""",
+)
+def _(spark, sf):
+    return snapped(_box(spark, sf), "low", "high", "x", "weight")
+
+
+def _reached_sql(p: float) -> str:
+    at = f"low + (high - low) * (({p!r}e0 - before) / weight)"
+    return R(f"MIN({at}) FILTER (WHERE before < {p!r}e0 AND upto >= {p!r}e0)")
+
+
+@check(
+    "k4_prior_box_summary",
+    ("obs",),
+    f"""SELECT * FROM (WITH {_box_sql(BOX_ROUNDS)} SELECT grp, parameter, {R('SUM(weight * x)')} AS estimate,
+               {R('sqrt(GREATEST(0.0, SUM(weight * x * x) - SUM(weight * x) * SUM(weight * x)))')} AS std_error,
+               {_reached_sql(0.025)} AS conf_low, {_reached_sql(0.975)} AS conf_high
+        FROM (SELECT *, LAG(upto, 1, 0.0e0) OVER (PARTITION BY grp, parameter ORDER BY k) AS before FROM
+              (SELECT *, SUM(weight) OVER (PARTITION BY grp, parameter ORDER BY k) AS upto FROM marginal_{BOX_ROUNDS})) GROUP BY 1, 2)""",
+)
+def _(spark, sf):
+    out = fitting.box_summary(_box(spark, sf), {"conf_low": 0.025, "conf_high": 0.975})
+    return snapped(out, "estimate", "std_error", "conf_low", "conf_high")
+
+
 def _zoom_sql(rounds: int) -> str:
     """Nested rounds; each spans one step to either side of the best point so far."""
     steps = [ALPHA.step, SHAPE.step, RESIDUAL.step]
