@@ -17,8 +17,6 @@ from loamline.session import cut_lineage
 RATIO = 0.02
 # A line on fewer pages is no template, however small the host.
 MIN_PAGES = 5
-# Read by OP5_SQL alone, which still leaves pages whole that would lose more than this share.
-MAX_LOSS = 0.5
 EDGE = " \t\r"
 
 

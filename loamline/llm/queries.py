@@ -85,28 +85,24 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = f"""
 WITH pages AS (
   SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+single AS (SELECT DISTINCT source, text, lines FROM pages WHERE source IS NOT NULL),
 counted AS (
   SELECT source, line, COUNT(*) AS pages
   FROM (SELECT source, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))),
                                                         lambda x: x <> ''))) AS line
-        FROM pages WHERE source IS NOT NULL)
+        FROM single)
   GROUP BY ALL HAVING COUNT(*) >= {line_dedup.MIN_PAGES}),
 bad AS (
   SELECT source, list(line) AS bad
-  FROM counted JOIN (SELECT source, COUNT(*) AS total FROM documents GROUP BY ALL) USING (source)
+  FROM counted JOIN (SELECT source, COUNT(*) AS total FROM single GROUP BY ALL) USING (source)
   WHERE pages > total * {line_dedup.RATIO}e0 GROUP BY source),
 kept AS (
   SELECT doc_id, text, lines,
          list_filter(lines, lambda x: bad IS NULL OR NOT list_contains(bad, trim(x, ' ' || chr(9) || chr(13)))) AS left_
-  FROM pages LEFT JOIN bad USING (source)),
-cut AS (
-  SELECT *, array_to_string(left_, chr(10)) AS short FROM kept),
-chosen AS (
-  SELECT *, length(short) >= length(text) * {1 - line_dedup.MAX_LOSS}e0 AS ok FROM cut)
-SELECT doc_id, CASE WHEN ok THEN short ELSE text END AS text,
-       length(CASE WHEN ok THEN short ELSE text END) AS n_chars,
-       CASE WHEN ok THEN len(lines) - len(left_) ELSE 0 END AS n_dropped
-FROM chosen"""
+  FROM pages LEFT JOIN bad USING (source))
+SELECT doc_id, array_to_string(left_, chr(10)) AS text, length(array_to_string(left_, chr(10))) AS n_chars,
+       len(lines) - len(left_) AS n_dropped
+FROM kept"""
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

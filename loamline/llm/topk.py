@@ -11,10 +11,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +27,9 @@ BLOCK_ROWS = 32_768
 CHUNK_QUERIES = 64
 # Sums of products stay below 2**63 for up to a million components of this size.
 LARGEST = 1 << 21
+# Vectors that are scored one by one in integers of any size, in one cell.
+PACK_ROWS = 512
+NINES = str.maketrans("0123456789", "9876543210")
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 BLOCK_SCHEMA = "block long, dim int, rows int, low long, width int, ids binary, slices binary"
@@ -179,10 +183,10 @@ def query_chunks(df: DataFrame, vec_id: str, embedding: str, scale: float) -> Da
     return cut_lineage(good.mapInArrow(run, "dim int, query_ids binary, values binary"))
 
 
-def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Each query's ``k`` best rows: ``query_id``, ``rank``, ``vec_id``, ``score``.
+def candidates(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The best rows of each block for each query: ``query_id``, ``vec_id``, ``score``.
 
-    Ties go to the smaller id; a query's own id is left out. Index blocks and query chunks meet
+    Index blocks and query chunks meet
     in a grid of cells, each pair in exactly one, and each returns at most about 8 k rows a
     query. Vectors of other lengths than the query's are no candidates.
     """
@@ -217,22 +221,127 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"]
                 )
 
-    candidates = cells.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return cells.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Each query's ``k`` best rows: ``query_id``, ``rank``, ``vec_id``, ``score``.
+
+    Ties go to the smaller id; a query's own id is left out. Vectors of other lengths than the
+    query's are no candidates.
+    """
+    return _best(candidates(index, queries, k), k, F.col("score"))
+
+
+def _best(found: DataFrame, k: int, score: Column) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(score.desc(), "vec_id")
     return (
-        candidates.withColumn("rank", F.row_number().over(order))
+        found.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
 
 
+def is_large(vector: Column, scale: float) -> Column:
+    """Whether a component is too large for sums of products in 64 bits."""
+    return F.coalesce(F.exists(vector, lambda x: F.abs(x.cast("double") * scale) >= LARGEST), F.lit(False))
+
+
+def whole(x: float, scale: float) -> int:
+    """``floor(scale * x)``, also where the product is no finite double."""
+    product = scale * x
+    return math.floor(product if math.isfinite(product) else Fraction(scale) * Fraction(x))
+
+
+def order_key(score: int) -> str:
+    """Text that sorts as the integer does, whatever its size."""
+    digits = str(abs(score))
+    if score >= 0:
+        return f"1{len(digits):05d}{digits}"
+    return f"0{99999 - len(digits):05d}{digits.translate(NINES)}"
+
+
+def _order_of(score: Column) -> Column:
+    """``order_key`` of a long column."""
+    digits = F.regexp_replace(score.cast("string"), "-", "")
+    size = F.length(digits)
+    above = F.concat(F.lit("1"), F.lpad(size.cast("string"), 5, "0"), digits)
+    below = F.concat(F.lit("0"), F.lpad((99999 - size).cast("string"), 5, "0"), F.translate(digits, "0123456789", "9876543210"))
+    return F.when(score >= 0, above).otherwise(below)
+
+
+def _packs(df: DataFrame, vec_id: str, embedding: str, rows: int, number: str, vectors: str) -> tuple[DataFrame, int]:
+    """Rows of about ``rows`` usable vectors each, and their number."""
+    named = df.select(quoted(vec_id).cast("long").alias("id_"), quoted(embedding).cast("array<double>").alias("vector_"))
+    good = named.filter(usable(F.col("vector_")) & F.col("id_").isNotNull())
+    parts = max(1, math.ceil(good.count() / rows))
+    pack = F.pmod(F.xxhash64("id_", F.monotonically_increasing_id()), F.lit(parts)).alias(number)
+    packed = good.groupBy(pack).agg(F.collect_list(F.struct("id_", "vector_")).alias(vectors))
+    return cut_lineage(packed), parts
+
+
+def _exact_candidates(
+    rows: DataFrame, queries: DataFrame, k: int, vec_id: str, embedding: str, scale: float
+) -> DataFrame:
+    """Each query's best rows by integers of any size: ids, ``score`` held to 64 bits, and ``order_``.
+
+    For the few vectors that bit slices cannot hold; packs of rows and of queries meet in a grid.
+    """
+    left, lefts = _packs(rows, vec_id, embedding, PACK_ROWS, "b", "rows")
+    right, rights = _packs(queries, vec_id, embedding, CHUNK_QUERIES, "c", "queries")
+    left = left.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(rights - 1)).cast("array<bigint>")))
+    right = right.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(lefts - 1)).cast("array<bigint>")))
+    most = (1 << 63) - 1
+
+    def integers(pack: list[dict]) -> list[tuple[int, list[int]]]:
+        return [(r["id_"], [whole(x, scale) for x in r["vector_"]]) for r in pack]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.to_pylist():
+                against, out = integers(cell["rows"]), []
+                for own, query in integers(cell["queries"]):
+                    scores = [
+                        (sum(a * b for a, b in zip(query, row)), other)
+                        for other, row in against
+                        if other != own and len(row) == len(query)
+                    ]
+                    best = sorted(scores, key=lambda x: (-x[0], x[1]))[:k]
+                    out += [(own, other, max(-most - 1, min(most, s)), order_key(s)) for s, other in best]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+                columns = zip(*out, strict=True) if out else ([], [], [], [])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)],
+                    ["query_id", "vec_id", "score", "order_"],
+                )
+
+    cells = left.join(right, ["b", "c"]).select("rows", "queries")
+    return cells.mapInArrow(run, "query_id long, vec_id long, score long, order_ string")
+
+
 def top_k(df: DataFrame, queries: DataFrame, k: int, vec_id: str, embedding: str, scale: float = 256.0) -> DataFrame:
     """The best ``k`` rows of ``df`` for each row of ``queries``, by integer inner product.
 
     Components become ``floor(scale * x)``. Vectors that are NULL, empty, or hold NULL or
     non-finite components take no part, nor do rows without an id. Repeated rows are separate
-    candidates. No rows, or no queries, give no rows.
+    candidates. No rows, or no queries, give no rows. Vectors with components beyond 2**21 after
+    scaling, which bit slices cannot hold, are ranked by integers of any size; a score beyond 64 bits
+    is shown as the nearest that fits.
     """
-    return search(
-        build_index(df, vec_id, embedding, scale), query_chunks(queries, vec_id, embedding, scale), k
+    large = is_large(quoted(embedding), scale)
+    small_rows, small_queries = df.filter(~large), queries.filter(~large)
+    sliced_ = candidates(
+        build_index(small_rows, vec_id, embedding, scale), query_chunks(small_queries, vec_id, embedding, scale), k
     )
+    large_rows, large_queries = df.filter(large), queries.filter(large)
+    parts = []
+    if not large_rows.isEmpty():
+        parts.append(_exact_candidates(large_rows, queries, k, vec_id, embedding, scale))
+    if not large_queries.isEmpty():
+        parts.append(_exact_candidates(small_rows, large_queries, k, vec_id, embedding, scale))
+    if not parts:
+        return _best(sliced_, k, F.col("score"))
+    found = sliced_.withColumn("order_", _order_of(F.col("score")))
+    for part in parts:
+        found = found.unionByName(part)
+    return _best(found, k, F.col("order_"))

@@ -188,15 +188,14 @@ def test_pipeline_stages_against_plain_python(spark, duck, library):
     lines = pipeline.cut_lineage(pipeline.STAGES[1][1](spark, kept, SF_DIR))
     assert lines.columns == docs.columns
     pages, seen = defaultdict(int), defaultdict(set)
-    for i, r in rows.items():
-        pages[r.source] += 1
-        for x in {x.strip(" \t\r") for x in r.text.split("\n")} - {""}:
-            seen[r.source, x].add(i)
+    for source, text in {(r.source, r.text) for r in rows.values()}:
+        pages[source] += 1
+        for x in {x.strip(" \t\r") for x in text.split("\n")} - {""}:
+            seen[source, x].add(text)
     bad = {k for k, v in seen.items() if len(v) >= 5 and len(v) > 0.02 * pages[k[0]]}
     texts = {}
     for i, r in rows.items():
-        cut = "\n".join(x for x in r.text.split("\n") if (r.source, x.strip(" \t\r")) not in bad)
-        texts[i] = cut if len(cut) >= 0.5 * len(r.text) else r.text
+        texts[i] = "\n".join(x for x in r.text.split("\n") if (r.source, x.strip(" \t\r")) not in bad)
     assert {r.doc_id: (r.text, r.n_chars) for r in lines.collect()} == {i: (t, len(t)) for i, t in texts.items()}
 
     single = pipeline.cut_lineage(pipeline.STAGES[2][1](spark, lines, SF_DIR))

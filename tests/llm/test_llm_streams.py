@@ -4,6 +4,8 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -14,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loamline.llm import merkle, periodic, queries, transducer
+from loamline.llm import merkle, periodic, queries, topk, transducer
 from loamline.llm.spans import mix
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -326,3 +328,44 @@ def test_periodic_edges(spark, odd, odd_rows, none):
         want.append((runs, " ".join(w for i, w in enumerate(words) if i not in gone)))
     assert sorted(([tuple(x) for x in r.runs], r.collapsed) for r in rows) == sorted(want)
     assert periodic.periodic_runs(none, keep=["doc_id"]).count() == 0
+
+
+# Vectors that bit slices cannot hold, and workers started elsewhere.
+
+
+def test_large_components_are_ranked_exactly(spark):
+    draw = random.Random(2)
+    rows = [(i, [draw.uniform(-1, 1) for _ in range(3)]) for i in range(60)]
+    rows += [(100, [1e5, 0.0, 0.0]), (101, [1e5, 0.0, 0.0]), (150, [-1e300, 2.0, 1e300]), (151, [1.7e308, 0.0, 1.0])]
+    rows += [(152, [1e300, 0.0]), (200, [float("inf"), 0.0, 0.0]), (201, None), (202, [float("nan"), 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    found = topk.top_k(frame, frame.where("vec_id % 50 = 0"), 5, "vec_id", "v").collect()
+    usable = {i: [topk.whole(x, 256.0) for x in v] for i, v in rows if i < 200}
+    want = []
+    for q in (0, 50, 100, 150):
+        scored = [(-sum(a * b for a, b in zip(usable[q], v)), i) for i, v in usable.items() if i != q and len(v) == 3]
+        for rank, (score, i) in enumerate(sorted(scored)[:5], start=1):
+            want.append((q, rank, i, max(-(2**63), min(2**63 - 1, -score))))
+    assert sorted(tuple(r) for r in found) == want
+
+
+def test_order_keys_sort_as_integers(spark):
+    values = [0, 1, -1, 9, 10, -9, -10, 2**63 - 1, -(2**63), 10**400, -(10**400), 10**400 + 1, -(10**400) - 1]
+    assert sorted(values, key=topk.order_key) == sorted(values)
+    small = [v for v in values if abs(v) <= 2**63 - 1]
+    frame = spark.createDataFrame([(v,) for v in small], "v long").select("v", topk._order_of(F.col("v")).alias("k"))
+    assert {r.v: r.k for r in frame.collect()} == {v: topk.order_key(v) for v in small}
+
+
+def test_workers_find_the_package_from_anywhere(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "import __spark_entry__ as entry\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        f"print('rows', entry.queries()['op13_periodic_runs'](spark, {SF_DIR!r}).count())"
+    )
+    names = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=names, capture_output=True, text=True, timeout=300)
+    assert "rows 200" in done.stdout, done.stderr[-2000:]
