@@ -29,6 +29,9 @@ NO_LIMIT = 1 << 62
 MAYBE_SPACE = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3])
 # Chunks a worker remembers between batches; only speed depends on it, as on what follows.
 REMEMBERED = 150_000
+# The same where encoding is all that a worker does, and the bytes of text it then takes at a time.
+MANY = 500_000
+BATCH_BYTES = 1 << 20
 # Pair answers a worker remembers.
 TRIED = 1_000_000
 # Longer pieces are encoded one by one, shorter ones so many at a time.
@@ -375,9 +378,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(rank_file: str, pattern: str) -> Encoder:
+def encoder(rank_file: str, pattern: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder for each worker process, read from the rank file on its own machine."""
-    return Encoder(Vocabulary.read(rank_file), pattern)
+    return Encoder(Vocabulary.read(rank_file), pattern, remembered)
 
 
 def encode_texts(
@@ -393,8 +396,8 @@ def encode_texts(
     schema = df.select(*columns, F.lit(b"").alias("ids")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(rank_file, pattern)
-        for batch in small_batches(batches, len(keep)):
+        code = encoder(rank_file, pattern, MANY)
+        for batch in small_batches(batches, len(keep), BATCH_BYTES):
             ids, offsets = code.encode_bytes(*text_bytes(batch.column(len(keep))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], binaries(ids, 4 * offsets)], [*keep, "ids"])
 
@@ -408,7 +411,7 @@ def decode_ids(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", ke
     schema = df.select(*columns, F.lit(b"").alias("decoded")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(rank_file, pattern)
+        code = encoder(rank_file, pattern, MANY)
         for batch in small_batches(batches, len(keep)):
             raw, offsets = text_bytes(batch.column(len(keep)))
             data, ends = code.decode_ids(raw.view("<u4"), offsets // 4)
