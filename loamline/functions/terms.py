@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Parameter names as monitored.
-CURVE_PARAMETERS = ("theta.r", "alpha.cm", "n")
-
 
 def bare_parameter(term: Column) -> Column:
     """Parameter name without index and population prefix."""

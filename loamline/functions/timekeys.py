@@ -62,3 +62,9 @@ def year_week(day: Column, mode: str = "iso") -> Column:
 
 def padded_week(day: Column) -> Column:
     return F.lpad(F.weekofyear(day).cast("string"), 2, "0")
+
+
+def offset_of(name: Column) -> Column:
+    """Days that a column named ``date_k`` lies after ``date``, of any number of digits; 0 for ``date``."""
+    digits = F.regexp_extract(name, r"^date_([0-9]+)$", 1)
+    return F.when(name == "date", F.lit(0)).otherwise(digits.try_cast("int"))

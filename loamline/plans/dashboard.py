@@ -92,12 +92,15 @@ def choices(seasons: DataFrame, year: int, season: str | None = None) -> dict[st
 
 
 def long_pairs(wc: DataFrame, wp: DataFrame) -> DataFrame:
-    """Complete paired days, one row per variable with mean, min and max.
+    """Complete paired days, one row per sensor place and variable with mean, min and max.
 
+    ``id`` names the place: plot, depth and house.
     The potential arrives in MPa already, so no scaling remains to be done here.
     """
     matched = rollup.matched_from_content(wc, wp)
-    ids = ["date", "plot_id", "plot", "depth", "house"]
+    place = labels.sensor_id(F.col("plot"), F.col("depth"), F.col("house"))
+    matched = matched.withColumn("id", place)
+    ids = ["date", "plot_id", "id", "plot", "depth", "house"]
     stats = ["wc_mean", "wc_min", "wc_max", "wp_mean", "wp_min", "wp_max"]
     complete = matched.select(*ids, "summer", "winter", *stats).dropna("any").select(
         *ids, *[F.col(s).alias(s.replace("wc", "WC").replace("wp", "WP")) for s in stats]

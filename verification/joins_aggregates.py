@@ -619,6 +619,21 @@ def _(spark, sf):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
+@check(
+    "f5_depth_treatment_codes",
+    ("obs",),
+    """SELECT trt, CAST(CASE trt WHEN '1_S1' THEN 1 WHEN '2_S1' THEN 2 WHEN '1_S4' THEN 3 WHEN '2_S4' THEN 4 END AS INTEGER) AS trt_code,
+              COUNT(*) AS n FROM obs GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Depth x treatment levels; depths outside the model have no code."""
+    trt = labels.joined_key(F.col("depth"), F.col("summer"))
+    coded = S.observations(spark, sf).select(trt.alias("trt"))
+    return coded.groupBy("trt", labels.level_index(F.col("trt"), labels.TRT_LEVELS).alias("trt_code")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 # ---- G: sort, limit, set operations ----------------------------------------
 
 

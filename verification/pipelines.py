@@ -414,7 +414,7 @@ def _(spark, sf):
     "n10_long_pairs",
     ("wc_days", "wp_days"),
     " UNION ALL ".join(
-        f"""SELECT date, plot_id, plot, depth, house, '{v.upper()}' AS variable, {R(f'{v}_mean')} AS mean, {R(f'{v}_min')} AS min, {R(f'{v}_max')} AS max, '{text}' AS var
+        f"""SELECT date, plot_id, 'P' || plot || '_' || depth || '_H' || house AS id, plot, depth, house, '{v.upper()}' AS variable, {R(f'{v}_mean')} AS mean, {R(f'{v}_min')} AS min, {R(f'{v}_max')} AS max, '{text}' AS var
             FROM (SELECT c.*, p.wp_mean, p.wp_min, p.wp_max FROM wc_days c JOIN (SELECT date, house, plot, depth, wp_mean, wp_min, wp_max FROM wp_days) p
                   USING (date, house, plot, depth)) WHERE summer IS NOT NULL"""
         for v, text in (("wc", "Theta~(m^3~m^-3)"), ("wp", "Psi~(MPa)"))

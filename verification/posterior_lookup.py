@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamline.functions import terms
+from loamline.functions import labels, terms
 from loamline.operators import lookup, posterior
 from loamline.plans import preparation
 from loamline.session import scratch_path
@@ -117,6 +117,46 @@ def _(spark, sf):
     )
 
 
+# Draws of a model with an index per depth and treatment: chains 1 and 2 stand for the depths.
+_TRT_SQL = """(SELECT replace(parameter, '_', '.') || '[' || CASE chain || '_' || grp WHEN '1_S1' THEN 1 WHEN '2_S1' THEN 2
+                        WHEN '1_S4' THEN 3 WHEN '2_S4' THEN 4 END || ']' AS term, x FROM terms WHERE grp <> 'site' AND chain < 3
+               UNION ALL SELECT 'E.' || replace(parameter, '_', '.'), x FROM terms WHERE grp = 'site')"""
+
+
+@check(
+    "l5_depth_treatment_terms",
+    ("terms",),
+    f"""SELECT term, CASE WHEN starts_with(term, 'E.') THEN 'population' ELSE 'treatment' END AS level,
+               CASE right(term, 3) WHEN '[1]' THEN '1_S1' WHEN '[2]' THEN '2_S1' WHEN '[3]' THEN '1_S4' WHEN '[4]' THEN '2_S4' END AS trt,
+               CASE WHEN right(term, 3) IN ('[1]', '[3]') THEN '1' WHEN right(term, 3) IN ('[2]', '[4]') THEN '2' END AS depth,
+               CASE WHEN right(term, 3) IN ('[1]', '[2]') THEN 'S1' WHEN right(term, 3) IN ('[3]', '[4]') THEN 'S4' END AS summer,
+               regexp_replace(replace(term, 'E.', ''), '\\[.\\]', '') AS parameter, {R('AVG(x)')} AS estimate FROM {_TRT_SQL} GROUP BY 1""",
+)
+def _(spark, sf):
+    long = posterior.terms_long(S.draws(spark, sf))
+    dotted = F.replace(F.col("parameter"), F.lit("_"), F.lit("."))
+    code = labels.level_index(labels.joined_key(F.col("chain"), F.col("grp")), labels.TRT_LEVELS)
+    indexed = F.concat(dotted, F.lit("["), code.cast("string"), F.lit("]"))
+    term = F.when(F.col("grp") == "site", F.concat(F.lit("E."), dotted)).otherwise(indexed)
+    t, trt = F.col("term"), F.col("trt")
+    return (
+        long.select(term.alias("term"), "x")
+        .where(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(snap(F.avg("x")).alias("estimate"))
+        .withColumn("trt", terms.term_group(t, labels.TRT_LEVELS))
+        .select(
+            "term",
+            F.when(terms.is_population(t), "population").otherwise("treatment").alias("level"),
+            "trt",
+            F.split_part(trt, F.lit("_"), F.lit(1)).alias("depth"),
+            F.split_part(trt, F.lit("_"), F.lit(2)).alias("summer"),
+            terms.bare_parameter(t).alias("parameter"),
+            "estimate",
+        )
+    )
+
+
 @check(
     "l6_natural_scale",
     ("draws",),

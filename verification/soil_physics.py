@@ -122,13 +122,14 @@ def _(spark, sf):
     "h6_offset_from_name",
     ("irrigation",),
     """SELECT date + CAST(k AS INTEGER) AS date, treatment, CASE k WHEN 0 THEN 'date' ELSE 'date_' || k END AS type, CAST(k AS INTEGER) AS irig_label
-       FROM irrigation, range(0, 3) t(k) WHERE irrigation_mm <> 0""",
+       FROM irrigation, range(0, 13) t(k) WHERE irrigation_mm <> 0""",
 )
 def _(spark, sf):
     events = S.irrigation(spark, sf).where(F.col("irrigation_mm") != 0)
-    wide = events.select("treatment", "date", F.date_add("date", 1).alias("date_1"), F.date_add("date", 2).alias("date_2"))
-    long = wide.unpivot(["treatment"], ["date", "date_1", "date_2"], "type", "day")
-    offset = F.when(F.col("type") == "date", 0).otherwise(F.substring("type", 6, 1).cast("int"))
+    names = ["date", *[f"date_{k}" for k in range(1, 13)]]
+    wide = events.select("treatment", "date", *[F.date_add("date", k).alias(names[k]) for k in range(1, 13)])
+    long = wide.unpivot(["treatment"], names, "type", "day")
+    offset = timekeys.offset_of(F.col("type"))
     return long.select("treatment", F.col("day").alias("date"), "type", offset.alias("irig_label"))
 
 
