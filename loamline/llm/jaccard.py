@@ -5,7 +5,8 @@ of sizes, and a tile compares documents of one band with those of the same band
 of the band below. Inside a band, tiles are cut further without losing a pair: the hash space is
 divided into parts, more than two linked sets can differ in, so that linked sets agree in at
 least one part that is not empty; only documents that agree in a part meet in a tile. As they
-agree in more than one, each can leave some tiles out, and leaves those with most documents.
+agree in more than one, each can leave some parts out before anything is shuffled, and of the
+rest those tiles with most documents. Of tiles with the same documents one is compared.
 
 In a tile every pair is bounded first: each shingle toggles one bit of a bitmap, every bit in
 which two bitmaps differ needs a shingle that only one set has, and so the bit count bounds the
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loamline.llm.common import modest_batches, quoted
+from loamline.llm.common import free_name, modest_batches, quoted
 from loamline.llm.components import components
 from loamline.llm.spans import binaries, group_starts, mix, small_batches, span_hashes, text_bytes, whole_groups
 from loamline.session import cut_lineage, shuffle_width
@@ -72,8 +73,12 @@ PAIRS = 50_000
 LARGE = 4
 # Part keys by which probable near copies are found before any tile is made.
 SKETCH = 8
-# Finer divisions of bands that are tried; at the last, parts are single hashes.
-LEVELS = 26
+# Share of a band's largest size in parts that are left out before the shuffle, where they can be spared.
+EARLY = 0.04
+# The finer division of bands in which every hash is a part of its own, so that no set is crowded.
+FINEST = 12
+# Bytes of a key that travel: its slot and these tell it apart. The lowest bit is ``own``.
+KEY_BYTES = 5
 # Row keys that may be broadcast, 8 bytes each and as much for a node.
 BROADCAST_KEYS = 2_000_000
 
@@ -157,7 +162,7 @@ def part_keys(values: np.ndarray, offsets: np.ndarray, band: np.ndarray, level:
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     # Sets are sorted and parts are ranges of the hash space: a part is a run.
-    part = ((values >> np.uint64(34)) * parts_of(band, level)[owner]) >> np.uint64(30)
+    part = values if level >= FINEST else ((values >> np.uint64(34)) * parts_of(band, level)[owner]) >> np.uint64(30)
     new = np.ones(len(values), bool)
     new[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(new)
@@ -172,13 +177,18 @@ def bitmaps(values: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
     n = len(offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(offsets))
     bit = (mix(values ^ ODD[1]) & np.uint64(width - 1)).astype(np.int64)
-    odd = (np.bincount(owner * width + bit, minlength=n * width) & 1).astype(np.uint8)
+    hit, times = np.unique(owner * width + bit, return_counts=True)
+    odd = np.zeros(n * width, np.uint8)
+    odd[hit] = times & 1
     return np.packbits(odd.reshape(n, width), axis=1, bitorder="little").view(np.uint64)
 
 
 def width_of(band: int) -> int:
-    """Bits of a band's bitmaps: a power of two from its largest size on."""
-    return max(64, 1 << int(TOPS[band] - 1).bit_length())
+    """Bits of a band's bitmaps: a power of two, four to eight bits for each shingle of its largest sets.
+
+    With one or two bits, pairs from a similarity of 0.65 on pass; with these, from 0.73 on.
+    """
+    return max(256, 4 << int(TOPS[band] - 1).bit_length())
 
 
 def folded(bitmap: np.ndarray, width: int) -> np.ndarray:
@@ -209,6 +219,16 @@ def spare_keys(values: np.ndarray, offsets: np.ndarray, level: int, own: bool) -
     return np.bincount(owner, minlength=len(sizes)) - may_differ(sizes, own) - 1
 
 
+def early_out(spare: np.ndarray, tile_band: np.ndarray) -> np.ndarray:
+    """How many of its last parts each set leaves out before the shuffle.
+
+    The number is that of the band, or all that a set can spare if that is less. Of two linked sets
+    the one that leaves out more so decides which shared parts are lost, and what it may leave out
+    later is less by as many: together no more than it can spare.
+    """
+    return np.clip(np.minimum(spare, np.ceil(EARLY * TOPS[tile_band]).astype(np.int64)), 0, None)
+
+
 def sketches(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """The ``SKETCH`` least keys of each set's own parts."""
     sizes = np.diff(offsets)
@@ -224,13 +244,14 @@ def sketches(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 def set_sizes(df: DataFrame, doc_id: str, text: str, level: int = 0) -> DataFrame:
     """``id_``, ``key_``, ``n_shingles``, ``node`` (the set's fingerprint), ``crowded_``, the set's band if it
-    is crowded at this level, ``spare`` and ``spare_up``, the keys it can spare in its own and the
-    next band, and ``sketch``, the least of its part keys; written down."""
+    is crowded at this level, ``band``, ``spare`` and ``spare_up``, the keys that it can still spare in
+    its own and the next band when it has left some out early, and ``sketch``, the least of its part
+    keys; written down."""
     narrow = _texts(df, doc_id, text)
     zero = F.lit(0).cast("long")
     schema = narrow.select(
         "id_", "key_", zero.alias("n_shingles"), zero.alias("node"), zero.alias("crowded_"),
-        zero.alias("spare"), zero.alias("spare_up"), F.array(zero).alias("sketch"),
+        zero.alias("band"), zero.alias("spare"), zero.alias("spare_up"), F.array(zero).alias("sketch"),
     ).schema
     schema["crowded_"].nullable = True
 
@@ -239,21 +260,24 @@ def set_sizes(df: DataFrame, doc_id: str, text: str, level: int = 0) -> DataFram
             values, offsets = shingle_sets(*text_bytes(batch.column(2)))
             sizes = np.diff(offsets)
             spare = [spare_keys(values, offsets, level, own) for own in (True, False)]
-            crowd = pa.array(band_of(sizes), pa.int64(), mask=(spare[0] >= 0) | (sizes == 0))
-            made = [pa.array(sizes, pa.int64()), pa.array(fingerprints(values, offsets)), crowd]
-            made += [pa.array(np.maximum(x, 0), pa.int64()) for x in spare]
+            band = band_of(sizes)
+            crowd = pa.array(band, pa.int64(), mask=(spare[0] >= 0) | (sizes == 0))
+            made = [pa.array(sizes, pa.int64()), pa.array(fingerprints(values, offsets)), crowd, pa.array(band, pa.int64())]
+            made += [pa.array(np.maximum(x, 0) - early_out(x, band + up), pa.int64()) for up, x in enumerate(spare)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made, sketches(values, offsets)], schema.names)
 
     return cut_lineage(narrow.mapInArrow(run, schema))
 
 
 def tile_members(texts: DataFrame, tasks: int, level: int = 0, bands: list[int] | None = None) -> DataFrame:
-    """``key``, ``node``, ``own``, ``band``, ``label`` and ``crowd`` (the power of two of the tile's
-    size) of documents that agree in a part with one of another label.
+    """``key``, ``node``, ``own``, ``label`` and ``crowd`` (the power of two of the tile's size) of
+    documents that agree in a part with one of another label.
 
     ``texts`` has ``text_`` and ``label``, NULL for the document's own node. Parts are those of
-    ``level``, and of certain ``bands`` only if they are given. Keys leave a task packed by slot, ranges of the key space, several bytes a key and no row of
-    its own; copies inside a batch count once. Keys are hashes, so slots are even. ``own`` tells
+    ``level``, and of certain ``bands`` only if they are given. Keys leave a task packed by slot, ranges
+    of the key space, as ``KEY_BYTES`` bytes and a place among the slot's nodes, without rows of their
+    own; should two keys of a slot agree in these bytes, their documents share a tile. Copies inside a
+    batch count once. Keys are hashes, so slots are even. ``own`` tells
     whether the document has its own band's key here or, being the smaller one, that of the band
     above.
     """
@@ -277,7 +301,13 @@ def tile_members(texts: DataFrame, tasks: int, level: int = 0, bands: list[int]
             keys, member = [], []
             for own, chosen in ((1, wanted[band]), (0, low & wanted[band + 1])):
                 part, ends = values[np.repeat(chosen, kept)], np.append(0, np.cumsum(kept[chosen]))
-                found, owner = part_keys(part, ends, band[chosen] + 1 - own, level)
+                tile_band = band[chosen] + 1 - own
+                found, owner = part_keys(part, ends, tile_band, level)
+                have = np.bincount(owner, minlength=len(tile_band))
+                out = early_out(have - may_differ(kept[chosen], bool(own)) - 1, tile_band)
+                # Keys of a set are in the order of their parts, which is the same for all.
+                stays = np.arange(len(owner)) < (np.cumsum(have) - out)[owner]
+                found, owner = found[stays], owner[stays]
                 keys.append(found)
                 member.append(2 * np.flatnonzero(chosen)[owner] + own)
             keys, member = np.concatenate(keys), np.concatenate(member).astype(np.uint32)
@@ -285,22 +315,21 @@ def tile_members(texts: DataFrame, tasks: int, level: int = 0, bands: list[int]
             order = np.argsort(slot, kind="stable")
             there, at = np.unique(slot[order], return_index=True)
             at = np.append(at, len(order))
-            columns: list[list[bytes]] = [[], [], [], [], [], []]
+            columns: list[list[bytes]] = [[], [], [], [], []]
+            short = (keys << np.uint64(1) | (member & 1).astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
             for a, b in zip(at[:-1], at[1:], strict=True):
                 # Only the nodes that have a key in this slot travel with it.
                 r = order[a:b]
                 used, index = np.unique(member[r] >> 1, return_inverse=True)
-                size = np.uint16 if len(used) < 1 << 15 else np.uint32
-                columns[0].append(keys[r].tobytes())
-                columns[1].append((index.astype(np.uint32) << 1 | member[r] & 1).astype(size).tobytes())
+                columns[0].append(short[r].tobytes())
+                columns[1].append(index.astype(np.min_scalar_type(len(used))).tobytes())
                 columns[2].append(nodes[used].tobytes())
-                columns[3].append(band[used].astype(np.uint8).tobytes())
                 moved = np.flatnonzero(label[used] != nodes[used])
-                columns[4].append(moved.astype(np.uint32).tobytes())
-                columns[5].append(label[used][moved].tobytes())
+                columns[3].append(moved.astype(np.uint32).tobytes())
+                columns[4].append(label[used][moved].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(there, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]],
-                ["slot", "keys", "members", "nodes", "bands", "moved", "labels"],
+                ["slot", "keys", "members", "nodes", "moved", "labels"],
             )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,32 +338,33 @@ def tile_members(texts: DataFrame, tasks: int, level: int = 0, bands: list[int]
             for row in batch.to_pylist():
                 held.setdefault(row["slot"], []).append(row)
         for slot in list(held):
-            found = _meet(held.pop(slot))
+            found = _meet(slot, held.pop(slot))
             for at in range(0, len(found[0]), 50_000):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[at : at + 50_000]) for c in found], ["key", "node", "own", "band", "label", "crowd"]
+                    [pa.array(c[at : at + 50_000]) for c in found], ["key", "node", "own", "label", "crowd"]
                 )
 
-    kinds = "slot int, keys binary, members binary, nodes binary, bands binary, moved binary, labels binary"
+    kinds = "slot int, keys binary, members binary, nodes binary, moved binary, labels binary"
     packed = texts.select("text_", "label").mapInArrow(pack, kinds)
     dealt = packed.repartition(tasks, "slot")
-    return cut_lineage(dealt.mapInArrow(meet, "key long, node long, own boolean, band int, label long, crowd int"))
+    return cut_lineage(dealt.mapInArrow(meet, "key long, node long, own boolean, label long, crowd int"))
 
 
-def _meet(rows: list[dict]) -> list[np.ndarray]:
-    keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
-    whose, own, nodes, labels, bands, base = [], [], [], [], [], 0
+def _meet(slot: int, rows: list[dict]) -> list[np.ndarray]:
+    short = np.concatenate([np.frombuffer(r["keys"], np.uint8).reshape(-1, KEY_BYTES) for r in rows])
+    wide = np.zeros((len(short), 8), np.uint8)
+    wide[:, :KEY_BYTES] = short
+    keys = wide.view(np.uint64).ravel()
+    own = (keys & np.uint64(1)).astype(bool)
+    keys = mix(keys >> np.uint64(1) ^ mix(np.full(1, slot, np.uint64)))
+    whose, nodes, labels, base = [], [], [], 0
     for r in rows:
-        size = np.uint16 if len(r["members"]) * 4 == len(r["keys"]) else np.uint32
-        member = np.frombuffer(r["members"], size).astype(np.int64)
         nodes.append(np.frombuffer(r["nodes"], np.int64))
         labels.append(nodes[-1].copy())
         labels[-1][np.frombuffer(r["moved"], np.uint32)] = np.frombuffer(r["labels"], np.int64)
-        bands.append(np.frombuffer(r["bands"], np.uint8))
-        whose.append((member >> 1) + base)
-        own.append((member & 1).astype(bool))
+        whose.append(np.frombuffer(r["members"], np.min_scalar_type(len(nodes[-1]))).astype(np.int64) + base)
         base += len(nodes[-1])
-    nodes, labels, bands, whose, own = (np.concatenate(x) for x in (nodes, labels, bands, whose, own))
+    nodes, labels, whose = (np.concatenate(x) for x in (nodes, labels, whose))
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     new = np.ones(len(keys), bool)
@@ -347,32 +377,33 @@ def _meet(rows: list[dict]) -> list[np.ndarray]:
     keep = np.flatnonzero(several[run])
     keys, own, node = keys[keep], own[keep], nodes[whose[order[keep]]]
     # Copies from different batches.
-    order = order[keep[by := np.lexsort((node, keys))]]
+    order = order[keep[by := np.lexsort((own, node, keys))]]
     keys, own, node = keys[by], own[by], node[by]
     once = np.ones(len(keys), bool)
-    once[1:] = (keys[1:] != keys[:-1]) | (node[1:] != node[:-1])
+    once[1:] = (keys[1:] != keys[:-1]) | (node[1:] != node[:-1]) | (own[1:] != own[:-1])
     order, keys, own, node = order[once], keys[once], own[once], node[once]
-    band = bands[whose[order]].astype(np.int32) + ~own
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     run = np.cumsum(new) - 1
     crowd = np.ceil(np.log2(np.bincount(run)))[run] if len(run) else np.zeros(0)
-    return [keys.view(np.int64), node, own, band, labels[whose[order]], crowd.astype(np.int32)]
+    return [keys.view(np.int64), node, own, labels[whose[order]], crowd.astype(np.int32)]
 
 
 def without_spare(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``members`` less those keys that a document can spare, keys of the largest tiles first.
+    """``members`` less those keys that a document can spare, keys of the largest tiles first, and
+    with ``band``, that of the tile.
 
     What a common passage of moderate length brings about is all spared, and its documents never
     meet.
     """
     wanted = members.select("node").distinct()
-    spare = sizes.select("node", "spare", "spare_up").join(wanted, "node", "left_semi").distinct()
+    spare = sizes.select("node", F.col("band").alias("band_"), "spare", "spare_up").join(wanted, "node", "left_semi").distinct()
     mine = Window.partitionBy("node", "own")
     counted = members.join(spare, "node").withColumn("place", F.row_number().over(mine.orderBy("crowd", "key")))
     counted = counted.withColumn("n", F.count(F.lit(1)).over(mine))
     left_out = F.when(F.col("own"), F.col("spare")).otherwise(F.col("spare_up"))
-    return cut_lineage(counted.filter(F.col("place") <= F.col("n") - left_out).select(members.columns))
+    band = (F.col("band_") + F.when(F.col("own"), 0).otherwise(1)).cast("int").alias("band")
+    return cut_lineage(counted.filter(F.col("place") <= F.col("n") - left_out).select(*members.columns, band))
 
 
 def _documents_of(df: DataFrame, sizes: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -454,10 +485,13 @@ def tile_survivors(members: DataFrame, maps: DataFrame, hubs: bool = False) -> D
     """Pairs (a, b) of ``members`` (key, node, own, band, label) that pass the bit count bound.
 
     A tile with many documents is cut into blocks, and each pair of blocks is a tile of its own;
-    every two documents meet once. Pairs with one label are known to be connected and skipped.
+    every two documents meet once a tile. Of tiles with the same documents one is compared. Pairs with
+    one label are known to be connected and skipped.
     With ``hubs`` a document names only one other in a tile, that with most passing pairs.
     """
-    counts = cut_lineage(members.groupBy("key").agg(F.count(F.lit(1)).alias("m")))
+    whose = F.bit_xor(F.xxhash64("node", "own", "band")).alias("whose")
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), whose)
+    counts = cut_lineage(counts.groupBy("whose", "m").agg(F.min("key").alias("key")).select("key", "m"))
     blocks = F.ceil(F.col("m") / TILE).cast("int")
     cut = members.join(counts, "key").withColumn("n", blocks)
     cut = cut.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
@@ -469,7 +503,7 @@ def tile_survivors(members: DataFrame, maps: DataFrame, hubs: bool = False) -> D
     tiles = full.repartition(shuffle_width(members.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tiles_ in whole_groups(batches, ["key", "i", "j"]):
+        for tiles_ in whole_groups(batches, ["key", "i", "j"], 2_000):
             a, b = _compare(tiles_, hubs)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -504,6 +538,8 @@ def _compare(tiles: pa.Table, hubs: bool) -> tuple[np.ndarray, np.ndarray]:
     for b in np.unique(band):
         rows = np.flatnonzero(band == b)
         maps = _maps_of(tiles, rows, int(b))
+        # Most pairs already fail with few bits.
+        few = folded(maps.T, max(64, width_of(int(b)) // 4)).T
         place = np.zeros(n, np.int64)
         place[rows] = np.arange(len(rows))
         bounds = np.append(0, np.cumsum(later[rows]))
@@ -515,14 +551,16 @@ def _compare(tiles: pa.Table, hubs: bool) -> tuple[np.ndarray, np.ndarray]:
             at = stop
             good = (label[u] != label[v]) & (own[u] | own[v]) & ((i[u] == j[u]) | (mine[u] != mine[v]))
             good &= OF * np.minimum(size[u], size[v]) >= NEED * np.maximum(size[u], size[v])
-            u, v = u[good], v[good]
-            differ = np.zeros(len(u), np.int64)
-            for w in range(maps.shape[1]):
-                differ += np.bitwise_count(maps[place[u], w] ^ maps[place[v], w])
-            # Both sizes together less the differing shingles are twice the overlap.
-            both = size[u] + size[v]
-            most = (both - differ) // 2
-            good = OF * most >= NEED * (both - most)
+            good &= band[u] == band[v]
+            for bits in (few, maps):
+                u, v = u[good], v[good]
+                differ = np.zeros(len(u), np.int64)
+                for w in range(bits.shape[1]):
+                    differ += np.bitwise_count(bits[place[u], w] ^ bits[place[v], w])
+                # Both sizes together less the differing shingles are twice the overlap.
+                both = size[u] + size[v]
+                most = (both - differ) // 2
+                good = OF * most >= NEED * (both - most)
             found.append((u[good], v[good]))
     u, v = (np.concatenate(x) for x in zip(*found, strict=True))
     if hubs and len(u):
@@ -543,9 +581,8 @@ def first_partners(sizes: DataFrame) -> DataFrame:
     the one that most of its keys point at, if these are several. Which pairs are found decides
     only how many comparisons are saved.
     """
-    keys = cut_lineage(
-        sizes.filter("n_shingles > 0").select("node", F.explode("sketch").alias("key")).distinct()
-    )
+    nodes = sizes.filter("n_shingles > 0").select("node", "sketch").dropDuplicates(["node"])
+    keys = cut_lineage(nodes.select("node", F.explode("sketch").alias("key")))
     pivots = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m"))
     pivots = cut_lineage(pivots.filter("m > 1").select("key", "pivot"))
     times = keys.join(pivots, "key").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
@@ -566,15 +603,8 @@ def labelled_texts(df: DataFrame, sizes: DataFrame, roots: DataFrame, doc_id: st
     return _texts(df, doc_id, text).join(moved, "key_", "left").select("text_", "label")
 
 
-def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every row.
-
-    Words are runs of characters other than ASCII white space, A to Z taken as lower case.
-    Documents without words are linked with nothing; NULL texts are such. Rows with equal sets,
-    repeated rows among them, are one component. Its id is its smallest document id (a NULL id
-    counts only where a component has no other). Shingles and sets are told apart by 64-bit
-    hashes. An empty table gives no rows.
-    """
+def _rooted(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``id_``, ``key_``, ``n_shingles`` and ``root``, the node of its component, of every row."""
     spark = df.sparkSession
     modest_batches(spark)
     sizes = set_sizes(df, doc_id, text)
@@ -588,7 +618,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     links = decided(first_partners(sizes))
     texts = labelled_texts(df, sizes, components(links), doc_id, text)
     bands = None
-    for level in range(LEVELS):
+    for level in range(FINEST + 1):
         seen = sizes if level == 0 else set_sizes(df, doc_id, text, level)
         members = without_spare(tile_members(texts, tasks, level, bands), seen)
         if not members.isEmpty():
@@ -603,12 +633,22 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         bands = [r[0] for r in seen.select("crowded_").filter("crowded_ IS NOT NULL").distinct().collect()]
         if not bands:
             break
-    else:
-        raise ValueError("sets stay crowded")
     roots = components(links)
-    labelled = cut_lineage(
-        sizes.join(roots, "node", "left").select("id_", "n_shingles", F.coalesce("root", "node").alias("root"))
+    return cut_lineage(
+        sizes.join(roots, "node", "left").select("id_", "key_", "n_shingles", F.coalesce("root", "node").alias("root"))
     )
+
+
+def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every row.
+
+    Words are runs of characters other than ASCII white space, A to Z taken as lower case.
+    Documents without words are linked with nothing; NULL texts are such. Rows with equal sets,
+    repeated rows among them, are one component. Its id is its smallest document id (a NULL id
+    counts only where a component has no other). Shingles and sets are told apart by 64-bit
+    hashes. An empty table gives no rows.
+    """
+    labelled = _rooted(df, doc_id, text)
     first = cut_lineage(labelled.filter("n_shingles > 0").groupBy("root").agg(F.min("id_").alias("first_")))
     return labelled.join(first, "root", "left").select(
         F.col("id_").alias(doc_id),
@@ -618,12 +658,15 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def one_per_component(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``df`` whose id is that of their component; repeated rows stay once.
+    """One row of each component of ``df``: that with the smallest id, a NULL id only where no row has one.
 
-    Documents without words stay, as do rows without an id, of which equal ones stay once.
+    Rows are told apart by id and text: of texts with one id the one with the smallest hash stays,
+    and repeated rows stay once. Documents without words stay, repeated rows once.
     """
-    ids = jaccard_components(df, doc_id, text).filter(quoted(doc_id) == F.col("component_id"))
-    kept = cut_lineage(ids.select(quoted(doc_id)).distinct())
-    named = df.filter(quoted(doc_id).isNotNull()).join(kept, doc_id).select(*[quoted(c) for c in df.columns])
-    nameless = df.filter(quoted(doc_id).isNull())
-    return named.dropDuplicates([doc_id, text]).unionByName(nameless.dropDuplicates([doc_id, text]))
+    labelled = _rooted(df, doc_id, text)
+    best = F.min(F.struct(F.col("id_").isNull().alias("nameless"), "id_", "key_"))
+    headed = labelled.filter("n_shingles > 0").groupBy("root").agg(best.alias("best")).select("best.key_")
+    kept = cut_lineage(headed.union(labelled.filter("n_shingles = 0").select("key_")).distinct())
+    key, own = free_name(df, "key_"), [quoted(c) for c in df.columns]
+    keyed = df.withColumn(key, F.xxhash64(quoted(doc_id), quoted(text).cast("string")))
+    return keyed.join(kept.toDF(key), key, "left_semi").dropDuplicates([key]).select(*own)
