@@ -72,9 +72,9 @@ PAIRS = 50_000
 # From this power of two documents on a tile is large.
 LARGE = 4
 # Part keys by which probable near copies are found before any tile is made.
-SKETCH = 8
+SKETCH = 4
 # Share of a band's largest size in parts that are left out before the shuffle, where they can be spared.
-EARLY = 0.04
+EARLY = 0.06
 # The finer division of bands in which every hash is a part of its own, so that no set is crowded.
 FINEST = 12
 # Bytes of a key that travel: its slot and these tell it apart. The lowest bit is ``own``.
@@ -184,11 +184,11 @@ def bitmaps(values: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
 
 
 def width_of(band: int) -> int:
-    """Bits of a band's bitmaps: a power of two, four to eight bits for each shingle of its largest sets.
+    """Bits of a band's bitmaps: a power of two, two to four bits for each shingle of its largest sets.
 
-    With one or two bits, pairs from a similarity of 0.65 on pass; with these, from 0.73 on.
+    With one or two bits, pairs from a similarity of 0.65 on pass; with these, from 0.71 on.
     """
-    return max(256, 4 << int(TOPS[band] - 1).bit_length())
+    return max(256, 2 << int(TOPS[band] - 1).bit_length())
 
 
 def folded(bitmap: np.ndarray, width: int) -> np.ndarray:
@@ -539,7 +539,7 @@ def _compare(tiles: pa.Table, hubs: bool) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero(band == b)
         maps = _maps_of(tiles, rows, int(b))
         # Most pairs already fail with few bits.
-        few = folded(maps.T, max(64, width_of(int(b)) // 4)).T
+        few = folded(maps.T, max(64, width_of(int(b)) // 2)).T
         place = np.zeros(n, np.int64)
         place[rows] = np.arange(len(rows))
         bounds = np.append(0, np.cumsum(later[rows]))
