@@ -27,6 +27,8 @@ NAME_CODES = (*TEXT_CODES, ("]", "\\c"))
 KNOWN = {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 OTHER = ("[ROLE:", "[/ROLE]")
 LOSS_ROLE = "assistant"
+# Array elements handled together where a running state is built, so that work stays in proportion.
+CHUNK = 256
 
 
 def _coded(text: Column, codes) -> Column:
@@ -64,23 +66,35 @@ def _closing(role: Column) -> Column:
 
 
 def _blocks(turns: Column) -> Column:
-    """Adjacent turns of one role as one struct (role, body)."""
+    """Adjacent turns of one role as one struct (role, body).
+
+    Block starts meet their ends side by side, so each turn is looked at a fixed number of times.
+    """
     last = F.size(turns) - 1
     starts = F.filter(
         F.sequence(F.lit(0), last),
         lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]),
     )
+    stops = F.concat(F.slice(starts, F.lit(2), last + 1), F.array(last + 1))
 
-    def block(start: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get(starts, k + 1), last + 1)
+    def block(start: Column, stop: Column) -> Column:
         texts = F.transform(F.slice(turns, start + 1, stop - start), lambda t: escape(t["text"]))
         return F.struct(F.get(turns, start)["role"].alias("role"), F.array_join(texts, JOINT).alias("body"))
 
-    return F.transform(starts, block)
+    return F.zip_with(starts, stops, block)
+
+
+def _chunked(items: Column) -> Column:
+    """The array cut into arrays of CHUNK elements; an empty one gives one empty array."""
+    last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * CHUNK + 1, F.lit(CHUNK)))
 
 
 def _mask(blocks: Column) -> Column:
-    """Spans of the loss blocks' bodies in the formatted string: code points from 0, and how many."""
+    """Spans of the loss blocks' bodies in the formatted string: code points from 0, and how many.
+
+    Spans are placed inside chunks of blocks, which are then moved by the sizes of those before them.
+    """
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
     def step(state: Column, b: Column) -> Column:
@@ -92,7 +106,23 @@ def _mask(blocks: Column) -> Column:
             F.when(b["role"] == LOSS_ROLE, F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"),
         )
 
-    return F.aggregate(blocks, empty, step, lambda state: state["spans"])
+    parts = F.transform(_chunked(blocks), lambda c: F.aggregate(c, empty, step))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("shifts"))
+    shifts = F.aggregate(
+        parts,
+        begin,
+        lambda state, p: F.struct(
+            (state["at"] + p["at"]).alias("at"), F.concat(state["shifts"], F.array(state["at"])).alias("shifts")
+        ),
+        lambda state: state["shifts"],
+    )
+
+    def moved(part: Column, shift: Column) -> Column:
+        return F.transform(
+            part["spans"], lambda m: F.struct((m["start"] + shift).alias("start"), m["length"].alias("length"))
+        )
+
+    return F.flatten(F.zip_with(parts, shifts, moved))
 
 
 def format_conversations(
@@ -103,7 +133,8 @@ def format_conversations(
     ``loss_mask`` holds one span (start, length, in code points) per block of assistant turns.
     NULL role and text count as empty; a NULL conversation id is a conversation of its own;
     NULL turn numbers come first; ties are ordered by role, then text, and repeated rows are
-    repeated turns.  Other columns are ignored.  No rows give no rows.
+    repeated turns.  Other columns are ignored.  No rows give no rows.  Work grows in proportion to the
+    turns of a conversation.
     """
     row = F.struct(
         quoted(turn).alias("turn"),
@@ -144,6 +175,19 @@ def read_turns(formatted: Column) -> Column:
 
 
 def loss_texts(formatted: Column, mask: Column) -> Column:
-    """The texts under the loss mask, one array element per assistant turn."""
-    spans = F.transform(mask, lambda m: formatted.substr(m["start"] + 1, m["length"]))
-    return F.flatten(F.transform(spans, lambda s: F.transform(F.split(s, r"\\\+"), unescape)))
+    """The texts under the loss mask, one array element per assistant turn.
+
+    The spans ascend. Those of a chunk are cut from the stretch that holds them all, so that the
+    string is not counted through from its start for each of them.
+    """
+
+    def stretch(spans: Column) -> Column:
+        first, last = F.get(spans, F.lit(0)), F.get(spans, F.size(spans) - 1)
+        held = formatted.substr(first["start"] + 1, last["start"] + last["length"] - first["start"])
+        return F.struct(held.alias("held"), first["start"].alias("first"), spans.alias("spans"))
+
+    def texts(c: Column) -> Column:
+        cut = F.transform(c["spans"], lambda m: c["held"].substr(m["start"] - c["first"] + 1, m["length"]))
+        return F.flatten(F.transform(cut, lambda s: F.transform(F.split(s, r"\\\+"), unescape)))
+
+    return F.flatten(F.transform(F.transform(_chunked(mask), stretch), texts))

@@ -62,12 +62,21 @@ def _running(df: DataFrame, value: Column, name: str, descending: bool) -> DataF
     )
 
 
-def context_table(histogram: DataFrame) -> DataFrame:
-    """For every length that occurs, taken as a context limit, from suffix sums of the histogram.
-
-    ``n_docs`` of that length; ``docs_up_to`` and ``docs_from``, ``tokens_from`` of documents at
-    least that long; ``truncated_total``, all tokens when each document is cut at the limit.
+def context_table(histogram: DataFrame, limits: Sequence[int] = (), shares: Sequence[float] = ()) -> DataFrame:
+    """For every length that occurs and every one of ``limits``, taken as a context limit.
+
+    From running and suffix sums of the histogram: ``n_docs`` of that length (0 for a limit that no
+    document has); ``docs_up_to`` and ``docs_from``, ``tokens_from`` of documents at least that long;
+    ``truncated_total``, all tokens when each document is cut at the limit; ``quantile_of``, those
+    ``shares`` whose quantile this length is, the smallest one that at least that share of the
+    documents do not exceed. Without documents there are the limits alone, with zeros.
     """
+    if limits:
+        stated = histogram.sparkSession.range(1).select(
+            F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])).alias("n_tokens"),
+            F.lit(0).cast("long").alias("n_docs"),
+        )
+        histogram = histogram.unionByName(stated).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
     out = cut_lineage(histogram).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     tokens = F.col("n_tokens") * F.col("n_docs")
     out = _running(out, F.col("n_docs"), "docs_up_to", descending=False)
@@ -75,6 +84,13 @@ def context_table(histogram: DataFrame) -> DataFrame:
     out = _running(out, F.col("n_docs"), "docs_from", descending=True)
     out = _running(out, tokens, "tokens_from", descending=True)
     above = F.col("docs_from") - F.col("n_docs")
+    total = F.col("docs_up_to") + above
+    asked = F.array(*[F.lit(float(x)) for x in shares]) if shares else F.array().cast("array<double>")
+
+    def met(share: Column) -> Column:
+        rank = F.greatest(F.lit(1), F.ceil(share * total))
+        return (F.col("docs_up_to") - F.col("n_docs") < rank) & (rank <= F.col("docs_up_to"))
+
     return out.select(
         "n_tokens",
         "n_docs",
@@ -82,27 +98,46 @@ def context_table(histogram: DataFrame) -> DataFrame:
         "docs_from",
         "tokens_from",
         (F.col("tokens_up_to") + F.col("n_tokens") * above).alias("truncated_total"),
+        F.filter(asked, met).alias("quantile_of"),
     )
 
 
 def totals_at(context: DataFrame, limits: Sequence[int]) -> DataFrame:
-    """Documents and tokens at each given limit, whether or not a document has that length."""
-    wanted = F.explode(F.array(*[F.lit(x).cast("long") for x in limits]))
-    longer = F.when(F.col("n_tokens") > F.col("context_limit"), F.col("n_docs")).otherwise(0)
-    cut = F.least("n_tokens", "context_limit") * F.col("n_docs")
-    return (
-        context.withColumn("context_limit", wanted)
-        .groupBy("context_limit")
-        .agg(F.sum("n_docs").alias("n_docs"), F.sum(longer).alias("docs_cut"), F.sum(cut).alias("truncated_total"))
+    """Documents and tokens at each given limit, whether or not a document has that length.
+
+    The sums of the next smaller length answer a limit: documents beyond it count as the limit.
+    One pass over the table, one row out of it. No documents give zeros.
+    """
+    above = F.col("docs_from") - F.col("n_docs")
+    held = F.struct(
+        "n_tokens", above.alias("above"), (F.col("truncated_total") - F.col("n_tokens") * above).alias("inside")
     )
+    floors = [
+        F.max(F.when(F.col("n_tokens") <= limit, held)).alias(f"floor_{i}") for i, limit in enumerate(limits)
+    ]
+    found = context.agg(F.coalesce(F.max("docs_from"), F.lit(0)).alias("total"), *floors)
+
+    def answer(i: int, limit: int) -> Column:
+        beyond = F.coalesce(F.col(f"floor_{i}.above"), F.col("total"))
+        inside = F.coalesce(F.col(f"floor_{i}.inside"), F.lit(0))
+        return F.struct(
+            F.lit(int(limit)).cast("long").alias("context_limit"),
+            F.col("total").alias("n_docs"),
+            beyond.alias("docs_cut"),
+            (inside + beyond * int(limit)).alias("truncated_total"),
+        )
+
+    rows = F.array(*[answer(i, limit) for i, limit in enumerate(limits)])
+    return found.select(F.explode(rows).alias("row")).select("row.*")
 
 
 def quantiles(context: DataFrame, shares: Sequence[float]) -> DataFrame:
     """The smallest length that at least a share of the documents do not exceed."""
-    total = context.agg(F.sum("n_docs")).first()[0] or 0
+    total = F.col("docs_up_to") + F.col("docs_from") - F.col("n_docs")
     wanted = F.explode(F.array(*[F.lit(float(x)) for x in shares]))
     return (
-        context.withColumn("share", wanted)
+        context.filter("n_docs > 0")
+        .withColumn("share", wanted)
         .filter(F.col("docs_up_to") >= F.ceil(F.col("share") * total))
         .groupBy("share")
         .agg(F.min("n_tokens").alias("n_tokens"))

@@ -32,6 +32,9 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 SHARDS = 16
 CONTEXT = 2048
+# Context limits and shares that the length table answers besides the lengths that occur.
+CONTEXT_LIMITS = tuple(1 << k for k in range(7, 21))
+LENGTH_SHARES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0)
 END_ID = 1
 BEST = 5
 QUERY_EVERY = 50
@@ -107,7 +110,8 @@ FROM kept"""
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lengths.context_table(lengths.length_histogram(docs, RANKS, PATTERN))
+    made = lengths.context_table(lengths.length_histogram(docs, RANKS, PATTERN), CONTEXT_LIMITS, LENGTH_SHARES)
+    return made.withColumn("quantile_of", F.array_join(F.col("quantile_of").cast("array<string>"), ","))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

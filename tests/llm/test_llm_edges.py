@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -222,7 +223,29 @@ def test_length_edges(odd, none, odd_rows, own):
         assert (r.n_docs, r.docs_cut, r.truncated_total) == (17, (sizes > limit).sum(), np.minimum(sizes, limit).sum())
     for r in lengths.quantiles(table, [0.0, 0.5, 0.9, 1.0]).collect():
         assert r.n_tokens == sorted(sizes)[max(0, math.ceil(r.share * 17) - 1)]
-    assert lengths.context_table(lengths.length_histogram(none, queries.RANKS, queries.PATTERN)).count() == 0
+    empty = lengths.length_histogram(none, queries.RANKS, queries.PATTERN)
+    assert lengths.context_table(empty).count() == 0
+    assert [tuple(r)[1:] for r in lengths.totals_at(lengths.context_table(empty), [5]).collect()] == [(0, 0, 0)]
+    assert [tuple(r) for r in lengths.context_table(empty, [5], [0.5]).collect()] == [(5, 0, 0, 0, 0, 0, [])]
+
+
+def test_length_limits_between_lengths(spark):
+    sizes = np.array([3, 3, 10, 10, 10, 2000, 5000, 5000, 70000])
+    counted = spark.createDataFrame([(int(n), int((sizes == n).sum())) for n in set(sizes)], "n_tokens long, n_docs long")
+    limits, shares = [0, 2, 3, 4, 1024, 4999, 70000, 10**6], [0.0, 0.2, 0.5, 0.99, 1.0]
+    table = lengths.context_table(counted, limits, shares)
+    rows = {r.n_tokens: r for r in table.collect()}
+    assert set(rows) == set(sizes.tolist()) | set(limits)
+    for n, r in rows.items():
+        assert (r.n_docs, r.docs_up_to, r.docs_from) == ((sizes == n).sum(), (sizes <= n).sum(), (sizes >= n).sum())
+        assert r.truncated_total == np.minimum(sizes, n).sum()
+    named = {p: n for n, r in rows.items() for p in r.quantile_of}
+    assert named == {p: int(np.sort(sizes)[max(1, math.ceil(p * 9)) - 1]) for p in shares}
+    for source in (table, lengths.context_table(counted)):
+        for r in lengths.totals_at(source, limits).collect():
+            n = r.context_limit
+            assert (r.n_docs, r.docs_cut, r.truncated_total) == (9, (sizes > n).sum(), np.minimum(sizes, n).sum())
+        assert {r.share: r.n_tokens for r in lengths.quantiles(source, shares).collect()} == named
 
 
 def test_line_dedup_edges(spark, odd, none):
@@ -486,3 +509,24 @@ def test_hosts_without_labels_are_learned_from_the_text(spark):
     assert [x > 0 for x in odds] == [good[i] for i in range(1500)]
     found = cotraining.score(frame, model, "text", ["source", "lang"], "n_chars").collect()
     assert all((r.quality_probability > 0.5) == good[r.doc_id] for r in found)
+
+
+def test_chat_very_long_conversation(spark):
+    """Fifty thousand turns, single and in runs, with control strings: exact, and in proportion to the turns."""
+    n = 50_000
+    spelled = F.concat(F.lit("t[</s>\\+"), F.col("id").cast("string"), F.lit("é"))
+    role = F.when(F.col("id") % 7 < 2, "assistant").when(F.col("id") % 3 == 0, "system").otherwise("user")
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), spelled.alias("text"))
+    started = time.time()
+    made = chat.format_conversations(turns)
+    row = made.select(
+        chat.read_turns(F.col("formatted")).alias("turns"),
+        chat.loss_texts(F.col("formatted"), F.col("loss_mask")).alias("loss"),
+        F.size("loss_mask").alias("spans"),
+    ).first()
+    took = time.time() - started
+    told = [("assistant" if i % 7 < 2 else "system" if i % 3 == 0 else "user", f"t[</s>\\+{i}é") for i in range(n)]
+    assert [tuple(t) for t in row.turns] == told
+    assert row.loss == [text for who, text in told if who == "assistant"]
+    assert row.spans == sum(a[0] == "assistant" != b[0] for a, b in zip(told, [("", ""), *told]))
+    assert took < 60

@@ -1,6 +1,7 @@
 """The registered queries against SQL, libraries and brute force on the smallest tables."""
 
 import hashlib
+import math
 import os
 import re
 import zlib
@@ -123,7 +124,10 @@ def test_packing_holds_every_id_once_with_little_padding(spark, texts, library):
 def test_token_counts(spark, texts, library):
     sizes = np.array([len(library.encode(t, add_special_tokens=False).ids) for t in texts.values()])
     rows = {r.n_tokens: r for r in run(spark, "op6_token_counts")}
-    assert set(rows) == set(sizes.tolist())
+    assert set(rows) == set(sizes.tolist()) | set(queries.CONTEXT_LIMITS)
+    named = {float(p): n for n, r in rows.items() for p in r.quantile_of.split(",") if p}
+    ordered = sorted(sizes.tolist())
+    assert named == {p: ordered[max(1, math.ceil(p * len(ordered))) - 1] for p in queries.LENGTH_SHARES}
     for n, r in rows.items():
         assert r.n_docs == (sizes == n).sum() and r.docs_up_to == (sizes <= n).sum()
         assert r.docs_from == (sizes >= n).sum() and r.tokens_from == sizes[sizes >= n].sum()
