@@ -107,6 +107,60 @@ def daily_water_potential(readings: DataFrame, design: DataFrame, **years) -> Da
     return daily_soil(readings, design, "SWP", **years)
 
 
+def soil_beside(readings: DataFrame, variables: Sequence[str] = ("VWC", "SWP")) -> DataFrame:
+    """Sensor places by day with the statistics of several variables side by side.
+
+    One conditional aggregate: the readings are scanned once and shuffled once, as one row per
+    place, day and task. ``has_<prefix>`` tells whether the variable has a row that day at all, so
+    that inner, left and right pairings are filters. NULL keys are keys like others.
+    """
+    columns = []
+    for variable in variables:
+        prefix, scale = SOIL_VARIABLES[variable]
+        here = F.col("variable") == variable
+        value = F.col("value") / F.lit(scale) if scale != 1.0 else F.col("value")
+        columns += [*stats(F.when(here, value), f"{prefix}_"), F.bool_or(here).alias(f"has_{prefix}")]
+    return readings.where(F.col("variable").isin(list(variables))).groupBy(*SENSOR_DAY).agg(*columns)
+
+
+def days_beside(days: DataFrame, variables: Sequence[str] = ("VWC", "SWP")) -> DataFrame:
+    """The same from :func:`sensor_days`, which hold one row per variable, place and day."""
+    columns = []
+    for variable in variables:
+        prefix, here = SOIL_VARIABLES[variable][0], F.col("variable") == variable
+        columns += [F.max(F.when(here, F.col(s))).alias(f"{prefix}_{s}") for s in ("mean", "min", "max")]
+        columns.append(F.bool_or(here).alias(f"has_{prefix}"))
+    return days.where(F.col("variable").isin(list(variables))).groupBy(*SENSOR_DAY).agg(*columns)
+
+
+def paired_table(
+    beside: DataFrame,
+    design: DataFrame,
+    keep: Sequence[str] = ("wp",),
+    first_year: int = FIRST_YEAR,
+    last_year: int = LAST_YEAR,
+) -> DataFrame:
+    """Content beside potential, with sensor name, design and season.
+
+    ``keep`` names the variables a day must have: ``("wp",)`` is the left join driven by the
+    potential, ``("wc",)`` the one driven by the content, both the inner join. The sensor is named
+    after the first of them.
+    """
+    names = {prefix: variable for variable, (prefix, _) in SOIL_VARIABLES.items()}
+    c = F.col
+    rows = beside
+    for prefix in keep:
+        rows = rows.where(c(f"has_{prefix}"))
+    first = keep[0]
+    other = "wc" if first == "wp" else "wp"
+    own, beside_it = ([f"{prefix}_{s}" for s in ("mean", "min", "max")] for prefix in (first, other))
+    name = labels.sensor_id(c("plot"), c("depth"), c("house"), F.lit(names[first]))
+    table = with_design(rows.select(name.alias("id"), *SENSOR_DAY, *own, *beside_it), design)
+    table = table.withColumn("plot_id", labels.plot_id(c("house"), c("plot")))
+    table = with_season(table, "date", first_year, last_year)
+    return table.select(*[x for x in table.columns if x not in beside_it], *beside_it)
+
+
 def daily_air(air: DataFrame, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
     table = daily(air, ("variable", "location", "date"), F.col("value"))
     table = table.withColumn("var_label", labels.mapped(F.col("variable"), labels.AIR_LABELS)).withColumn(

@@ -97,7 +97,11 @@ def long_pairs(wc: DataFrame, wp: DataFrame) -> DataFrame:
     ``id`` names the place: plot, depth and house.
     The potential arrives in MPa already, so no scaling remains to be done here.
     """
-    matched = rollup.matched_from_content(wc, wp)
+    return long_pairs_of(rollup.matched_from_content(wc, wp))
+
+
+def long_pairs_of(matched: DataFrame) -> DataFrame:
+    """The same from content and potential that are already side by side."""
     place = labels.sensor_id(F.col("plot"), F.col("depth"), F.col("house"))
     matched = matched.withColumn("id", place)
     ids = ["date", "plot_id", "id", "plot", "depth", "house"]

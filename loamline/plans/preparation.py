@@ -40,16 +40,15 @@ def daily_tables(
     def table(variable: str, drop_empty: bool = False) -> DataFrame:
         return rollup.soil_table(days.where(F.col("variable") == variable), design, variable, drop_empty, **years)
 
-    wc, wp = table("VWC"), table("SWP")
     rain = watering.rain_before_roof(gauge, roof_day)
     return DailyTables(
         temperature=table("TS", drop_empty=True),
-        water_content=wc,
-        water_potential=wp,
+        water_content=table("VWC"),
+        water_potential=table("SWP"),
         air=rollup.daily_air(reshape.air_long(rollup.clean_air(air_wide)), **years),
         watering=watering.watering_table(reshape.treatments_long(irrigation_wide), rain),
         seasons=calendar.season_calendar(days.sparkSession, **years),
-        paired=rollup.paired_days(wp, wc),
+        paired=rollup.paired_table(rollup.days_beside(days), design, **years),
     )
 
 

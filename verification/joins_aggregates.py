@@ -149,6 +149,20 @@ _PAIR_SQL = ", ".join(f"{R(c)} AS {c}" for c in _PAIR_STATS)
     f"""SELECT p.id, p.house, p.plot, p.depth, p.date, p.summer, p.winter, {_PAIR_SQL} FROM wp_daily p
         LEFT JOIN (SELECT house, plot, depth, date, wc_mean, wc_min, wc_max FROM wc_daily) c USING (house, plot, depth, date)""",
 )
+def _(spark, sf):
+    beside = rollup.soil_beside(S.soil(spark, sf))
+    out = rollup.paired_table(beside, S.design(spark, sf), **S.EVENT_YEARS)
+    return snapped(
+        out.select("id", "house", "plot", "depth", "date", "summer", "winter", *_PAIR_STATS), *_PAIR_STATS
+    )
+
+
+@check(
+    "d4_pair_by_join",
+    ("wp_daily", "wc_daily"),
+    f"""SELECT p.id, p.house, p.plot, p.depth, p.date, p.summer, p.winter, {_PAIR_SQL} FROM wp_daily p
+        LEFT JOIN (SELECT house, plot, depth, date, wc_mean, wc_min, wc_max FROM wc_daily) c USING (house, plot, depth, date)""",
+)
 def _(spark, sf):
     out = rollup.paired_days(_wp(spark, sf), _wc(spark, sf))
     return snapped(
@@ -169,6 +183,20 @@ def _(spark, sf):
     )
 
 
+@check(
+    "d5_match_side_by_side",
+    ("wp_daily", "wc_daily"),
+    f"""SELECT c.id, c.house, c.plot, c.depth, c.date, c.summer, c.winter, {_PAIR_SQL} FROM wc_daily c
+        LEFT JOIN (SELECT house, plot, depth, date, wp_mean, wp_min, wp_max FROM wp_daily) p USING (house, plot, depth, date)""",
+)
+def _(spark, sf):
+    beside = rollup.soil_beside(S.soil(spark, sf))
+    out = rollup.paired_table(beside, S.design(spark, sf), ("wc",), **S.EVENT_YEARS)
+    return snapped(
+        out.select("id", "house", "plot", "depth", "date", "summer", "winter", *_PAIR_STATS), *_PAIR_STATS
+    )
+
+
 @check(
     "d5_match_from_content",
     ("wp_days", "wc_days"),

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from loamline.operators import calendar
+from loamline.operators import calendar, rollup
 from loamline.plans import dashboard, halfhourly, preparation, selection
 from loamline.session import scratch_path
 from loamline.sources import tables
@@ -422,3 +422,19 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return snapped(dashboard.long_pairs(S.wc_days(spark, sf), S.wp_days(spark, sf)), "mean", "min", "max")
+
+
+@check(
+    "n10_long_pairs_side_by_side",
+    ("wc_daily", "wp_daily"),
+    " UNION ALL ".join(
+        f"""SELECT date, plot_id, 'P' || plot || '_' || depth || '_H' || house AS id, plot, depth, house, '{v.upper()}' AS variable, {R(f'{v}_mean')} AS mean, {R(f'{v}_min')} AS min, {R(f'{v}_max')} AS max, '{text}' AS var
+            FROM (SELECT c.*, p.wp_mean, p.wp_min, p.wp_max FROM wc_daily c JOIN (SELECT date, house, plot, depth, wp_mean, wp_min, wp_max FROM wp_daily) p
+                  USING (date, house, plot, depth)) WHERE summer IS NOT NULL AND wc_mean IS NOT NULL AND wp_mean IS NOT NULL"""
+        for v, text in (("wc", "Theta~(m^3~m^-3)"), ("wp", "Psi~(MPa)"))
+    ),
+)
+def _(spark, sf):
+    beside = rollup.soil_beside(S.soil(spark, sf))
+    paired = rollup.paired_table(beside, S.design(spark, sf), ("wp", "wc"), **S.EVENT_YEARS)
+    return snapped(dashboard.long_pairs_of(paired), "mean", "min", "max")
