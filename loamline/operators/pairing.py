@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.session import cut_lineage, row_bytes, shuffle_width, table_behind
+from loamline.session import cut_lineage, row_bytes, shuffle_width, table_behind, task_width
 
 # Rows a side may have to be sent whole to every executor, and what they may take in memory.
 BROADCAST_ROWS = 200_000
@@ -56,18 +56,25 @@ def pair_rows(
 ) -> DataFrame:
     """Equi join on ``on`` where each key may hold many rows on both sides.
 
-    A right side within ``limit`` rows is broadcast.  A larger one is cut into blocks, the
-    left side into slices, and block x slice cells are joined: each pair meets in exactly
-    one cell, and no key is bound to a single task.
+    A right side within ``limit`` rows is broadcast.  With a larger one the left side is settled
+    and, within the limit, broadcast to the right side's rows, which are dealt over all tasks.
+    Otherwise the right side is cut into blocks, the left side into slices, and block x slice
+    cells are joined: each pair meets in exactly one cell, and no key is bound to a single task.
     """
     if fits(right, limit):
         return left.join(F.broadcast(right), list(on))
-    blocks = math.ceil(right.count() / limit)
-    slices = max(1, math.ceil((width or shuffle_width(left.sparkSession)) / blocks))
+    left = left if table_behind(left) is not None else cut_lineage(left)
+    if fits(left, limit):
+        return F.broadcast(left).join(right.repartition(task_width(left.sparkSession)), list(on))
+    rows = table_behind(right).rows if table_behind(right) is not None else right.count()
+    blocks = math.ceil(rows / limit)
+    width = width or shuffle_width(left.sparkSession)
+    slices = max(1, math.ceil(width / blocks))
     cut_left = left.withColumn("slice_", F.pmod(F.xxhash64(*left.columns), F.lit(slices))).withColumn(
         "block_", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
     )
     cut_right = right.withColumn("block_", F.pmod(F.xxhash64(*right.columns), F.lit(blocks))).withColumn(
         "slice_", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>"))
     )
-    return cut_left.join(cut_right, [*on, "slice_", "block_"]).drop("slice_", "block_")
+    # The planner takes a side's size from its files, without the copies: unhinted it may broadcast these.
+    return cut_left.join(cut_right.hint("merge"), [*on, "slice_", "block_"]).drop("slice_", "block_")
