@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamline.functions import curves
+from loamline.operators.held import HELD_DRAWS, grid_quantiles, group_sizes, worth_holding
 from loamline.operators.nearest import GRID_FIRST, GRID_LAST, GRID_PER_UNIT, grid_index
 from loamline.operators.pairing import BROADCAST_ROWS, fits, settled_small
 from loamline.operators.ranking import exact_quantiles
@@ -37,22 +38,32 @@ def inverse_curves(
 
     With draws few enough to send everywhere the (grid point, group) cells are what gets
     distributed: all draws of a cell meet in one task and the aggregate that follows needs
-    no shuffle.  With more draws these stay distributed and each is expanded over the grid
-    in place.
+    no shuffle.  With more draws these are dealt over all tasks and each is expanded over the
+    grid in place.
     """
+    wanted = _settled_curves(draws)
+    # Every draw meets every grid point once, so draws per group bound the values per cell.
+    most, _ = group_sizes(wanted)
+    return _expanded(wanted, first, last, limit), most
+
+
+def _settled_curves(draws: DataFrame) -> DataFrame:
+    return cut_lineage(draws.select("grp", "alpha_cm", "n", "theta_r"))
+
+
+def _expanded(wanted: DataFrame, first: int, last: int, limit: int) -> DataFrame:
     suction = curves.suction_mpa(F.col("swc"), F.col("alpha_cm"), F.col("n"), F.col("theta_r")).alias("suction_mpa")
     index = F.explode(F.sequence(F.lit(first), F.lit(last)))
     swc = F.col("swc_idx") / F.lit(float(GRID_PER_UNIT))
-    wanted = cut_lineage(draws.select("grp", "alpha_cm", "n", "theta_r"))
-    # Every draw meets every grid point once, so draws per group bound the values per cell.
-    most = wanted.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    width = task_width(wanted.sparkSession)
     if fits(wanted, limit):
         points = wanted.select("grp").distinct().withColumn("swc_idx", index)
-        spread = points.repartition(task_width(draws.sparkSession), "swc_idx", "grp")
+        spread = points.repartition(width, "swc_idx", "grp")
         # A NULL group is a group, as it is for the aggregate of the other form.
         met = spread.withColumnRenamed("grp", "cell_grp").join(F.broadcast(wanted), F.col("cell_grp").eqNullSafe(F.col("grp")))
-        return met.withColumn("swc", swc).select("swc_idx", "swc", "grp", suction), most
-    return wanted.withColumn("swc_idx", index).withColumn("swc", swc).select("swc_idx", "swc", "grp", suction), most
+        return met.withColumn("swc", swc).select("swc_idx", "swc", "grp", suction)
+    # The settled draws lie in few small files, which few tasks would read and expand.
+    return wanted.repartition(width).withColumn("swc_idx", index).withColumn("swc", swc).select("swc_idx", "swc", "grp", suction)
 
 
 def lookup_quantiles(
@@ -60,12 +71,23 @@ def lookup_quantiles(
     first: int = GRID_FIRST,
     last: int = GRID_LAST,
     limit: int = BROADCAST_ROWS,
+    held: int = HELD_DRAWS,
     **quantile_options,
 ) -> DataFrame:
-    """Per grid point and group: draws with a defined suction, and its quartiles."""
-    pairs, most = inverse_curves(draws, first, last, limit)
-    quantile_options.setdefault("group_rows", most)
-    found = exact_quantiles(pairs, ["swc_idx", "grp"], "suction_mpa", QUANTILES, **quantile_options)
+    """Per grid point and group: draws with a defined suction, and its quartiles.
+
+    Draws that are too many to be sent everywhere are summarised where a task holds its group's
+    draws, up to ``held`` of them; options, larger groups and many small ones take the pairs
+    through :func:`exact_quantiles`.
+    """
+    wanted = _settled_curves(draws)
+    most, groups = group_sizes(wanted)
+    if not quantile_options and worth_holding(wanted, most, groups, limit, held):
+        found = grid_quantiles(wanted, groups, first, last, GRID_PER_UNIT, QUANTILES)
+    else:
+        quantile_options.setdefault("group_rows", most)
+        pairs = _expanded(wanted, first, last, limit)
+        found = exact_quantiles(pairs, ["swc_idx", "grp"], "suction_mpa", QUANTILES, **quantile_options)
     return found.withColumn("swc", F.col("swc_idx") / F.lit(float(GRID_PER_UNIT)))
 
 

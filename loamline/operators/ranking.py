@@ -188,14 +188,15 @@ def _quantiles_by_bin(
     fetched = join_same(binned, broadcast_if_small(targets.select(*keys, "bin")), [*keys, "bin"], "left_semi")
     if largest <= limit:
         held = fetched.groupBy(*keys, "bin").agg(F.sort_array(F.collect_list(value)).alias("v"))
-        rows = join_same(targets, held, [*keys, "bin"], "left")
+        # Held arrays weigh more than the planner takes from the source's files: never broadcast.
+        rows = join_same(targets, held.hint("merge"), [*keys, "bin"], "left")
         picks = [
             F.max(F.when(inside(at), F.get("v", (at - F.col("before")).cast("int")))).alias(name) for name, at in places
         ]
     else:
         ranks = value_ranks(fetched, [*keys, "bin"], value).drop("total")
         within = ranks.withColumnRenamed("first", "first_in").withColumnRenamed("past", "past_in")
-        rows = join_same(targets, within, [*keys, "bin"], "left")
+        rows = join_same(targets, within.hint("merge"), [*keys, "bin"], "left")
         picks = []
         for name, at in places:
             spot = at - F.col("before")
