@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.functions.curves import water_content
+from loamline.operators.held import HELD_DRAWS, group_sizes, quantiles_of, replicate_summary, shortest_of, worth_holding
 from loamline.operators.pairing import BROADCAST_ROWS, pair_rows, settled_small
 from loamline.operators.quality import metrics_table
 from loamline.operators.ranking import exact_quantiles, shortest_intervals
-from loamline.session import cut_lineage, task_width
+from loamline.session import cut_lineage, table_behind, task_width
 
 # Sampler bookkeeping.
 BURN_IN = 1000
@@ -34,9 +35,12 @@ def terms_long(draws: DataFrame, ids: Sequence[str] = ("chain", "iter", "grp"),
 
 def quantile_summary(long: DataFrame, keys: Sequence[str], level: float = 0.95, **options) -> DataFrame:
     """Mean, sd and central interval per term."""
+    return exact_quantiles(long, keys, "x", _central(level), moments=True, **options).drop("n_ok")
+
+
+def _central(level: float) -> dict[str, float]:
     tail = (1.0 - level) / 2.0
-    ends = {"conf_low": tail, "conf_high": 1.0 - tail}
-    return exact_quantiles(long, keys, "x", ends, moments=True, **options).drop("n_ok")
+    return {"conf_low": tail, "conf_high": 1.0 - tail}
 
 
 def hdi_summary(long: DataFrame, keys: Sequence[str], level: float = 0.95, **options) -> DataFrame:
@@ -94,6 +98,14 @@ def natural_scale(df: DataFrame) -> DataFrame:
     return df.select(*out.columns, *columns)
 
 
+def row_part(row_key: Column) -> Column:
+    return row_key.cast("long") * F.lit(LCG_MULTIPLIER)
+
+
+def draw_part(draw_key: Column) -> Column:
+    return draw_key.cast("long") * F.lit(LCG_SEED_MULTIPLIER)
+
+
 def standard_normal(row_key: Column, draw_key: Column) -> Column:
     """A normal deviate fixed by two integer keys.
 
@@ -101,7 +113,7 @@ def standard_normal(row_key: Column, draw_key: Column) -> Column:
     the same numbers, which ``randn`` would not after a changed partitioning.
     """
     m, a = F.lit(LCG_MODULUS), F.lit(LCG_MULTIPLIER)
-    seed = (row_key.cast("long") * a + draw_key.cast("long") * F.lit(LCG_SEED_MULTIPLIER) + F.lit(11)) % m
+    seed = (row_part(row_key) + draw_part(draw_key) + F.lit(11)) % m
     one = (seed * a) % m
     two = (one * a) % m
     u1 = (one + F.lit(1)) / F.lit(float(LCG_MODULUS + 1))
@@ -113,6 +125,18 @@ def draw_key() -> Column:
     return F.col("iter").cast("long") * 10 + F.col("chain").cast("long")
 
 
+def _keyed_parameters() -> list[Column]:
+    """Parameters, sigma and the multiplied key ``draw_`` of each draw.
+
+    No sigma where anything is missing: arrays hold NaN for NULL, whose power of 0 is a number.
+    """
+    key = draw_part(draw_key())
+    whole = key.isNotNull()
+    for p in PARAMETERS:
+        whole = whole & F.col(p).isNotNull()
+    return [*[F.col(p) for p in PARAMETERS], F.when(whole, F.col("sigma")).alias("sigma"), F.coalesce(key, F.lit(0)).alias("draw_")]
+
+
 def settled_draws(draws: DataFrame) -> DataFrame:
     """The columns a prediction needs, computed once."""
     return cut_lineage(draws.select("grp", "chain", "iter", "alpha_cm", "n", "theta_r", "sigma"))
@@ -151,19 +175,48 @@ def draw_measures(pairs: DataFrame, keys: Sequence[str] = ("chain", "iter")) ->
 
 
 def predicted_intervals(
-    obs: DataFrame, draws: DataFrame, method: str = "hdi", limit: int = BROADCAST_ROWS, **options
+    obs: DataFrame,
+    draws: DataFrame,
+    method: str = "hdi",
+    limit: int = BROADCAST_ROWS,
+    level: float = 0.95,
+    held: int = HELD_DRAWS,
+    **options,
 ) -> DataFrame:
     """Replicates summarised per observation.
 
     An observation has one replicate per draw of its group, so counting the draws bounds the
-    values per observation.
+    values per observation.  Draws that are too many to be sent everywhere are summarised where a
+    task holds its group's draws, up to ``held`` of them.  Options, larger groups, many small ones,
+    and observations whose obs_id is missing or not unique take the pairs through the general summaries.
     """
     settled = settled_draws(draws)
-    most = settled.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
-    options.setdefault("group_rows", most)
-    long = _replicates(obs, settled, limit).select("obs_id", F.col("rep").alias("x"))
+    most, groups = group_sizes(settled)
     summary = hdi_summary if method == "hdi" else quantile_summary
-    return summary(long, ["obs_id"], **options)
+
+    def paired(some: DataFrame) -> DataFrame:
+        long = _replicates(some, settled, limit).select("obs_id", F.col("rep").alias("x"))
+        return summary(long, ["obs_id"], level, **{"group_rows": most, **options})
+
+    if options or not worth_holding(settled, most, groups, limit, held):
+        return paired(obs)
+    single = (F.count(F.lit(1)).over(Window.partitionBy("obs_id")) == 1) & F.col("obs_id").isNotNull()
+    marked = obs.select("obs_id", "grp", "theta", "h_cm", single.alias("single"))
+    points = cut_lineage(marked, others=F.count_if(~F.col("single")))
+    ends = shortest_of(level) if method == "hdi" else quantiles_of(_central(level), moments=True)
+    names = ["estimate", "std_error", "conf_low", "conf_high"]
+    found = replicate_summary(
+        points.where("single").select("obs_id", "grp", "h_cm", row_part(F.col("obs_id")).alias("row_")),
+        settled.select("grp", *_keyed_parameters()),
+        groups,
+        names if method == "hdi" else ["n_ok", *names],
+        ends,
+        LCG_MODULUS,
+        LCG_MULTIPLIER,
+    ).select("obs_id", *names)
+    if table_behind(points).facts["others"]:
+        return found.unionByName(paired(points.where("NOT single").drop("single")))
+    return found
 
 
 def fit_metrics(obs: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loamline.operators import held, lookup
+from loamline.operators import held, lookup, posterior
 from loamline.session import cut_lineage, task_width
 
 
@@ -53,3 +53,22 @@ def test_held_grid_has_points_of_no_suction(spark):
     found = held.grid_quantiles(cut_lineage(many(spark)), 3, 4399, 4401, 10_000, lookup.QUANTILES).collect()
     assert {r.n_ok == 0 for r in found if r.swc_idx == 4401} == {True}
     assert all((r.q50 is None) == (r.n_ok == 0) for r in found) and any(r.n_ok for r in found)
+
+
+@pytest.mark.parametrize("method", ["hdi", "quantile"])
+def test_held_intervals_equal_the_aggregate(spark, monkeypatch, method):
+    draws = many(spark)
+    obs = spark.range(30).select(
+        F.when(F.col("id") != 5, F.col("id") * 13 % 24).alias("obs_id"),
+        F.when(F.col("id") != 7, F.concat(F.lit("S"), F.col("id") % 4)).alias("grp"),
+        F.lit(0.2).alias("theta"),
+        F.when(F.col("id") != 9, F.col("id") * 11.0).alias("h_cm"),
+    )
+    sent = close(posterior.predicted_intervals(obs, draws, method), "obs_id")
+    assert close(posterior.predicted_intervals(obs, draws, method, limit=10), "obs_id") == sent
+    assert len(sent) > 9
+    monkeypatch.setattr(posterior, "_replicates", no_pairs)
+    some = (6, 8, 10, 19, 21, 23)
+    single = obs.where(F.col("obs_id").isin(*some))
+    kept = close(posterior.predicted_intervals(single, draws, method, limit=10), "obs_id")
+    assert kept == {k: v for k, v in sent.items() if k[0] in some}
