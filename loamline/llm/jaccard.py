@@ -79,6 +79,11 @@ EARLY = 0.06
 FINEST = 12
 # Bytes of a key that travel: its slot and these tell it apart. The lowest bit is ``own``.
 KEY_BYTES = 5
+# Bytes of a node that travel with its keys. Its lowest bits name it, and now and then another one as well.
+NODE_BYTES = 5
+NODE_BITS = (1 << 8 * NODE_BYTES) - 1
+# Large tiles, the most crowded ones, in which a document looks for one to be linked with beforehand.
+HUB_TILES = 4
 # Row keys that may be broadcast, 8 bytes each and as much for a node.
 BROADCAST_KEYS = 2_000_000
 
@@ -270,9 +275,12 @@ def set_sizes(df: DataFrame, doc_id: str, text: str, level: int = 0) -> DataFram
 
 
 def tile_members(texts: DataFrame, tasks: int, level: int = 0, bands: list[int] | None = None) -> DataFrame:
-    """``key``, ``node``, ``own``, ``label`` and ``crowd`` (the power of two of the tile's size) of
+    """``key``, ``short``, ``own``, ``label`` and ``crowd`` (the power of two of the tile's size) of
     documents that agree in a part with one of another label.
 
+    ``short`` and ``label`` are the last ``NODE_BYTES`` bytes of nodes: the more slots there are, the fewer
+    keys of a document go to one, until its node travels with each of them.
+
     ``texts`` has ``text_`` and ``label``, NULL for the document's own node. Parts are those of
     ``level``, and of certain ``bands`` only if they are given. Keys leave a task packed by slot, ranges
     of the key space, as ``KEY_BYTES`` bytes and a place among the slot's nodes, without rows of their
@@ -323,10 +331,10 @@ def tile_members(texts: DataFrame, tasks: int, level: int = 0, bands: list[int]
                 used, index = np.unique(member[r] >> 1, return_inverse=True)
                 columns[0].append(short[r].tobytes())
                 columns[1].append(index.astype(np.min_scalar_type(len(used))).tobytes())
-                columns[2].append(nodes[used].tobytes())
+                columns[2].append(_shortened(nodes[used]))
                 moved = np.flatnonzero(label[used] != nodes[used])
                 columns[3].append(moved.astype(np.uint32).tobytes())
-                columns[4].append(label[used][moved].tobytes())
+                columns[4].append(_shortened(label[used][moved]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(there, pa.int32()), *[pa.array(c, pa.binary()) for c in columns]],
                 ["slot", "keys", "members", "nodes", "moved", "labels"],
@@ -341,27 +349,35 @@ def tile_members(texts: DataFrame, tasks: int, level: int = 0, bands: list[int]
             found = _meet(slot, held.pop(slot))
             for at in range(0, len(found[0]), 50_000):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[at : at + 50_000]) for c in found], ["key", "node", "own", "label", "crowd"]
+                    [pa.array(c[at : at + 50_000]) for c in found], ["key", "short", "own", "label", "crowd"]
                 )
 
     kinds = "slot int, keys binary, members binary, nodes binary, moved binary, labels binary"
     packed = texts.select("text_", "label").mapInArrow(pack, kinds)
     dealt = packed.repartition(tasks, "slot")
-    return cut_lineage(dealt.mapInArrow(meet, "key long, node long, own boolean, label long, crowd int"))
+    return cut_lineage(dealt.mapInArrow(meet, "key long, short long, own boolean, label long, crowd int"))
 
 
-def _meet(slot: int, rows: list[dict]) -> list[np.ndarray]:
-    short = np.concatenate([np.frombuffer(r["keys"], np.uint8).reshape(-1, KEY_BYTES) for r in rows])
+def _shortened(nodes: np.ndarray) -> bytes:
+    return nodes.view(np.uint8).reshape(-1, 8)[:, :NODE_BYTES].tobytes()
+
+
+def _widened(data: bytes, width: int) -> np.ndarray:
+    short = np.frombuffer(data, np.uint8).reshape(-1, width)
     wide = np.zeros((len(short), 8), np.uint8)
-    wide[:, :KEY_BYTES] = short
-    keys = wide.view(np.uint64).ravel()
+    wide[:, :width] = short
+    return wide.view(np.int64).ravel()
+
+
+def _meet(slot: int, rows: list[dict]) -> list[np.ndarray]:
+    keys = np.concatenate([_widened(r["keys"], KEY_BYTES) for r in rows]).view(np.uint64)
     own = (keys & np.uint64(1)).astype(bool)
     keys = mix(keys >> np.uint64(1) ^ mix(np.full(1, slot, np.uint64)))
     whose, nodes, labels, base = [], [], [], 0
     for r in rows:
-        nodes.append(np.frombuffer(r["nodes"], np.int64))
+        nodes.append(_widened(r["nodes"], NODE_BYTES))
         labels.append(nodes[-1].copy())
-        labels[-1][np.frombuffer(r["moved"], np.uint32)] = np.frombuffer(r["labels"], np.int64)
+        labels[-1][np.frombuffer(r["moved"], np.uint32)] = _widened(r["labels"], NODE_BYTES)
         whose.append(np.frombuffer(r["members"], np.min_scalar_type(len(nodes[-1]))).astype(np.int64) + base)
         base += len(nodes[-1])
     nodes, labels, whose = (np.concatenate(x) for x in (nodes, labels, whose))
@@ -391,19 +407,21 @@ def _meet(slot: int, rows: list[dict]) -> list[np.ndarray]:
 
 def without_spare(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """``members`` less those keys that a document can spare, keys of the largest tiles first, and
-    with ``band``, that of the tile.
+    with ``node`` for ``short`` and ``band``, that of the tile.
 
     What a common passage of moderate length brings about is all spared, and its documents never
-    meet.
+    meet. Where two nodes are short for the same, each has the keys of both: they meet more documents
+    than they have to, and each still leaves out no more keys than it can spare, its own last ones.
     """
-    wanted = members.select("node").distinct()
-    spare = sizes.select("node", F.col("band").alias("band_"), "spare", "spare_up").join(wanted, "node", "left_semi").distinct()
+    wanted = members.select("short").distinct()
+    short = F.col("node").bitwiseAND(F.lit(NODE_BITS)).alias("short")
+    spare = sizes.select("node", short, F.col("band").alias("band_"), "spare", "spare_up").join(wanted, "short", "left_semi").distinct()
     mine = Window.partitionBy("node", "own")
-    counted = members.join(spare, "node").withColumn("place", F.row_number().over(mine.orderBy("crowd", "key")))
+    counted = members.join(spare, "short").withColumn("place", F.row_number().over(mine.orderBy("crowd", "key")))
     counted = counted.withColumn("n", F.count(F.lit(1)).over(mine))
     left_out = F.when(F.col("own"), F.col("spare")).otherwise(F.col("spare_up"))
     band = (F.col("band_") + F.when(F.col("own"), 0).otherwise(1)).cast("int").alias("band")
-    return cut_lineage(counted.filter(F.col("place") <= F.col("n") - left_out).select(*members.columns, band))
+    return cut_lineage(counted.filter(F.col("place") <= F.col("n") - left_out).select("key", "node", "own", "label", "crowd", band))
 
 
 def _documents_of(df: DataFrame, sizes: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -481,13 +499,25 @@ def _relabelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return cut_lineage(moved.join(cut_lineage(several.filter("low < high").select("key")), "key"))
 
 
+def hub_members(members: DataFrame) -> DataFrame:
+    """``members`` of large tiles, each document in its ``HUB_TILES`` most crowded ones.
+
+    The order is the same for all, so that documents of a large group meet in the same tiles. Which pairs
+    are found here decides only how many comparisons are saved.
+    """
+    mine = Window.partitionBy("node").orderBy(F.desc("crowd"), "key", "own")
+    large = members.filter(F.col("crowd") >= LARGE).withColumn("place", F.row_number().over(mine))
+    return cut_lineage(large.filter(F.col("place") <= HUB_TILES).drop("place"))
+
+
 def tile_survivors(members: DataFrame, maps: DataFrame, hubs: bool = False) -> DataFrame:
     """Pairs (a, b) of ``members`` (key, node, own, band, label) that pass the bit count bound.
 
     A tile with many documents is cut into blocks, and each pair of blocks is a tile of its own;
     every two documents meet once a tile. Of tiles with the same documents one is compared. Pairs with
     one label are known to be connected and skipped.
-    With ``hubs`` a document names only one other in a tile, that with most passing pairs.
+    With ``hubs`` a document names only two others in a tile, that with most passing pairs and that
+    which is closest by the bound.
     """
     whose = F.bit_xor(F.xxhash64("node", "own", "band")).alias("whose")
     counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"), whose)
@@ -532,7 +562,6 @@ def _compare(tiles: pa.Table, hubs: bool) -> tuple[np.ndarray, np.ndarray]:
     starts = group_starts(tiles, ["key", "i", "j"])
     n = tiles.num_rows
     sizes = np.diff(np.append(starts, n))
-    tile = np.repeat(np.arange(len(starts)), sizes)
     later = np.repeat(starts + sizes, sizes) - np.arange(n) - 1
     found = []
     for b in np.unique(band):
@@ -561,14 +590,16 @@ def _compare(tiles: pa.Table, hubs: bool) -> tuple[np.ndarray, np.ndarray]:
                 both = size[u] + size[v]
                 most = (both - differ) // 2
                 good = OF * most >= NEED * (both - most)
-            found.append((u[good], v[good]))
-    u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+            found.append((u[good], v[good], (most / np.maximum(both - most, 1))[good]))
+    u, v, close = (np.concatenate(x) for x in zip(*found, strict=True))
     if hubs and len(u):
         degree = np.bincount(u, minlength=n) + np.bincount(v, minlength=n)
-        x, y = np.concatenate([u, v]), np.concatenate([v, u])
-        order = np.lexsort((y, -degree[y], tile[x], x))
-        first = order[np.append(True, x[order][1:] != x[order][:-1])]
-        u, v = x[first], y[first]
+        x, y, close = np.concatenate([u, v]), np.concatenate([v, u]), np.concatenate([close, close])
+        named = []
+        for best in (degree[y], close):
+            order = np.lexsort((y, -best, x))
+            named.append(order[np.append(True, x[order][1:] != x[order][:-1])])
+        u, v = x[np.concatenate(named)], y[np.concatenate(named)]
     a, b = node[u], node[v]
     pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
     return pairs[:, 0], pairs[:, 1]
@@ -623,7 +654,7 @@ def _rooted(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         members = without_spare(tile_members(texts, tasks, level, bands), seen)
         if not members.isEmpty():
             maps = _bitmaps(_documents_of(df, sizes, members, doc_id, text))
-            hot = members.filter(F.col("crowd") >= LARGE)
+            hot = hub_members(members)
             if not hot.isEmpty():
                 # Large tiles first yield a pair a document, lest a group not found so far yields all.
                 links = links.union(decided(cut_lineage(tile_survivors(hot, maps, hubs=True))))

@@ -335,6 +335,38 @@ def test_a_common_passage_is_no_link_and_large_tiles_are_cut(spark, monkeypatch)
     assert found == brute_components(docs)
 
 
+def test_near_copies_look_for_partners_in_few_tiles(spark, monkeypatch):
+    """Rows of the first pass over large tiles grow with documents, not with the tiles that they share."""
+    seen, survivors = [], jaccard.tile_survivors
+
+    def counted(members, maps, hubs=False):
+        if hubs:
+            seen.append((members.count(), members.select("node").distinct().count()))
+        return survivors(members, maps, hubs)
+
+    monkeypatch.setattr(jaccard, "tile_survivors", counted)
+    # Without sketches nothing is linked beforehand.
+    monkeypatch.setattr(jaccard, "first_partners", lambda sizes: sizes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    docs, draw = {}, random.Random(8)
+    for i in range(60):
+        text = words(3, 300).split()
+        for k in draw.sample(range(300), 5):
+            text[k] = f"o{i}x{k}"
+        docs[i] = " ".join(text)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame).collect()}
+    assert found == brute_components(docs)
+    assert seen and all(rows <= jaccard.HUB_TILES * nodes for rows, nodes in seen)
+
+
+def test_nodes_short_for_the_same_both_stay_members(spark):
+    one, other = 77, 77 + (5 << 8 * jaccard.NODE_BYTES)
+    members = spark.createDataFrame([(k, 77, True, 77, 1) for k in range(6)], "key long, short long, own boolean, label long, crowd int")
+    sizes = spark.createDataFrame([(one, 4, 2, 0), (other, 4, 1, 0), (78, 4, 0, 0)], "node long, band long, spare long, spare_up long")
+    kept = jaccard.without_spare(members, sizes).groupBy("node").count().collect()
+    assert {r["node"]: r["count"] for r in kept} == {one: 4, other: 5}
+
+
 def test_bit_counts_bound_the_overlap():
     draw = np.random.default_rng(3)
     for _ in range(50):
